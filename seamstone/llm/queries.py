@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamstone.llm import term_frequency
+from seamstone.llm import leakage, residue, term_frequency
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequency.mark_terms(counts, files).select("field_name", "term", "n_total", "n_files", "mark")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = residue.text_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rated.where(rated.kind.isNotNull()).select("doc_id")
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
