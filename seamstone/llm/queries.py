@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamstone.llm import leakage, packing, residue, term_frequency
+from seamstone.llm import leakage, packing, residue, secrets, term_frequency
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequency.mark_terms(counts, files).select("field_name", "term", "n_total", "n_files", "mark")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_secrets(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repo_contexts"))
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = packing.token_sizes(table(spark, sf_dir, "documents"))
     return packing.pack(sizes, table(spark, sf_dir, "pack_limits"))
@@ -32,7 +36,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.where(rated.kind.isNotNull()).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
