@@ -31,6 +31,8 @@ class Limits:
     number_density: float = 0.28
     number_share: float = 0.14
     encoded_share: float = 0.62
+    literal_lines: float = 0.85
+    literal_min_lines: int = 60
 
 
 _SCRIPT, _PLAIN, _DATA = Limits(), Limits(packed_max_line=500, packed_mean_line=160.0, packed_space=0.07), Limits(packed_mean_line=1e9)
@@ -77,12 +79,14 @@ _HEAD = 1_500
 
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
+_LITERAL = r"(?:[bru]?\"[^\"\n]*\"|[bru]?'[^'\n]*'|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLfF]*)"
+_LITERAL_LINE = re.compile(rf"^[ \t]*{_LITERAL}(?:[ \t]*,[ \t]*{_LITERAL})*[ \t]*,?[ \t]*\r?$", re.M)
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
 _NOT_ALNUM = re.compile(r"[^A-Za-z0-9]+")
 
 
-def layout(text: str) -> tuple[int, int, float, float, float, float, float, float]:
-    """(lines, longest line, mean line, space, letters and digits, numbers a word, characters in numbers, in encoded runs)."""
+def layout(text: str) -> tuple[int, int, float, float, float, float, float, float, float]:
+    """(lines, longest line, mean line, space, letters and digits, numbers a word, characters in numbers, in encoded runs, lines of literals only)."""
     lines = text.splitlines() or [""]
     n = max(1, len(text))
     numbers = _NUMBER.findall(text)
@@ -97,6 +101,7 @@ def layout(text: str) -> tuple[int, int, float, float, float, float, float, floa
         len(numbers) / max(1, words),
         sum(map(len, numbers)) / n,
         sum(map(len, _ENCODED.findall(plain))) / n,
+        sum(1 for _ in _LITERAL_LINE.finditer(plain)) / len(lines),
     )
 
 
@@ -112,7 +117,7 @@ def rate(path: str | None, content: str | None) -> tuple:
     ext = where.rpartition(".")[2].lower() if "." in where else ""
     limits = LIMITS.get(ext, _PLAIN)
     stats = layout(text)
-    _, longest, mean, space, alnum, density, number_share, encoded = stats
+    n_lines, longest, mean, space, alnum, density, number_share, encoded, literal = stats
     kind = None
     if _VENDOR_PATH.search(where) or (_BANNER_HINT.search(text, 0, _HEAD) and any(not _in_literal(text, m.start(), ext) for m in _BANNER.finditer(text, 0, _HEAD))):
         kind = "vendored"
@@ -121,12 +126,12 @@ def rate(path: str | None, content: str | None) -> tuple:
     elif len(text) >= limits.min_chars:
         if longest >= limits.packed_max_line and mean >= limits.packed_mean_line and space <= limits.packed_space and encoded < limits.encoded_share:
             kind = "minified"
-        elif (density >= limits.number_density and number_share >= limits.number_share) or (encoded >= limits.encoded_share and alnum > 0.6):
+        elif (density >= limits.number_density and number_share >= limits.number_share) or (encoded >= limits.encoded_share and alnum > 0.6) or (n_lines >= limits.literal_min_lines and literal >= limits.literal_lines):
             kind = "data"
     return (kind, *stats)
 
 
-_FIELDS = "kind STRING, n_lines INT, max_line INT, mean_line DOUBLE, space_share DOUBLE, alnum_share DOUBLE, number_density DOUBLE, number_share DOUBLE, encoded_share DOUBLE"
+_FIELDS = "kind STRING, n_lines INT, max_line INT, mean_line DOUBLE, space_share DOUBLE, alnum_share DOUBLE, number_density DOUBLE, number_share DOUBLE, encoded_share DOUBLE, literal_lines DOUBLE"
 
 
 def rate_files(files: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def rate_files(files: DataFrame) -> DataFrame:
     """
     arrow = pa.schema(
         [("file_id", pa.int64()), ("kind", pa.string()), ("n_lines", pa.int32()), ("max_line", pa.int32())]
-        + [(c, pa.float64()) for c in ("mean_line", "space_share", "alnum_share", "number_density", "number_share", "encoded_share")]
+        + [(c, pa.float64()) for c in ("mean_line", "space_share", "alnum_share", "number_density", "number_share", "encoded_share", "literal_lines")]
     )
 
     def make():
