@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamstone.llm import handwritten, leakage, packing, residue, secrets, term_frequency
+from seamstone.llm import handwritten, leakage, packing, residue, secrets, syntax, term_frequency
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequency.mark_terms(counts, files).select("field_name", "term", "n_total", "n_files", "mark")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.unparsed_files(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.unparsed_rates(table(spark, sf_dir, "source_files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "source_files")).select("file_id")
 
@@ -40,7 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.where(rated.kind.isNotNull()).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
