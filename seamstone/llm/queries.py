@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamstone.llm import handwritten, leakage, packing, residue, secrets, syntax, term_frequency
+from seamstone.llm import documented, handwritten, leakage, packing, residue, secrets, syntax, term_frequency
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "repo_contexts"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.documented_functions(table(spark, sf_dir, "code_symbols"), table(spark, sf_dir, "source_files")).select("symbol_id")
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.documented_functions(table(spark, sf_dir, "code_symbols"), table(spark, sf_dir, "source_files"))
+
+
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = packing.token_sizes(table(spark, sf_dir, "documents"))
     return packing.pack(sizes, table(spark, sf_dir, "pack_limits"))
@@ -48,7 +56,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.where(rated.kind.isNotNull()).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
