@@ -18,7 +18,7 @@ IMPACT = {"Refactor": 0.25, "Patch": 0.08, "Feature": 0.15}
 def rank(state: Column) -> Column:
     """Position of a state in the lattice (0 best); unknown states are null."""
     table = F.create_map(*[F.lit(x) for k, s in enumerate(LATTICE) for x in (s, k)])
-    return table.getItem(state)
+    return table[state]
 
 
 def state_at(position: Column) -> Column:
@@ -70,7 +70,7 @@ def confidence(stability: Column) -> Column:
 def pulse(aura: Column, magnitude: Column, kind: Column) -> Column:
     """Predicted score after a change of a kind and magnitude."""
     table = F.create_map(*[F.lit(x) for pair in IMPACT.items() for x in pair])
-    return aura * (1 - F.coalesce(table.getItem(kind), F.lit(0.1)) * magnitude)
+    return aura * (1 - F.coalesce(table[kind], F.lit(0.1)) * magnitude)
 
 
 def drift_gate(drift: Column) -> Column:

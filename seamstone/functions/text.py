@@ -72,7 +72,7 @@ def extension(path: Column) -> Column:
 def language_of_path(path: Column) -> Column:
     """Language of a path's extension, null where it is not known."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_EXTENSION.items() for x in pair])
-    return table.getItem(extension(path))
+    return table[extension(path)]
 
 
 def language_of_content(text: Column) -> Column:

@@ -45,8 +45,8 @@ def secret_signals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def secret_risk(signals: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, risk, level``: risk 1 - prod(1 - weight) over the kinds found, HIGH above .5, MODERATE above .1."""
-    weight = F.create_map(*[F.lit(x) for p in _WEIGHT.items() for x in p]).getItem(F.col("severity"))
+    """``id_col, risk, level``: the weight of the worst kind found, HIGH above .5, MODERATE above .1."""
+    weight = F.create_map(*[F.lit(x) for p in _WEIGHT.items() for x in p])[F.col("severity")]
     risk = signals.groupBy(id_col).agg(F.round(F.max(weight), 3).alias("risk"))
     return risk.withColumn("level", F.when(F.col("risk") > 0.5, "HIGH").when(F.col("risk") > 0.1, "MODERATE").otherwise("LOW"))
 

@@ -44,7 +44,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 def structure(files: DataFrame) -> DataFrame:
     """Add ``family, found_classes, found_functions, found_imports`` to files (path, content); null content gives null."""
-    family = F.coalesce(F.create_map(*[F.lit(x) for p in FAMILY.items() for x in p]).getItem(T.extension(F.col("path"))), F.lit("python"))
+    family = F.coalesce(F.create_map(*[F.lit(x) for p in FAMILY.items() for x in p])[T.extension(F.col("path"))], F.lit("python"))
     kinds: dict[str, Column] = {k: F.lit(None).cast("array<string>") for k in ("classes", "functions", "imports")}
     for name, (cls, fns, imp) in PATTERNS.items():
         here = F.col("family") == name
@@ -70,7 +70,7 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 def _signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
     args = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in node.args.args]
-    args += [f"*{node.args.vararg.arg}"] * bool(node.args.vararg) + [f"**{node.args.kwarg.arg}"] * bool(node.args.kwarg)
+    args += [f"{stars}{a.arg}" for stars, a in (("*", node.args.vararg), ("**", node.args.kwarg)) if a]
     return f"({', '.join(args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
 
 
@@ -214,3 +214,18 @@ def import_edges(files: DataFrame, keys: list[str]) -> DataFrame:
     )
     joined = wanted.join(own, [*keys, "last"]).where((F.col("stem") == F.col("tail")) | F.col("stem").endswith(F.concat(F.lit("/"), F.col("tail")))).where(F.col("src") != F.col("path"))
     return joined.groupBy(*keys, "src", "raw").agg(F.min("path").alias("dst")).select(*keys, "src", "dst").distinct()
+
+
+def symbol_references(symbols: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., name, n_files``: in how many other files of the same keys a defined symbol is named.
+
+    File contents become distinct identifiers once, which turns the search of
+    every symbol in every file into an equi-join; counts are made before the
+    defining files are taken off, so no pair of files is ever built.
+    """
+    names = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w{3,}"), F.lit(0))), lambda x: F.length(x) > 3)
+    used = files.where(F.col("content").isNotNull()).select(*keys, "path", F.explode(names).alias("name")).distinct()
+    defined = symbols.where(F.length("name") > 3).select(*keys, F.col("file").alias("path"), "name").distinct()
+    wanted = defined.select(*keys, "name").distinct()
+    counts = used.join(wanted, [*keys, "name"], "left_semi").join(defined, [*keys, "path", "name"], "left_anti").groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n_files"))
+    return counts

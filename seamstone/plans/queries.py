@@ -1,20 +1,655 @@
-"""Registered queries of the core: name -> (spark, directory) -> DataFrame, and their SQL."""
+"""Registered queries of the core: name -> (spark, directory) -> DataFrame, and their SQL.
+
+Names begin with the identifier of the operator they run.  Every query runs
+over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seamstone.operators import context_tables
+from seamstone.functions import quality as Q
+from seamstone.functions import text as T
+from seamstone.operators import context_tables, findings, graph, incremental, packing_context, recipes, similarity, structure, telemetry
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its SQL where there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_files")
 
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tables.found_rows(table(spark, sf_dir, "repo_contexts"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+@query("p1_tables")
+def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = context_tables.context_rows(table(spark, sf_dir, "repo_contexts"))
+    return rows.groupBy("context_id", "rel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("parent").alias("parents"))
+
+
+_LINES = r"string_split_regex(content, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
+_LINE_ROWS = rf"""
+raw AS (SELECT file_id, {_LINES} AS parts FROM source_files WHERE content IS NOT NULL),
+l AS (SELECT file_id, unnest(CASE WHEN parts[len(parts)] = '' THEN parts[:len(parts) - 1] ELSE parts END) AS line, unnest(range(1, len(CASE WHEN parts[len(parts)] = '' THEN parts[:len(parts) - 1] ELSE parts END) + 1)) AS n FROM raw)"""
+
+
+@query("o03_content_hash", "SELECT file_id, sha256(content) = hash AS hash_ok FROM source_files")
+def o03_content_hash(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_id", (F.sha2("content", 256) == F.col("hash")).alias("hash_ok"))
+
+
+@query("o77_duplicate_texts", "SELECT sha256(text) AS text_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def o77_duplicate_texts(spark, sf_dir):
+    return _docs(spark, sf_dir).where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(
+    "o22_language",
+    r"""SELECT file_id,
+  CASE lower(regexp_extract(path, '\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'cs' THEN 'csharp'
+    WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'c' THEN 'cpp' WHEN 'h' THEN 'cpp' WHEN 'php' THEN 'php' WHEN 'rb' THEN 'ruby' END AS by_path,
+  CASE WHEN contains(content, '#include') THEN 'c_cpp' WHEN contains(content, 'public class') THEN 'java' WHEN contains(content, 'func ') AND contains(content, 'var ') THEN 'go' WHEN contains(content, 'fn ') THEN 'rust' ELSE 'python' END AS by_content
+FROM source_files""",
+)
+def o22_language(spark, sf_dir):
+    return _files(spark, sf_dir).select("file_id", T.language_of_path(F.col("path")).alias("by_path"), T.language_of_content(F.col("content")).alias("by_content"))
+
+
+@query(
+    "o23_line_metrics",
+    rf"""WITH {_LINE_ROWS}
+SELECT f.file_id, CAST(count(l.n) AS INTEGER) AS n_lines, CAST(count(CASE WHEN b <> '' AND NOT starts_with(b, '#') AND NOT starts_with(b, '//') AND NOT starts_with(b, '/*') AND NOT starts_with(b, '*') THEN 1 END) AS INTEGER) AS n_code
+FROM source_files f LEFT JOIN (SELECT *, regexp_replace(line, '^\s+', '') AS b FROM l) l USING (file_id) WHERE f.content IS NOT NULL GROUP BY 1""",
+)
+def o23_line_metrics(spark, sf_dir):
+    c = F.col("content")
+    return _files(spark, sf_dir).where(c.isNotNull()).select("file_id", F.size(T.split_lines(c)).alias("n_lines"), T.code_lines(c).alias("n_code"))
+
+
+@query(
+    "o24_router",
+    r"""SELECT doc_id, CASE WHEN ((starts_with(trim(text), '{') AND ends_with(trim(text), '}')) OR (starts_with(trim(text), '[') AND ends_with(trim(text), ']'))) AND NOT regexp_matches(upper(text), 'INFO|ERROR|WARN|DEBUG|TIMESTAMP|EXCEPTION') THEN 'config'
+  WHEN regexp_matches(upper(text), 'INFO|ERROR|WARN|DEBUG|TIMESTAMP|EXCEPTION') THEN 'log'
+  WHEN contains(upper(text), '<HTML') OR contains(upper(text), '<!DOCTYPE') OR contains(trim(text)[1:10], '# ') THEN 'documentation' ELSE 'code' END AS recipe FROM documents WHERE text IS NOT NULL""",
+)
+def o24_router(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.route(F.col("text")).alias("recipe"))
+
+
+@query("o25_segments")
+def o25_segments(spark, sf_dir):
+    return recipes.segments(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    "o26_code_recipe",
+    rf"""WITH {_LINE_ROWS} SELECT file_id, count(*) FILTER (contains(line, 'class ')) AS class_lines, count(*) FILTER (contains(line, 'def ')) AS def_lines, count(*) FILTER (contains(line, 'import ') OR contains(line, 'from ')) AS import_lines FROM l GROUP BY 1""",
+)
+def o26_code_recipe(spark, sf_dir):
+    return recipes.code_recipe(_files(spark, sf_dir), "file_id", "content")
+
+
+@query(
+    "o27_log_recipe",
+    r"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')) AS line FROM documents), u AS (SELECT doc_id, upper(line) AS u FROM p),
+k AS (SELECT doc_id, CASE WHEN contains(u, 'INFO') THEN 'INFO' WHEN contains(u, 'ERROR') THEN 'ERROR' WHEN contains(u, 'WARN') THEN 'WARNING' WHEN contains(u, 'DEBUG') THEN 'DEBUG' END AS level, regexp_matches(u, 'EXCEPTION|CRITICAL|FATAL|TIMEOUT') AS bad FROM u)
+SELECT doc_id, count(*) FILTER (level = 'INFO') AS info, count(*) FILTER (level = 'ERROR') AS error, count(*) FILTER (level = 'WARNING') AS warning, count(*) FILTER (level = 'DEBUG') AS debug, count(*) FILTER (bad) AS anomalies FROM k GROUP BY 1""",
+)
+def o27_log_recipe(spark, sf_dir):
+    return recipes.log_recipe(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query("o28_json_shape", "SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_keys, array_to_string(json_keys(props), ',') AS keys FROM events")
+def o28_json_shape(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys"), F.array_join(F.json_object_keys("props"), ",").alias("keys"))
+
+
+@query("o28_config_recipe")
+def o28_config_recipe(spark, sf_dir):
+    return recipes.config_recipe(table(spark, sf_dir, "repo_contexts"), "context_id", "payload")
+
+
+@query(
+    "o29_doc_recipe",
+    r"""WITH p AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS parts FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: starts_with(x, '#') OR (starts_with(lower(x), '<h') AND contains(x, '>')))[1:20] AS hs FROM p)
+SELECT doc_id, CAST(len(hs) AS INTEGER) AS n_headers, array_to_string(hs, '|') AS headers FROM h""",
+)
+def o29_doc_recipe(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.size(T.headers(F.col("text"))).alias("n_headers"), F.array_join(T.headers(F.col("text")), "|").alias("headers"))
+
+
+_ENTROPY = "(SELECT coalesce(round(-sum(n / t * log2(n / t)), 6), 0) FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS t FROM (SELECT unnest(string_split({0}, '')) AS c) GROUP BY c))"
+_DOC_H = """chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), cnt AS (SELECT doc_id, c, count(*)::DOUBLE AS n FROM chars GROUP BY ALL), tot AS (SELECT doc_id, sum(n) AS t FROM cnt GROUP BY 1),
+h AS (SELECT doc_id, round(-sum(n / t * log2(n / t)), 6) AS h FROM cnt JOIN tot USING (doc_id) GROUP BY 1)"""
+
+
+@query("o46_entropy", f"WITH {_DOC_H} SELECT doc_id, abs(h) AS h, CASE WHEN h <= 3 THEN 'STABLE' WHEN h <= 5 THEN 'WEAK' WHEN h <= 7 THEN 'UNSTABLE' ELSE 'DEGENERATE' END AS state FROM h")
+def o46_entropy(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("h")).withColumn("h", F.abs("h")).withColumn("state", T.entropy_state(F.col("h")))
+
+
+@query("o31_chaos_constraints", f"WITH {_DOC_H} SELECT doc_id, CASE WHEN h > 4.5 THEN 0.65 WHEN h < 2.5 THEN 0.95 ELSE 0.8 END::DOUBLE AS target, CASE WHEN h > 4.5 THEN 'soft' ELSE 'hard' END AS determinism FROM h")
+def o31_chaos_constraints(spark, sf_dir):
+    return recipes.tuned_constraints(_docs(spark, sf_dir).where("text IS NOT NULL"), "doc_id", "text")
+
+
+@query("o30_constraints")
+def o30_constraints(spark, sf_dir):
+    return recipes.validate(recipes.doc_results(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", "documentation")
+
+
+@query("o32_pipeline")
+def o32_pipeline(spark, sf_dir):
+    return recipes.pipeline(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query("o33_savings", "SELECT source, sum(octet_length(encode(text))) AS raw_bytes, sum(octet_length(encode(text)) // 4) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def o33_savings(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text IS NOT NULL").groupBy("source").agg(F.sum(F.octet_length("text")).alias("raw_bytes"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("o39_token_estimate", "SELECT doc_id, octet_length(encode(text)) // 4 AS tokens FROM documents")
+def o39_token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(
+    "o35_speculative",
+    "WITH p AS (SELECT unnest(["
+    + ", ".join(f"'{p}'" for p in T.SPECULATIVE_LONG)
+    + "]) AS pattern) SELECT doc_id, pattern FROM documents, p WHERE regexp_matches(lower(text), pattern)",
+)
+def o35_speculative(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(T.speculative(F.col("text"))).alias("pattern"))
+
+
+@query("o38_balance", "SELECT file_id, len(replace(content, '{', '')) = len(replace(content, '}', '')) AS balanced FROM source_files WHERE content IS NOT NULL")
+def o38_balance(spark, sf_dir):
+    return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", T.balanced(F.col("content")).alias("balanced"))
+
+
+@query("o19_structure")
+def o19_structure(spark, sf_dir):
+    return structure.structure(_files(spark, sf_dir)).select("file_id", "family", F.size("found_classes").alias("n_classes"), F.size("found_functions").alias("n_functions"), F.size("found_imports").alias("n_imports"))
+
+
+@query("o20_python_symbols")
+def o20_python_symbols(spark, sf_dir):
+    return structure.python_symbols(_files(spark, sf_dir))
+
+
+@query("o41_python_calls")
+def o41_python_calls(spark, sf_dir):
+    return structure.python_calls(_files(spark, sf_dir))
+
+
+@query(
+    "o21_current_class",
+    rf"""WITH {_LINE_ROWS}, s AS (SELECT l.file_id, n, line, nullif(regexp_extract(line, '^\s*(?:public\s+|export\s+)?class\s+(\w+)', 1), '') AS cls FROM l JOIN source_files f USING (file_id) WHERE f.path LIKE '%.java'),
+c AS (SELECT file_id, n, last_value(cls IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_class FROM s)
+SELECT file_id, current_class, count(*) AS n_lines FROM c WHERE current_class IS NOT NULL GROUP BY 1, 2""",
+)
+def o21_current_class(spark, sf_dir):
+    lines = structure.numbered_lines(_files(spark, sf_dir).where(F.col("path").endswith(".java")))
+    return structure.carried_class(lines).where("current_class IS NOT NULL").groupBy("file_id", "current_class").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("o34_referenced")
+def o34_referenced(spark, sf_dir):
+    return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", F.size(T.referenced_symbols(F.col("content"))).alias("n_symbols"))
+
+
+@query("o36_unused_imports")
+def o36_unused_imports(spark, sf_dir):
+    return findings.unused_imports(_files(spark, sf_dir).where(F.col("path").endswith(".py")))
+
+
+@query(
+    "o37_except_issues",
+    rf"""WITH {_LINE_ROWS}, w AS (SELECT l.file_id, n, line, lead(line) OVER (PARTITION BY l.file_id ORDER BY n) AS nx FROM l JOIN source_files f USING (file_id) WHERE f.path LIKE '%.py'),
+a AS (SELECT file_id, CAST(n AS INTEGER) AS n, CASE WHEN regexp_matches(line, '^\s*except\s*:') THEN 'bare_except' WHEN regexp_matches(line, '^\s*except\b.*:\s*$') AND coalesce(regexp_matches(nx, '^\s*pass\s*$'), false) THEN 'silent_pass' END AS action FROM w) SELECT * FROM a WHERE action IS NOT NULL""",
+)
+def o37_except_issues(spark, sf_dir):
+    return findings.except_issues(structure.numbered_lines(_files(spark, sf_dir).where(F.col("path").endswith(".py"))))
+
+
+@query("o45a_import_edges")
+def o45a_import_edges(spark, sf_dir):
+    return structure.import_edges(_files(spark, sf_dir), ["repo"])
+
+
+@query(
+    "o45e_resolve_calls",
+    """WITH s AS (SELECT DISTINCT file_id, CASE WHEN class_name IS NOT NULL THEN class_name || '.' || name ELSE name END AS full_name FROM code_symbols WHERE name IS NOT NULL)
+SELECT c.file_id, c.line, c.col_offset, c.caller, c.callee, CASE WHEN c.call_type = 'internal' AND k.full_name IS NULL THEN 'unknown' ELSE c.call_type END AS resolved_type, count(*) AS n
+FROM call_edges c JOIN s ON s.file_id = c.file_id AND s.full_name = c.caller LEFT JOIN s k ON k.file_id = c.file_id AND k.full_name = c.callee GROUP BY ALL""",
+)
+def o45e_resolve_calls(spark, sf_dir):
+    s = table(spark, sf_dir, "code_symbols").where("name IS NOT NULL").select("file_id", F.when(F.col("class_name").isNotNull(), F.concat("class_name", F.lit("."), "name")).otherwise(F.col("name")).alias("full_name"))
+    return structure.resolve_calls(table(spark, sf_dir, "call_edges"), s, ["file_id"]).groupBy("file_id", "line", "col_offset", "caller", "callee", "resolved_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o45f_called_by", "SELECT file_id, callee, count(DISTINCT caller) AS callers FROM call_edges WHERE callee IS NOT NULL AND call_type IN ('internal', 'recursive') GROUP BY 1, 2")
+def o45f_called_by(spark, sf_dir):
+    return table(spark, sf_dir, "call_edges").where("callee IS NOT NULL AND call_type IN ('internal', 'recursive')").groupBy("file_id", "callee").agg(F.countDistinct("caller").alias("callers"))
+
+
+@query("o44_find_symbol", "SELECT repo, lower(name) AS name, min({'k': CASE WHEN symbol_type = 'class' THEN 0 ELSE 1 END, 'file': file, 'line': line}).file AS file FROM code_symbols WHERE name IS NOT NULL GROUP BY 1, 2")
+def o44_find_symbol(spark, sf_dir):
+    pick = F.min(F.struct(F.when(F.col("symbol_type") == "class", 0).otherwise(1).alias("k"), "file", "line"))
+    return table(spark, sf_dir, "code_symbols").where("name IS NOT NULL").groupBy("repo", F.lower("name").alias("name")).agg(pick.getField("file").alias("file"))
+
+
+@query("o47_corpus_metrics", "SELECT count(*) AS n_files, sum(lines) AS n_lines, sum(code_lines) AS n_code, sum(size) AS n_chars, 250 * count(*) + 500 AS context_bytes, round(1 - (250 * count(*) + 500) / sum(size)::DOUBLE, 2) AS ratio FROM source_files")
+def o47_corpus_metrics(spark, sf_dir):
+    n = F.count(F.lit(1))
+    return _files(spark, sf_dir).agg(n.alias("n_files"), F.sum("lines").alias("n_lines"), F.sum("code_lines").alias("n_code"), F.sum("size").alias("n_chars"), (250 * n + 500).alias("context_bytes"), F.round(1 - (250 * n + 500) / F.sum("size"), 2).alias("ratio"))
+
+
+@query("o48_scan_report", r"SELECT lower(regexp_extract(path, '\.([^./]+)$', 1)) AS ext, count(*) AS n, sum(size) AS chars FROM source_files GROUP BY 1")
+def o48_scan_report(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy(T.extension(F.col("path")).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+
+
+@query("o49_graph_stats", "SELECT repo, count(*) AS total, count(*) FILTER (call_type = 'internal') AS internal, count(*) FILTER (call_type = 'external') AS external, count(*) FILTER (call_type = 'recursive') AS recursive_calls, count(*) FILTER (call_type = 'unknown') AS unknown FROM call_edges GROUP BY 1")
+def o49_graph_stats(spark, sf_dir):
+    n = lambda k: F.count_if(F.col("call_type") == k)
+    return table(spark, sf_dir, "call_edges").groupBy("repo").agg(F.count(F.lit(1)).alias("total"), n("internal").alias("internal"), n("external").alias("external"), n("recursive").alias("recursive_calls"), n("unknown").alias("unknown"))
+
+
+_EDGES = "e AS (SELECT DISTINCT repo, src, dst FROM file_deps WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"
+
+
+def _deps(spark, sf_dir):
+    return graph.edges_of(table(spark, sf_dir, "file_deps"), "src", "dst", ["repo"])
+
+
+@query("o50_degrees", f"WITH {_EDGES}, n AS (SELECT repo, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT repo, dst, 1, 0 FROM e) SELECT repo, node, sum(i)::BIGINT AS indegree, sum(o)::BIGINT AS outdegree, count(*) AS total FROM n GROUP BY 1, 2")
+def o50_degrees(spark, sf_dir):
+    return graph.degrees(_deps(spark, sf_dir), ["repo"])
+
+
+@query("o86_transpose", f"WITH {_EDGES} SELECT repo, dst AS src, src AS dst FROM e")
+def o86_transpose(spark, sf_dir):
+    return graph.transpose(_deps(spark, sf_dir)).select("repo", "src", "dst")
+
+
+#: Targets of the graph queries: the most depended-on file of every repository.
+_HUBS = f"{_EDGES}, hubs AS (SELECT repo, dst AS start FROM (SELECT repo, dst, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, dst) AS r FROM e GROUP BY 1, 2) WHERE r = 1)"
+
+
+def _hubs(spark, sf_dir):
+    per = _deps(spark, sf_dir).groupBy("repo", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("repo").agg(F.min(F.struct((-F.col("n")).alias("n"), "dst")).alias("m")).select("repo", F.col("m.dst").alias("start"))
+
+
+_CLOSURE = "reach AS (SELECT repo, start, start AS node, 0 AS depth FROM hubs UNION SELECT r.repo, r.start, {to}, r.depth + 1 FROM reach r JOIN e ON e.repo = r.repo AND {on} WHERE r.depth < {k}), best AS (SELECT repo, start, node, min(depth) AS depth FROM reach GROUP BY ALL)"
+
+
+@query("o78_dependents", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.src', on='e.dst = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
+def o78_dependents(spark, sf_dir):
+    return graph.closure(graph.transpose(_deps(spark, sf_dir)), _hubs(spark, sf_dir), ["repo"], 40)
+
+
+@query("o83_dependencies", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
+def o83_dependencies(spark, sf_dir):
+    return graph.closure(_deps(spark, sf_dir), _hubs(spark, sf_dir), ["repo"], 40)
+
+
+@query(
+    "o85_k_hop",
+    f"WITH RECURSIVE {_HUBS}, b AS (SELECT repo, src, dst FROM e UNION SELECT repo, dst, src FROM e), reach AS (SELECT repo, start, start AS node, 0 AS depth FROM hubs UNION SELECT r.repo, r.start, b.dst, r.depth + 1 FROM reach r JOIN b ON b.repo = r.repo AND b.src = r.node WHERE r.depth < 2) SELECT repo, start, node, min(depth) AS depth FROM reach GROUP BY ALL HAVING min(depth) > 0",
+)
+def o85_k_hop(spark, sf_dir):
+    return graph.neighbourhood(_deps(spark, sf_dir), _hubs(spark, sf_dir), 2, ["repo"])
+
+
+@query("o70_levels")
+def o70_levels(spark, sf_dir):
+    return graph.levels(_deps(spark, sf_dir), ["repo"])
+
+
+_CALLS = "ce AS (SELECT DISTINCT file_id, caller AS src, callee AS dst FROM call_edges WHERE call_type IN ('internal', 'recursive') AND callee IS NOT NULL AND caller IS NOT NULL AND caller <> callee), callhubs AS (SELECT file_id, dst AS start FROM (SELECT file_id, dst, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, dst) AS r FROM ce GROUP BY 1, 2) WHERE r = 1)"
+
+
+@query(
+    "o80_blast_radius",
+    f"""WITH RECURSIVE {_CALLS}, reach AS (SELECT file_id, start, start AS node, 0 AS depth FROM callhubs UNION SELECT r.file_id, r.start, ce.src, r.depth + 1 FROM reach r JOIN ce ON ce.file_id = r.file_id AND ce.dst = r.node WHERE r.depth < 5),
+best AS (SELECT file_id, start, node, min(depth) AS depth FROM reach GROUP BY ALL), cl AS (SELECT file_id, dst AS node, count(*) AS callers FROM ce GROUP BY 1, 2),
+sc AS (SELECT b.*, coalesce(callers, 0) AS callers, round(least(1.0, [1.0, 0.75, 0.5, 0.25][least(depth, 3) + 1]::DOUBLE * CASE WHEN coalesce(callers, 0) > 5 THEN 1.1 WHEN coalesce(callers, 0) = 0 AND depth > 0 THEN 0.9 ELSE 1.0 END::DOUBLE), 4) AS score FROM best b LEFT JOIN cl USING (file_id, node))
+SELECT *, CASE WHEN score >= 0.85 THEN 'primary' WHEN score >= 0.60 THEN 'direct' WHEN score >= 0.35 THEN 'indirect' ELSE 'ignored' END AS category FROM sc""",
+)
+def o80_blast_radius(spark, sf_dir):
+    calls = table(spark, sf_dir, "call_edges")
+    inside = graph.edges_of(calls.where("call_type IN ('internal', 'recursive')"), "caller", "callee", ["file_id"])
+    per = inside.groupBy("file_id", "dst").agg(F.count(F.lit(1)).alias("n"))
+    targets = per.groupBy("file_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "dst")).alias("m")).select("file_id", F.col("m.dst").alias("start"))
+    return graph.blast_radius(calls, targets, ["file_id"])
+
+
+
+
+@query(
+    "o82_resolver",
+    """WITH ce2 AS (SELECT DISTINCT repo, caller, callee FROM call_edges WHERE caller IS NOT NULL AND callee IS NOT NULL AND caller <> callee),
+nd AS (SELECT repo, node, sum(i)::DOUBLE AS i, count(*)::DOUBLE AS t FROM (SELECT repo, caller AS node, 0 AS i FROM ce2 UNION ALL SELECT repo, callee, 1 FROM ce2) GROUP BY 1, 2),
+s AS (SELECT repo, string_split(node, '.')[-1] AS short, node, 2.0::DOUBLE * i + 0.5::DOUBLE * t AS score FROM nd),
+w AS (SELECT s.* FROM s SEMI JOIN code_symbols c ON c.repo = s.repo AND c.name = s.short),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo, short ORDER BY score DESC, node) AS r, count(*) OVER (PARTITION BY repo, short) AS candidates FROM w)
+SELECT a.repo, a.short, a.node, a.candidates, a.score, coalesce(b.score > 0, false) AND coalesce(a.score - b.score < 1.0, false) AS ambiguous FROM r a LEFT JOIN r b ON a.repo = b.repo AND a.short = b.short AND b.r = 2 WHERE a.r = 1""",
+)
+def o82_resolver(spark, sf_dir):
+    nodes = graph.degrees(graph.edges_of(table(spark, sf_dir, "call_edges"), "caller", "callee", ["repo"]), ["repo"])
+    return graph.resolve_short(nodes, table(spark, sf_dir, "code_symbols").select("repo", F.col("name").alias("short")), ["repo"])
+
+
+@query("o51_word_frequency", r"WITH w AS (SELECT unnest(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY 1")
+def o51_word_frequency(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o52_shared_imports", "SELECT value, count(*) AS n FROM (SELECT DISTINCT file_id, unnest(imports) AS value FROM source_files) WHERE value IS NOT NULL AND value <> '' GROUP BY 1 HAVING count(*) >= 3")
+def o52_shared_imports(spark, sf_dir):
+    return packing_context.shared_values(_files(spark, sf_dir), "file_id", "imports")
+
+
+@query("o53_path_prefixes", "WITH p AS (SELECT string_split(path, '/') AS a FROM source_files WHERE path IS NOT NULL), q AS (SELECT unnest(list_transform(range(1, len(a)), lambda i: array_to_string(a[1:i], '/'))) AS prefix FROM p) SELECT prefix, count(*) AS n FROM q GROUP BY 1 HAVING count(*) >= 3")
+def o53_path_prefixes(spark, sf_dir):
+    return packing_context.path_prefixes(_files(spark, sf_dir), "path")
+
+
+@query("o54_dependency_summary", "SELECT repo, dst AS node, count(*) AS n, CAST(row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, dst) AS INTEGER) AS rank FROM (SELECT DISTINCT repo, src, dst FROM file_deps WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst) GROUP BY 1, 2 QUALIFY rank <= 5")
+def o54_dependency_summary(spark, sf_dir):
+    return packing_context.dependency_summary(_deps(spark, sf_dir), ["repo"])
+
+
+@query(
+    "o55_telemetry_summary",
+    """SELECT coalesce(data.command, 'unknown') AS command, count(*) AS count, round(sum(greatest(coalesce(data.duration_sec, 0), 0)), 3) AS total_sec, round(sum(greatest(coalesce(data.duration_sec, 0), 0)) / count(*), 3) AS avg_sec, sum(coalesce(data.tokens_saved, 0))::BIGINT AS tokens_saved,
+sum(coalesce(data.files, 0))::BIGINT AS files, round(count(*) FILTER (coalesce(data.success, true)) * 100.0::DOUBLE / count(*), 1) AS success_rate FROM telemetry WHERE data IS NOT NULL GROUP BY 1""",
+)
+def o55_telemetry_summary(spark, sf_dir):
+    return telemetry.by_command(table(spark, sf_dir, "telemetry"))
+
+
+@query("o111_session_counters", "SELECT session, count(*) AS events, sum(coalesce(data.files, 0))::BIGINT AS files, sum(coalesce(data.tokens_saved, 0))::BIGINT AS tokens_saved, max({'a': received_at, 'b': event}).b AS last_event FROM telemetry WHERE session IS NOT NULL GROUP BY 1")
+def o111_session_counters(spark, sf_dir):
+    return telemetry.by_session(table(spark, sf_dir, "telemetry"))
+
+
+@query("o09_recent_events", "SELECT received_at, ts, event, data.command AS command, session FROM telemetry WHERE data IS NOT NULL ORDER BY received_at DESC NULLS LAST, ts ASC NULLS FIRST, event ASC NULLS FIRST, command ASC NULLS FIRST, session ASC NULLS FIRST LIMIT 500")
+def o09_recent_events(spark, sf_dir):
+    return telemetry.recent(table(spark, sf_dir, "telemetry"), 500)
+
+
+@query(
+    "o110_debounce",
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS b FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM g GROUP BY user_id, k""",
+)
+def o110_debounce(spark, sf_dir):
+    return telemetry.quiet_periods(table(spark, sf_dir, "events"), "user_id", "ts", "3 hours")
+
+
+def _snapshots(spark, sf_dir):
+    files = _files(spark, sf_dir).select("repo", "path", "scanned_at", "file_id", "hash")
+    keys, order = ["repo", "path"], ["scanned_at", "file_id"]
+    half = F.lit("2025-07-01").cast("timestamp_ntz")
+    return incremental.latest(files.where(F.col("scanned_at") < half), keys, order), incremental.latest(files, keys, order)
+
+
+_SNAP = """s AS (SELECT repo, path, scanned_at, file_id, hash FROM source_files), old AS (SELECT * FROM s WHERE scanned_at < TIMESTAMP '2025-07-01' QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY scanned_at DESC, file_id DESC) = 1), new AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY scanned_at DESC NULLS LAST, file_id DESC) = 1),
+d AS (SELECT repo, path, CASE WHEN o.file_id IS NULL THEN 'added' WHEN n.file_id IS NULL THEN 'removed' WHEN o.hash IS DISTINCT FROM n.hash THEN 'changed' ELSE 'same' END AS change FROM old o FULL JOIN new n USING (repo, path))"""
+
+
+@query("o71_snapshot_diff", f"WITH {_SNAP} SELECT * FROM d")
+def o71_snapshot_diff(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return incremental.diff(old, new, ["repo", "path"])
+
+
+@query(
+    "o56_staleness",
+    f"WITH {_SNAP}, a AS (SELECT count(*) FILTER (change <> 'added') AS total_files, count(*) FILTER (change IN ('changed', 'removed')) AS stale_files, count(*) FILTER (change = 'added') AS new_files FROM d), b AS (SELECT *, round(coalesce(stale_files / nullif(total_files, 0)::DOUBLE, 0), 3) AS stale_ratio FROM a) SELECT *, CASE WHEN stale_ratio > 0.1 THEN 'RESCAN' WHEN stale_ratio = 0 THEN 'OK' ELSE 'PARTIAL_RESCAN' END AS recommendation FROM b",
+)
+def o56_staleness(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return incremental.staleness(incremental.diff(old, new, ["repo", "path"]))
+
+
+@query("o72_merge", f"WITH {_SNAP} SELECT repo, path, file_id, hash FROM old WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.repo = old.repo AND n.path = old.path) UNION ALL SELECT repo, path, file_id, hash FROM new")
+def o72_merge(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    cols = ["repo", "path", "file_id", "hash"]
+    return incremental.merge(old.select(cols), new.select(cols), old.select("repo", "path").limit(0), ["repo", "path"])
+
+
+@query("o118_verify_hash", f"WITH {_SNAP} SELECT o.repo, o.path, coalesce(o.hash = n.hash, false) AS fresh FROM old o LEFT JOIN new n USING (repo, path)")
+def o118_verify_hash(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return incremental.verify_hash(new, old, ["repo", "path"])
+
+
+@query(
+    "o73_symbol_drift",
+    "WITH a AS (SELECT DISTINCT file_id, unnest(functions) AS name FROM source_files), b AS (SELECT DISTINCT file_id, name FROM code_symbols WHERE symbol_type IN ('function', 'method')) SELECT file_id, name, CASE WHEN b.name IS NULL THEN 'only_left' ELSE 'only_right' END AS side FROM (SELECT * FROM a WHERE name IS NOT NULL) a FULL JOIN (SELECT *, name AS k FROM b WHERE name IS NOT NULL) b USING (file_id, name) WHERE b.k IS NULL OR a.file_id IS NULL".replace("CASE WHEN b.name IS NULL", "CASE WHEN b.k IS NULL").replace("a.file_id IS NULL", "a.k IS NULL").replace("SELECT * FROM a WHERE name", "SELECT *, name AS k FROM a WHERE name"),
+)
+def o73_symbol_drift(spark, sf_dir):
+    a = _files(spark, sf_dir).select("file_id", F.explode("functions").alias("name"))
+    b = table(spark, sf_dir, "code_symbols").where("symbol_type IN ('function', 'method')")
+    return incremental.set_difference(a, b, ["file_id"], "name")
+
+
+@query("o74_match_ratio")
+def o74_match_ratio(spark, sf_dir):
+    return findings.symbol_match(_docs(spark, sf_dir).where("text IS NOT NULL"), "doc_id", table(spark, sf_dir, "code_symbols"), "text")
+
+
+@query(
+    "o60_entropy_changes",
+    f"WITH {_DOC_H}, k AS (SELECT d.repo, d.doc_id, coalesce(abs(h.h), 0) AS h FROM documents d LEFT JOIN h USING (doc_id)), w AS (SELECT *, round(abs(h - coalesce(lag(h) OVER (PARTITION BY repo ORDER BY doc_id), 0)), 6) AS delta FROM k) SELECT repo, doc_id, h, delta FROM w WHERE delta > 0.4",
+)
+def o60_entropy_changes(spark, sf_dir):
+    return packing_context.changes_in_entropy(_docs(spark, sf_dir), ["repo"], ["doc_id"], "text")
+
+
+@query("o61_chunk_weights")
+def o61_chunk_weights(spark, sf_dir):
+    return packing_context.chunk_weights(_docs(spark, sf_dir), ["repo"], ["doc_id"], "text")
+
+
+@query("o94_adaptive_sample")
+def o94_adaptive_sample(spark, sf_dir):
+    return packing_context.adaptive_sample(_docs(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "text").select("doc_id")
+
+
+@query("o63_critical_symbols", "SELECT repo, callee, count(DISTINCT caller) AS callers FROM call_edges WHERE callee IS NOT NULL GROUP BY 1, 2 ORDER BY callers DESC, repo, callee LIMIT 20")
+def o63_critical_symbols(spark, sf_dir):
+    per = table(spark, sf_dir, "call_edges").where("callee IS NOT NULL").groupBy("repo", "callee").agg(F.countDistinct("caller").alias("callers"))
+    return per.orderBy(F.desc("callers"), "repo", "callee").limit(20)
+
+
+@query("o67_hierarchy", "SELECT DISTINCT repo, path FROM source_files ORDER BY repo, path LIMIT 200")
+def o67_hierarchy(spark, sf_dir):
+    return _files(spark, sf_dir).select("repo", "path").distinct().orderBy("repo", "path").limit(200)
+
+
+@query(
+    "o97_task_ranking",
+    f"""WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', k=3)},
+near AS (SELECT repo, start, start AS node, 1.0 AS score FROM hubs UNION ALL SELECT h.repo, h.start, e.dst, 0.8 FROM hubs h JOIN e ON e.repo = h.repo AND e.src = h.start UNION ALL SELECT h.repo, h.start, e.src, 0.9 FROM hubs h JOIN e ON e.repo = h.repo AND e.dst = h.start),
+u AS (SELECT * FROM near UNION ALL SELECT b.repo, b.start, b.node, 0.5 FROM best b WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.repo = b.repo AND n.start = b.start AND n.node = b.node)), m AS (SELECT repo, start, node, max(score)::DOUBLE AS score FROM u GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY repo, start ORDER BY score DESC, node) AS INTEGER) AS rank FROM m QUALIFY rank <= 30""",
+)
+def o97_task_ranking(spark, sf_dir):
+    return packing_context.task_ranking(table(spark, sf_dir, "file_deps"), _hubs(spark, sf_dir), "refactor", ["repo"])
+
+
+@query("o96_collapse", "SELECT file_id, coalesce(len(classes), 0) = 0 AND coalesce(len(functions), 0) = 0 AND coalesce(code_lines, 0) < 10 AS collapsed FROM source_files")
+def o96_collapse(spark, sf_dir):
+    return packing_context.collapse(_files(spark, sf_dir)).select("file_id", "collapsed")
+
+
+@query("o95_compact_json")
+def o95_compact_json(spark, sf_dir):
+    return packing_context.compact_json(table(spark, sf_dir, "repo_contexts"), "context_id", "payload")
+
+
+@query(
+    "o95_short_names",
+    r"""WITH n AS (SELECT DISTINCT name FROM code_symbols WHERE name IS NOT NULL), p AS (SELECT name, array_to_string(list_transform(list_filter(string_split(name, '_'), lambda x: x <> ''), lambda x: x[1]), '') AS ini, lower(regexp_replace(name, '[^A-Z]', '', 'g')) AS cap FROM n)
+SELECT name, CASE WHEN len(name) <= 3 THEN name WHEN contains(name, '_') AND len(ini) >= 2 THEN ini WHEN len(cap) >= 2 THEN cap ELSE name[1:3] END AS short FROM p""",
+)
+def o95_short_names(spark, sf_dir):
+    return table(spark, sf_dir, "code_symbols").where("name IS NOT NULL").select("name").distinct().withColumn("short", T.shorten_field(F.col("name")))
+
+
+@query(
+    "o87_simhash",
+    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+h AS (SELECT word, sha256(word)[1:32] AS x FROM (SELECT DISTINCT word FROM c)), b AS (SELECT word, i, (strpos('0123456789abcdef', x[i // 4 + 1]) - 1) >> (3 - i % 4) & 1 AS bit FROM h, range(0, 128) r(i)),
+v AS (SELECT doc_id, i, CASE WHEN sum(CASE WHEN bit = 1 THEN n ELSE -n END) > 0 THEN 1 ELSE 0 END AS bit FROM c JOIN b USING (word) GROUP BY ALL)
+SELECT doc_id, sum(CASE WHEN i = 0 THEN -bit::HUGEINT * 9223372036854775808 WHEN i < 64 THEN bit::HUGEINT * (1::HUGEINT << (63 - i)) ELSE 0 END)::BIGINT AS hi, sum(CASE WHEN i = 64 THEN -bit::HUGEINT * 9223372036854775808 WHEN i > 64 THEN bit::HUGEINT * (1::HUGEINT << (127 - i)) ELSE 0 END)::BIGINT AS lo FROM v GROUP BY 1""",
+)
+def o87_simhash(spark, sf_dir):
+    return similarity.simhash(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@query("o90_hybrid_search")
+def o90_hybrid_search(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return similarity.hybrid_search(docs.where("doc_id % 50 = 0"), docs, "doc_id", "text", 5, 45.0).withColumns({c: F.round(c, 6) for c in ("similarity", "simhash_score", "keyword_score")})
+
+
+@query(
+    "o92_focus_projection",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: q.e[i] * v.e[i])) AS d, list_sum(list_transform(q.e, lambda x: x * x)) AS a, list_sum(list_transform(v.e, lambda x: x * x)) AS b FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, id, round(d * d / (a * b), 6) AS cos2 FROM p WHERE d * d > 0.1 * (a * b)""",
+)
+def o92_focus_projection(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    return similarity.focus_projection(vecs.where("vec_id % 50 = 0"), vecs, "vec_id", "embedding", 0.1**0.5).withColumn("cos2", F.round("cos2", 6))
+
+
+@query(
+    "o93_symbol_cosine",
+    """WITH e AS (SELECT DISTINCT file_id, unnest(functions) AS f FROM source_files), k AS (SELECT * FROM e WHERE f IS NOT NULL), n AS (SELECT file_id, count(*)::DOUBLE AS n FROM k GROUP BY 1), c AS (SELECT a.file_id AS query_id, b.file_id AS id, count(*) AS m FROM k a JOIN k b ON a.f = b.f AND a.file_id <> b.file_id WHERE a.file_id % 50 = 0 GROUP BY 1, 2),
+s AS (SELECT query_id, id, round(m / sqrt(x.n * y.n), 6) AS similarity FROM c JOIN n x ON x.file_id = query_id JOIN n y ON y.file_id = id) SELECT * FROM s WHERE similarity > 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10""",
+)
+def o93_symbol_cosine(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return similarity.set_cosine(files.where("file_id % 50 = 0"), files, "file_id", "functions")
+
+
+_SIGNALS = "SELECT file_id, unnest([" + ", ".join(f"{{'label': '{a}', 'category': '{b}', 'severity': '{c}', 'n': CAST(len(regexp_extract_all(content, $q${p}$q$)) AS INTEGER)}}" for a, b, c, p in findings.TEXT_SECRETS) + "]) AS f FROM source_files WHERE content IS NOT NULL"
+
+
+@query("o115_secret_signals", f"SELECT file_id, f.label, f.category, f.severity, f.n FROM ({_SIGNALS}) WHERE f.n > 0")
+def o115_secret_signals(spark, sf_dir):
+    return findings.secret_signals(_files(spark, sf_dir), "file_id", "content")
+
+
+@query("o99_secret_risk", f"SELECT file_id, max(CASE f.severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.4 ELSE 0.1 END)::DOUBLE AS risk, CASE WHEN max(CASE f.severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.4 ELSE 0.1 END) > 0.5 THEN 'HIGH' WHEN max(CASE f.severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.4 ELSE 0.1 END) > 0.1 THEN 'MODERATE' ELSE 'LOW' END AS level FROM ({_SIGNALS}) WHERE f.n > 0 GROUP BY 1")
+def o99_secret_risk(spark, sf_dir):
+    return findings.secret_risk(findings.secret_signals(_files(spark, sf_dir), "file_id", "content"), "file_id")
+
+
+_GRID = "g AS (SELECT file_id, greatest(0, least(1, coalesce(code_lines, 0) / greatest(1, lines)::DOUBLE)) AS s, greatest(0, least(1, (size % 97) / 97.0::DOUBLE)) AS c, greatest(0, least(1, 1 - (file_id % 31) / 31.0::DOUBLE)) AS p FROM source_files WHERE lines IS NOT NULL)"
+
+
+def _grid(spark, sf_dir):
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return _files(spark, sf_dir).where("lines IS NOT NULL").select(
+        "file_id", share(F.coalesce("code_lines", F.lit(0)) / F.greatest(F.lit(1), F.col("lines")).cast("double")).alias("s"), share(F.col("size") % 97 / F.lit(97.0)).alias("c"), share(1 - F.col("file_id") % 31 / F.lit(31.0)).alias("p")
+    )
+
+
+def _aura_sql() -> str:
+    """The five rounds of the field score, written out."""
+    steps, last = [], "g"
+    for k in range(1, 6):
+        steps.append(f"m{k} AS (SELECT file_id, s AS x, 0.75 * s + 0.15 * c + 0.10 * p AS y, 0.70 * s + 0.10 * c + 0.20 * p AS z FROM {last}), n{k} AS (SELECT file_id, CASE WHEN greatest(x, y, z) > 0 THEN greatest(x, y, z) ELSE 1 END AS m, x / m AS s, y / m AS c, z / m AS p FROM m{k})")
+        last = f"n{k}"
+    return ", ".join(steps)
+
+
+@query("o98_field_score", f"WITH {_GRID}, {_aura_sql()} SELECT file_id, round(0.6 * s + 0.2 * c + 0.2 * p, 6) AS aura FROM n5")
+def o98_field_score(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", F.round(Q.field_score(F.col("s"), F.col("c"), F.col("p")), 6).alias("aura"))
+
+
+@query("o100_confidence", "SELECT 19.0::DOUBLE AS kappa, 7.6::DOUBLE AS stability, 0.532::DOUBLE AS confidence")
+def o100_confidence(spark, sf_dir):
+    kappa = Q.condition_number()
+    return spark.range(1).select(F.round(F.lit(kappa), 6).alias("kappa"), F.round(F.lit(kappa / 2.5), 6).alias("stability"), Q.confidence(F.lit(kappa / 2.5)).alias("confidence"))
+
+
+@query("o101_pulse", f"WITH {_GRID} SELECT file_id, round(s * (1 - 0.25 * c), 4) AS pulse, s * (1 - 0.25 * c) > 0.65 AS stable FROM g")
+def o101_pulse(spark, sf_dir):
+    pulse = Q.pulse(F.col("s"), F.col("c"), F.lit("Refactor"))
+    return _grid(spark, sf_dir).select("file_id", F.round(pulse, 4).alias("pulse"), (pulse > 0.65).alias("stable"))
+
+
+@query(
+    "o58_combined_state",
+    f"WITH {_GRID}, r AS (SELECT file_id, CASE WHEN s >= 0.8 THEN 0 WHEN s >= 0.5 THEN 2 WHEN s >= 0.2 THEN 5 ELSE 6 END AS a, CASE WHEN c <= 0.1 THEN 0 WHEN c <= 0.3 THEN 2 WHEN c <= 0.6 THEN 5 ELSE 6 END AS b FROM g) SELECT file_id, ['STABLE', 'SLEEPING', 'WEAK', 'SATURATED', 'NEG_ZERO', 'UNSTABLE', 'DEGENERATE'][greatest(a, b) + 1] AS state FROM r",
+)
+def o58_combined_state(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", Q.combine(Q.band(F.col("s"), 0.8, 0.5, 0.2), Q.band(F.col("c"), 0.1, 0.3, 0.6, rising=False)).alias("state"))
+
+
+@query("o103_guard_verdict", f"WITH {_GRID}, r AS (SELECT file_id, greatest(CASE WHEN s >= 0.9 THEN 0 WHEN s >= 0.7 THEN 2 WHEN s >= 0.4 THEN 5 ELSE 6 END, CASE WHEN c <= 0.1 THEN 0 WHEN c <= 0.3 THEN 2 WHEN c <= 0.6 THEN 5 ELSE 6 END) AS k FROM g) SELECT file_id, CASE WHEN k = 0 THEN 'SAFE' WHEN k IN (2, 5) THEN 'WARNING' ELSE 'HALLUCINATION_DETECTED' END AS verdict FROM r")
+def o103_guard_verdict(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", Q.guard_verdict(F.col("s"), F.col("c") * 8, F.lit(False)).alias("verdict"))
+
+
+@query("o106_drift_gate", f"WITH {_GRID} SELECT file_id, CASE WHEN c > 0.20 THEN 'fail' WHEN c > 0.05 THEN 'warn' ELSE 'ok' END AS gate FROM g")
+def o106_drift_gate(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", Q.drift_gate(F.col("c")).alias("gate"))
+
+
+@query("o42_name_filter", "SELECT DISTINCT repo, name FROM code_symbols WHERE len(name) > 3 AND name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'with', 'main')")
+def o42_name_filter(spark, sf_dir):
+    return table(spark, sf_dir, "code_symbols").where((F.length("name") > 3) & ~F.col("name").isin("if", "for", "while", "switch", "catch", "with", "main")).select("repo", "name").distinct()
+
+
+@query("o45g_symbol_references")
+def o45g_symbol_references(spark, sf_dir):
+    return structure.symbol_references(table(spark, sf_dir, "code_symbols"), _files(spark, sf_dir), ["repo"])
+
+
+@query("o45d_shared_symbols", "SELECT name, count(DISTINCT repo || ':' || file) AS n_files, count(*) AS n FROM code_symbols WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT repo || ':' || file) > 1")
+def o45d_shared_symbols(spark, sf_dir):
+    return table(spark, sf_dir, "code_symbols").where("name IS NOT NULL").groupBy("name").agg(F.countDistinct(F.concat("repo", F.lit(":"), "file")).alias("n_files"), F.count(F.lit(1)).alias("n")).where("n_files > 1")
+
+
+@query("o15_export")
+def o15_export(spark, sf_dir):
+    from seamstone.sources import exporters
+
+    return exporters.render(_files(spark, sf_dir), "markdown")
