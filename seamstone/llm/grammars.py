@@ -464,12 +464,14 @@ PYTHON = """
 File = Stmt* ;
 Stmt = Simple ( SEMI Simple )* SEMI? ';' | Compound | ';' ;
 Suite = ( Simple ( SEMI Simple )* SEMI? ';' ) | ';' block{File} ;
-Simple = ExprStmt | 'return' Exprs? | 'import' Dotted ( ',' Dotted )* | 'from' ( '.' | '...' )* DottedName? 'import' ( '*' | Aliases | paren{Aliases} ) | 'pass' | 'break' | 'continue' | 'raise' ( Expr ( 'from' Expr )? )? | 'del' Exprs | ( 'global' | 'nonlocal' ) Name ( ',' Name )* | 'assert' Expr ( ',' Expr )? | 'type' Name Tp? '=' Expr ;
+Simple = ExprStmt | 'return' Plain? | 'import' Dotted ( ',' Dotted )* | 'from' ( ( '.' | '...' )+ DottedName? | DottedName ) 'import' ( '*' | Aliases | paren{Aliases} ) | 'pass' | 'break' | 'continue' | 'raise' ( Expr ( 'from' Expr )? )? | 'del' Exprs | ( 'global' | 'nonlocal' ) Name ( ',' Name )* | 'assert' Expr ( ',' Expr )? | 'type' Name Tp? '=' Expr ;
 Dotted = DottedName ( 'as' Name )? ;
 DottedName = Name ( '.' Name )* ;
 Aliases = Alias ( ',' Alias )* ','? ;
 Alias = Name ( 'as' Name )? ;
-ExprStmt = Exprs ( ':' Expr ( '=' ( Exprs | Yield ) )? | ASG ( Exprs | Yield ) | ( '=' ( Exprs | Yield ) )* ) | Yield ;
+ExprStmt = Plain | Yield | ( Targets '=' )+ ( Plain | Yield ) | Target1 ':' Expr ( '=' ( Plain | Yield ) )? | Target1 ASG ( Plain | Yield ) ;
+Plain = PlainStar ( ',' PlainStar )* ','? ;
+PlainStar = '*'? Expr ;
 Yield = 'yield' ( 'from' Expr | Exprs )? ;
 Compound = ( '@' Named DNL )* ( 'async'? 'def' Name Tp? paren{Params} ( '->' Expr )? ':' Suite | 'class' Name Tp? paren{Args}? ':' Suite )
   | 'if' Named ':' Suite ( 'elif' Named ':' Suite )* ( 'else' ':' Suite )? | 'while' Named ':' Suite ( 'else' ':' Suite )? | 'async'? 'for' Targets 'in' Exprs ':' Suite ( 'else' ':' Suite )?
@@ -494,7 +496,9 @@ Param = Name ( ':' Expr )? ( '=' Expr )? | '*' ( Name ( ':' '*'? Expr )? )? | '*
 LParams = LParam ( ',' LParam )* ','? ;
 LParam = Name ( '=' Expr )? | '*' Name? | '**' Name | '/' ;
 Targets = Target ( ',' Target )* ','? ;
-Target = '*'? Postfix ;
+Target = '*'? Target1 ;
+Target1 = Name | Prim ( '.' Name | paren{Args} | brack{Subs} )* ( '.' Name | brack{Subs} ) | paren{TargetGroup} | brack{TargetGroup} ;
+TargetGroup = Targets? ;
 Exprs = Star ( ',' Star )* ','? ;
 Star = '*' Expr | Named ;
 Named = ( Name WALRUS )? Expr ;

@@ -573,7 +573,7 @@ def lex_python(grammar: Grammar, text: str) -> int:
     for m in _python_tokens.finditer(text):
         kind = m.lastgroup
         if kind == "w":
-            nest.now.append("ID" if nest.now and nest.now[-1] == "." else _PYTHON_WORDS.get(m[0], "ID"))
+            nest.now.append(_PYTHON_WORDS.get(m[0], "ID"))
             fresh = False
         elif kind == "o":
             op = m[0]
