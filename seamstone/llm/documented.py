@@ -6,8 +6,8 @@ blocks, and lag and lead windows attach the block above or the string below to
 a function's line.
 
 Everything up to the attached text is built-in SQL over one hash partitioning
-by file: contents are shuffled once (before the explode), and all windows,
-aggregations and the join with the symbols reuse that partitioning.  Tokens
+by file: contents are shuffled once (before the explode), and all windows
+and aggregations reuse that partitioning; symbols join by file and line.  Tokens
 carry their text only where it is a comment or a leading string.
 """
 
@@ -150,12 +150,13 @@ def function_docs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     null content, and lines that hold no code, come out with null ``doc``;
     repeated symbols each get a row.
     """
-    wanted = symbols.where(F.col("symbol_type").isin("function", "method")).select("symbol_id", "file_id", "line", "name", "signature").repartition("file_id")
+    wanted = symbols.where(F.col("symbol_type").isin("function", "method")).select("symbol_id", "file_id", "line", "name", "signature")
     texts = files.where(F.col("content").isNotNull()).select("file_id", "path", "content").repartition("file_id")
     used = texts.join(wanted.select("file_id").distinct(), "file_id", "left_semi")
-    docs = documentation(logical_lines(tokens_of(used)))
-    found = wanted.alias("s").join(docs.alias("d"), (F.col("s.file_id") == F.col("d.file_id")) & (F.col("s.line") >= F.col("d.line")) & (F.col("s.line") <= F.col("d.end_line")), "left")
-    return found.select("s.symbol_id", "s.name", "s.signature", F.coalesce("d.below", "d.above").alias("doc"))
+    docs = documentation(logical_lines(tokens_of(used))).select("file_id", F.explode(F.sequence("line", "end_line")).alias("line"), F.coalesce("below", "above").alias("doc")).where(F.col("doc").isNotNull())
+    # joined by file and line: a file that holds very many of the symbols is spread over its lines
+    found = wanted.alias("s").join(docs.alias("d"), (F.col("s.file_id") == F.col("d.file_id")) & (F.col("s.line") == F.col("d.line")), "left")
+    return found.select("s.symbol_id", "s.name", "s.signature", "d.doc")
 
 
 # ---- what a documentation says -------------------------------------------------

@@ -400,7 +400,7 @@ Args = ( Arg ( ',' Arg )* ','? )? ;
 Arg = ( Word ':' )? '...'? Expr | '...' ;
 Expr = Unary ( Bin Unary | 'instanceof' Unary )* ( '?' Expr? ':' Expr )* ( ( '=' '&'? | ASG ) Expr )? ( LOGIC Expr )? ;
 Bin = BIN | ADD | '*' | '<' | '>' | '&' | '|' | '.' | '??' ;
-Unary = ( ADD | UN | '!' | INC | '&' | SILENT | 'new' | 'clone' | 'print' | 'yield' 'from'? | 'throw' | 'include' | 'require' | CAST )* Postfix | 'yield' | Fn ;
+Unary = ( ADD | UN | '!' | INC | '&' | SILENT | 'new' | 'clone' | 'print' | 'yield' 'from'? | 'throw' | 'include' | 'require' | CAST )* Postfix | 'yield' ( Expr ( '=>' Expr )? )? | Fn ;
 Fn = Attr* 'static'? ( 'function' '&'? paren{Params} ( 'use' paren{Params} )? ( ':' Type )? curly{Block} | 'fn' '&'? paren{Params} ( ':' Type )? '=>' Expr ) ;
 Postfix = Prim Tail* INC? ;
 Prim = VAR | '$' Prim | '$' curly{Expr} | Path | NUM | STR | 'null' | 'true' | 'false' | 'self' | 'parent' | 'static' | 'array' paren{Items} | brack{Items} | 'list' paren{Items} | paren{Expr} | Fn | 'match' paren{Expr} curly{Arms} | 'class' paren{Args}? ( 'extends' Path )? ( 'implements' Paths )? curly{Body} | ( 'isset' | 'empty' | 'exit' ) paren{Args}? ;
@@ -451,7 +451,7 @@ CmdArg = ( '*' | '**' | '&' )? Expr ( '=>' Expr )? | LABEL Expr? | STR ':' Expr
 Postfix1 = ( Prim Tail* ( '.' | '&.' | '::' ) )? ( Word | CONST ) | 'super' | 'yield' | 'puts' ;
 Postfix = Prim Tail* ;
 Tail = ( '.' | '&.' | '::' ) ( Word | CONST | OpName | paren{Args} ) | paren{Args} | brack{Args} | curly{BraceBlock} | block{DoBlock} ;
-Prim = ID | CONST | VAR | NUM | STR STR* | SYM | REGEX | HEREDOC | 'nil' | 'true' | 'false' | 'self' | 'super' | '__method__' | paren{Body} | brack{Args} | curly{Hash} | block{Keyword} | ARROW ( paren{Params} | Params1 )? ( curly{BraceBlock} | block{DoBlock} ) | '::' CONST | 'yield' ;
+Prim = ID | CONST | VAR | NUM | STR STR* | SYM | REGEX | HEREDOC | 'nil' | 'true' | 'false' | 'self' | 'super' | '__method__' | paren{Body} | brack{Args} | curly{Hash} | block{Keyword} | 'DEF' DefHead '=' ';'? Stmt | ARROW ( paren{Params} | Params1 )? ( curly{BraceBlock} | block{DoBlock} ) | '::' CONST | 'yield' ;
 Path = '::'? CONST ( '::' CONST )* ;
 Args = ';'* ( Arg ( ',' ';'* Arg )* ','? )? ';'* ;
 Arg = ( '*' | '**' | '&' )? Expr ( '=>' ';'? Expr )? | LABEL ( ';'? Expr )? | STR ':' Expr | '&' | '*' | '**' | Command ;
@@ -553,7 +553,7 @@ Nothing = ;
 Index = Expr? ;
 Params = ( Param ( ',' Param )* ','? '...'? | '...' )? ;
 Param = Attr* Specs1 ( Declr | AbsDeclr )? ( '=' Init )? ;
-FnTail = 'const' | MOD | '&' | AND | 'noexcept' paren{AnyTokens}? | 'override' | 'final' | '->' Type | 'throw' paren{AnyTokens} | 'requires' Cond | Attr ;
+FnTail = 'const' | 'mutable' | 'constexpr' | 'static' | MOD | '&' | AND | 'noexcept' paren{AnyTokens}? | 'override' | 'final' | '->' Type | 'throw' paren{AnyTokens} | 'requires' Cond | Attr ;
 Func = Spec* ( QName Spec* )? Declr FnTail* ( ':' MemInit ( ',' MemInit )* )? ( curly{Stmts} | 'try' curly{Stmts} Catch+ | '=' ( 'default' | 'delete' | NUM ) ';' ) ;
 Ctor = Template* Spec* UN? Name paren{Params} FnTail* ( ':' MemInit ( ',' MemInit )* )? ( curly{Stmts} | ';' | '=' ( 'default' | 'delete' ) ';' ) ;
 MemInit = QName ( paren{Args} | curly{Inits} ) '...'? ;

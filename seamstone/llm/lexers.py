@@ -65,7 +65,7 @@ _WORD = r"[^\W\d]\w*"
 
 
 def plain_lexer(
-    skip: str, strings: str, number_suffix: str, ops: dict[str, str], keywords: dict[str, str], chars: str = r"(?!)", word: str = _WORD, member: tuple[str, ...] = (), line_ends: frozenset[str] | None = None
+    skip: str, strings: str, number_suffix: str, ops: dict[str, str], keywords: dict[str, str], chars: str = r"(?!)", word: str = _WORD, member: tuple[str, ...] = (), line_ends: frozenset[str] | None = None, number: str = _NUMBER
 ) -> Callable[[Grammar, str], int]:
     """Lexer of a language whose tokens do not depend on what is around them.
 
@@ -74,7 +74,7 @@ def plain_lexer(
     """
     newline = r"(?P<n>\n)|" if line_ends is not None else ""
     pattern = re.compile(
-        rf"{_MERGE}|{newline}(?P<s>{skip})|(?P<w>{word})|(?P<d>{_NUMBER % number_suffix})|(?P<q>{strings})|(?P<c>{chars})|(?P<o>{operator_pattern(ops)})|(?P<e>[^\s])",
+        rf"{_MERGE}|{newline}(?P<s>{skip})|(?P<q>{strings})|(?P<c>{chars})|(?P<w>{word})|(?P<d>{number % number_suffix})|(?P<o>{operator_pattern(ops)})|(?P<e>[^\s])",
         re.M,
     )
     find = pattern.finditer
@@ -109,7 +109,7 @@ def plain_lexer(
             elif kind == "d":
                 nest.now.append("NUM")
             elif kind == "c":
-                nest.now.append("CHAR")
+                nest.now.append("CHAR" if m[0][-1] == "'" else "LIFE")
             else:
                 raise Rejected
         return nest.finish()
@@ -333,6 +333,7 @@ lex_rust = plain_lexer(
         "use extern crate as mod unsafe const static mut type struct union enum auto trait impl for pub self super Self fn async default where dyn let if else match loop while in move ref box return yield break continue true false await raw _"
     ),
     chars=r"b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]{1,8}\}|x[0-9a-fA-F]{2}|.))'|(?P<life>'[^\W\d]\w*)",
+    number=_NUMBER.replace(r"?|\.\d[\d_]*)(?:[eE]", "?)(?:[eE]"),
 )
 
 _CPP_OPS = operators(ADD="+ -", UN="~", INC="++ --", ASG="+= -= *= /= %= <<= >>= &= |= ^=", BIN="/ % << <= >= == != <=> ^", AND="&&", OR="||", own_="! * < > & | = -> ->* .* :: ? : ; , . ...")
@@ -497,6 +498,12 @@ def lex_ruby(grammar: Grammar, text: str) -> int:
                     raise Rejected
                 now.append("REGEX")
                 at = r.end()
+            elif op == "=" and nest.stack and nest.stack[-1][0] == "def" and ";" not in now and len(now) > 1:
+                if last != "paren" and text[at : at + 1] == "(":
+                    continue  # the name of a setter
+                head = now
+                _, nest.now, _ = nest.stack.pop()
+                nest.now += ["DEF", *head[1:], "="]
             else:
                 if op == ";" and loops and loops[-1] == len(nest.stack):
                     loops.pop()
@@ -556,7 +563,7 @@ _PYTHON_OPS = operators(ADD="+ -", UN="~", ASG="+= -= *= /= //= %= **= @= <<= >>
 _PYTHON_WORDS = words("and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try type while with yield None True False")
 _PY_PREFIX = r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"
 _python_tokens = re.compile(
-    rf"{_MERGE}|(?P<n>\r?\n)|(?P<s>[ \t\f]+|\\\r?\n|\#[^\n]*)|(?P<q>{_PY_PREFIX}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|{_DQ}|{_SQ}))|(?P<w>{_WORD})"
+    rf"{_MERGE}|(?P<n>\r?\n)|(?P<s>[ \t\f]+|\\\r?\n|\#[^\n]*)|(?P<q>{_PY_PREFIX}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?!\"\"){_DQ[1:]}|'(?!''){_SQ[1:]}))|(?P<w>{_WORD})"
     rf"|(?P<d>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))|(?P<o>{operator_pattern(_PYTHON_OPS)})|(?P<e>\S)",
     re.M,
 )
