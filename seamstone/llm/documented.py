@@ -110,11 +110,9 @@ def documentation(lines: DataFrame) -> DataFrame:
     by_line = Window.partitionBy("file_id").orderBy("island")
     upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = F.sum(F.when(F.col("kind") == "mark", F.col("end_line") - F.col("line") + 1).otherwise(0)).over(upto)
-    following = F.lead(F.struct("kind", "text")).over(by_line)
     # decorators taken out: what was above them now ends on the line before
     bare = (
         lines.withColumn("marks", marks)
-        .withColumn("next", following)
         .where(F.col("kind") != "mark")
         .withColumn("at", F.col("line") - F.col("marks"))
         .withColumn("till", F.col("end_line") - F.col("marks"))
@@ -127,14 +125,15 @@ def documentation(lines: DataFrame) -> DataFrame:
         .withColumn("block", F.sum(breaks).over(upto))
         .groupBy("file_id", "block")
         .agg(
-            F.first("ext").alias("ext"), F.min("kind").alias("kind"), F.min("island").alias("island"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("at").alias("at"), F.max("till").alias("till"), F.max(F.struct("island", "next")).getField("next").alias("next"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "comment", F.struct("island", "text")))), lambda x: x.getField("text")), "\n").alias("text"),
+            F.first("ext").alias("ext"), F.min("kind").alias("kind"), F.min("island").alias("island"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("at").alias("at"), F.max("till").alias("till"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("island", "text")))), lambda x: x.getField("text")), "\n").alias("text"),
         )
     )
     above = F.lag(F.struct("kind", "till", "text")).over(by_line)
     return (
         blocks.withColumn("up", above)
         .where(F.col("kind") != "comment")
+        .withColumn("next", F.lead(F.struct("kind", "text")).over(by_line))
         .select(
             "file_id", "line", "end_line",
             F.when((F.col("up.kind") == "comment") & (F.col("at") == F.col("up.till") + 1), F.col("up.text")).alias("above"),

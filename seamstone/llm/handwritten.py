@@ -86,16 +86,19 @@ _NOT_ALNUM = re.compile(r"[^A-Za-z0-9]+")
 
 
 def layout(text: str) -> tuple[int, int, float, float, float, float, float, float, float]:
-    """(lines, longest line, mean line, space, letters and digits, numbers a word, characters in numbers, in encoded runs, lines of literals only)."""
-    lines = text.splitlines() or [""]
+    """(lines, longest line, mean line, space, letters and digits, numbers a word, characters in numbers, in encoded runs, lines of literals only).
+
+    Key blocks are left out of the lines and of the encoded runs.
+    """
+    plain = _KEY_BLOCK.sub(" ", text) if "-----BEGIN " in text else text
+    lines = plain.splitlines() or [""]
     n = max(1, len(text))
     numbers = _NUMBER.findall(text)
     words = len(re.findall(r"\w+", text))
-    plain = _KEY_BLOCK.sub(" ", text) if "-----BEGIN " in text else text
     return (
         len(lines),
         max(map(len, lines)),
-        len(text) / len(lines),
+        len(plain) / len(lines),
         1 - len("".join(text.split())) / n,
         len(_NOT_ALNUM.sub("", text)) / n,
         len(numbers) / max(1, words),

@@ -105,6 +105,10 @@ CHROME = (
     r"skip to (?:main )?content",
     r"(?:menu|home|search|help|files|issues|sign in|log ?in|login|about|contact|anasayfa|startseite|suche|hilfe)(?:[ |·/>•\-]+(?:menu|home|search|help|files|issues|pulls|wiki|sign in|sign up|log ?in|about|contact|settings|ara|yardim|suche|hilfe))*",
 )
+#: What a longer sentence says that talks about such pages instead of being one.
+TALK = r"\b(?:also|still|even) works?\b|\bbecause\b|\bso that\b|\bif you see\b|\bwe (?:replaced|removed|changed|fixed|added|renamed|moved|log|show|return)\b|\b(?:error|status) (?:page|code) of\b|\bpreview\b"
+_TALK_WORDS = 8
+_TALK = re.compile(TALK, re.I)
 _any = lambda parts: re.compile("|".join(f"(?:{p})" for p in parts), re.I)
 _FILLER, _ERROR, _NOTICE = _any(FILLER), _any(ERRORS), _any(NOTICES)
 _CHROME = re.compile("(?:" + "|".join(CHROME) + ")", re.I)
@@ -149,8 +153,10 @@ def shares(text: str, page: bool = True) -> dict[str, float]:
             continue
         plain = sentence.rstrip(".!?: ")
         latin = sum(w in LATIN_FILLER for w in words)
-        if (latin >= 3 and 2 * latin >= len(words)) or (len(words) <= _FILLER_WORDS and _FILLER.search(plain)):
+        if (latin >= 3 and 2 * latin >= len(words)) or (len(words) <= _FILLER_WORDS and _FILLER.search(plain) and not (len(words) >= _TALK_WORDS and _TALK.search(plain))):
             kind = "filler"
+        elif len(words) >= _TALK_WORDS and _TALK.search(plain):
+            kind = "content"
         elif page and _NOTICE.search(plain):
             kind = "notice"
         elif page and _ERROR.search(plain):
