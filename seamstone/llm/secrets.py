@@ -83,10 +83,14 @@ RULES = (
 _COMPILED = [(r, re.compile(r.pattern, r.flags), required(r.pattern, r.flags)) for r in RULES]
 _WANTED = sorted(set().union(*(trigrams_in(n) for _, _, n in _COMPILED)))
 
-_PLACEHOLDER = re.compile(
-    r"(?i)^(?:todo|tbd|none|null|nil|undefined|true|false|unset|empty|secret|password|passwort|parola|token|changeme|change[_\-]?it)\W*$"
-    r"|change[_\- ]?me|replace[_\- ]?(?:me|this|with)|placeholder|example|sample[_\-]|dummy|your[_\- ]|my[_\-](?:pass|secret|token|key)|insert[_\- ]|fill[_\- ]?in|redacted|masked|not[_\- ]?(?:a[_\- ])?real|fake|xxxx|\*\*\*|\.\.\.|<[^>]*>"
-    r"|^\$|\$\{|\{\{|^\{|%\(|^%\w+%$|#\{|^env[:.(]|^vault[:/]|^secret[s]?[:/]|^file:|^ref[:+]|^arn:|^ssm:|os\.environ|process\.env|getenv|^@@|^__|^\[|^ENC\[|^sha\d+[:\-]|^md5[:\-]"
+#: Forms that refer to a value kept elsewhere, or mask it.
+_REFERENCE = re.compile(
+    r"(?i)^\$|\$\{|\{\{|^\{|%\(|^%\w+%$|#\{|^<[^>]*>$|^env[:.(]|^vault[:/]|^secrets?[:/]|^file:|^ref[:+]|^arn:|^ssm:|os\.environ|process\.env|getenv|^@@|^__|^\[|^ENC\[|^sha\d+[:\-]|^md5[:\-]|x{6,}|\*\*\*|\.\.\."
+)
+#: Words that stand in for a value; a value with several digits is not made of them.
+_STAND_IN = re.compile(
+    r"(?i)^(?:todo|tbd|none|null|nil|undefined|true|false|unset|empty|secret|password|passwort|parola|token|change_?it)\W*$"
+    r"|change[_\- ]?me|replace[_\- ]?(?:me|this|with)|placeholder|example|sample[_\-]|dummy|your[_\- ]|my[_\-](?:pass|secret|token|key)|insert[_\- ]|fill[_\- ]?in|redacted|masked|not[_\- ]?(?:a[_\- ])?real|fake|<set in"
 )
 _LITERAL_JOIN = re.compile(r"""(["'`])[ \t]*(?:\+|\.\.|\.|<<|&|\\)?[ \t]*((?:\r?\n[ \t]*)?)(?:\+|\.|<<|&)?[ \t]*(?:f|b|r|u)?\1(?=[^\s,;:)\]}])""")
 
@@ -110,7 +114,9 @@ def entropy(value: str) -> float:
 
 def placeholder(value: str) -> bool:
     """Whether a value stands for a secret kept elsewhere or to be filled in."""
-    return bool(_PLACEHOLDER.search(value)) or len(set(value)) <= 3
+    if _REFERENCE.search(value) or len(set(value)) <= 3:
+        return True
+    return sum(c.isdigit() for c in value) < 3 and bool(_STAND_IN.search(value))
 
 
 _NAMED = re.compile(r"""([\w\-]+)["'`]?\]?(?:[ \t]*:[ \t]*[^=:"'`]{1,30}?)?[ \t]*(?::=|=>|=|:)[ \t]*(?:\(\s*|\[\s*|\\\n\s*|\n\s*)?(?:[bruf@]|new String\()?["'`]([^"'`\n]*)["'`]$""")
@@ -306,7 +312,7 @@ def _mask(piece: str) -> str:
     return "".join(p if k % 2 else "*" * len(p) for k, p in enumerate(parts))
 
 
-_MASKED = re.compile(r"\*{2,}|\.\.\.|…|•|^\[.*\]$|^<.*>$|^(?:sha\d*|md5|hash)[:\-]|^x+$|redact|mask|hidden|removed", re.I)
+_MASKED = re.compile(r"\*{2,}|\.\.\.|…|•|^\[.*\]$|^<.*>$|^(?:sha\d*|md5|hash)[:\-]|^x+$|^\W*(?:redacted|masked|hidden|removed|none|null)\W*$", re.I)
 
 
 def readable(value: object) -> bool:
