@@ -14,44 +14,114 @@ Method: prefix-filtered set join on word shingles.
 3. Candidates are verified exactly: the union of the item's word positions
    that its shingles found in the document cover.
 
-Shingles are compared as text, so there are no hash collisions.
+Shingles are compared as text, so there are no hash collisions: a task numbers
+the items' words, finds runs of known words in a text by array arithmetic, and
+looks at the text of a run only where its hash is an item's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from seamstone.functions.arrowmap import map_rows
 from seamstone.sources.checkpoints import cut_lineage
 
-#: Most item shingles that are broadcast; a larger set is joined by shuffle.
-BROADCAST_SHINGLES = 400_000
-WORD = r"[\p{L}\p{N}_]+"
+#: Most item shingles that are sent to every task; a larger set is joined by shuffle.
+BROADCAST_SHINGLES = 200_000
+_WORD = re.compile(r"\w+")
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: Column) -> Column:
+def words_in(text: str | None) -> list[str]:
     """Lower-case words; punctuation and layout are left out."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
-def shingles_of(words: Column, width: int) -> Column:
-    """All runs of ``width`` words in order, as text (empty array for shorter texts)."""
-    last = F.size(words) - width + 1
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(width)), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    return _WORD.findall(text.lower()) if text else []
 
 
-def passage_of(text: Column) -> Column:
+def passage_in(text: str | None) -> str:
     """An item's passage: what follows its first line (the instruction)."""
-    return F.regexp_replace(text, r"\A[^\n]*(?:\n|\z)", "")
+    return text.partition("\n")[2] if text else ""
 
 
 def item_shingles(items: DataFrame, width: int = 6) -> DataFrame:
     """``item_id, n_words, pos, shingle`` of every item's passage."""
-    words = items.select("item_id", words_of(passage_of(F.col("text"))).alias("words")).where(F.col("item_id").isNotNull())
-    return words.select("item_id", F.size("words").alias("n_words"), F.posexplode(shingles_of(F.col("words"), width)).alias("pos", "shingle"))
+    id_type = items.schema["item_id"].dataType
+    schema = pa.schema([("item_id", to_arrow_type(id_type)), ("n_words", pa.int32()), ("pos", pa.int32()), ("shingle", pa.string())])
+
+    def make():
+        def call(item_id, text):
+            words = words_in(passage_in(text))
+            for pos in range(len(words) - width + 1):
+                yield item_id, len(words), pos, " ".join(words[pos : pos + width])
+
+        return call
+
+    return map_rows(items.where(F.col("item_id").isNotNull()), ["item_id", "text"], make, f"item_id {id_type.simpleString()}, n_words INT, pos INT, shingle STRING", schema)
+
+
+class KnownShingles:
+    """Finds the shingles of a fixed set in texts."""
+
+    def __init__(self, shingles: list[str], width: int) -> None:
+        self.width, self.texts = width, frozenset(shingles)
+        self.number: dict[str, int] = {}
+        coded = [[self.number.setdefault(w, len(self.number) + 1) for w in s.split(" ")] for s in shingles]
+        self.powers = np.array([pow(int(_MULTIPLIER), k, 1 << 64) for k in range(width)], np.uint64)
+        self.hashes = np.unique((np.array(coded, np.uint64).reshape(-1, width) * self.powers).sum(axis=1, dtype=np.uint64))
+
+    def found_in(self, words: list[str]) -> set[str]:
+        width, n = self.width, len(words)
+        if n < width:
+            return set()
+        get = self.number.get
+        ids = np.fromiter((get(w, 0) for w in words), np.uint64, n)
+        known = np.concatenate(([0], np.cumsum(ids != 0)))
+        at = np.nonzero(known[width:] - known[:-width] == width)[0]
+        if not len(at):
+            return set()
+        hashes = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            hashes += ids[at + k] * self.powers[k]
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = at[self.hashes[near] == hashes]
+        return self.texts.intersection(" ".join(words[i : i + width]) for i in at.tolist())
+
+
+def corpus_hits(documents: DataFrame, vocabulary: DataFrame, n: int, width: int) -> DataFrame:
+    """``doc_id, doc_words, shingle``: the distinct shingles of the vocabulary in every document row, in one pass."""
+    id_type = documents.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("doc_words", pa.int32()), ("shingle", pa.string())])
+    ddl = f"doc_id {id_type.simpleString()}, doc_words INT, shingle STRING"
+    if n > BROADCAST_SHINGLES:
+
+        def every():
+            def call(doc_id, text):
+                words = words_in(text)
+                for s in {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}:
+                    yield doc_id, len(words), s
+
+            return call
+
+        return map_rows(documents, ["doc_id", "text"], every, ddl, schema).join(vocabulary.select("shingle").distinct(), "shingle", "left_semi")
+    shingles = [r[0] for r in vocabulary.select("shingle").distinct().collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownShingles(shingles, width)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_in(text)
+                rows += [(doc_id, len(words), s) for s in known.found_in(words)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return documents.select("doc_id", "text").mapInArrow(run, ddl)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, width: int = 6, min_share: float = 0.5) -> DataFrame:
@@ -66,10 +136,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 6, min_sha
     n = vocabulary.count()
     small = F.broadcast if n <= BROADCAST_SHINGLES else (lambda df: df)
 
-    texts = documents.select("doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= width)
-    corpus = texts.select("doc_id", F.size("words").alias("doc_words"), F.explode(shingles_of(F.col("words"), width)).alias("shingle"))
-    known = small(vocabulary.select("shingle").distinct())
-    hits = cut_lineage(corpus.join(known, "shingle", "left_semi").distinct())
+    hits = cut_lineage(corpus_hits(documents, vocabulary, n, width).distinct())
 
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("df"))
     # an item's positions fit one task: a passage is a single text
