@@ -103,3 +103,21 @@ def guard_verdict(match_ratio: Column, chaos: Column, violations: Column) -> Col
     raw = combine(band(match_ratio, 0.9, 0.7, 0.4), band(c, 0.1, 0.3, 0.6, rising=False))
     healed = F.when(raw == "UNSTABLE", "WEAK").otherwise(raw)
     return F.when((healed == "STABLE") & ~violations, "SAFE").when(healed == "WEAK", "WARNING").otherwise("HALLUCINATION_DETECTED")
+
+
+def answer_mode(match_ratio: Column) -> Column:
+    """Mode of answers by the share of symbols that are known."""
+    return F.when(match_ratio >= 0.90, "strict").otherwise("relaxed")
+
+
+def clock(seconds: Column) -> Column:
+    """Seconds as HH:MM:SS; null and negative values count as 0."""
+    s = F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(0.0)).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
+
+
+def verify_verdict(s: Column, c: Column, p: Column, clean: Column) -> Column:
+    """Verdict of a verification from its structure, chaos and freshness; the raw state is healed first."""
+    raw = combine(band(s, 0.8, 0.5, 0.2), band(c, 0.1, 0.3, 0.6, rising=False), band(p, 0.9, 0.7, 0.4))
+    healed = F.when(raw == "UNSTABLE", "WEAK").otherwise(raw)
+    return F.when((healed == "STABLE") & clean, "SEALED_STABLE").when(healed == "WEAK", "WEAK").otherwise("DEGENERATE")

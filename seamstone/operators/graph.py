@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamstone.sources.checkpoints import cut_lineage
@@ -114,3 +114,30 @@ def resolve_short(nodes: DataFrame, names: DataFrame, within: Sequence[str] = ()
         .withColumn("score", -F.col("a.s"))
         .select(*within, "short", F.col("a.node").alias("node"), "candidates", "score", (F.coalesce(F.col("second") > 0, F.lit(False)) & F.coalesce(F.col("score") - F.col("second") < 1.0, F.lit(False))).alias("ambiguous"))
     )
+
+
+def context_decision(radius: DataFrame, within: Sequence[str] = (), most: int = 50) -> DataFrame:
+    """One row a target: files analysed and selected, the reduction and whether it reaches 0.6.
+
+    At most ``most`` nodes are selected, indirect ones cut before direct ones
+    (by depth, then name): the cap is the feature, a context has a size.
+    """
+    order = F.when(F.col("category") == "primary", 0).when(F.col("category") == "direct", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy(*within, "start").orderBy(order, "depth", "node"))
+    kept = radius.where(F.col("category") != "ignored").withColumn("_place", place).where(F.col("_place") <= most)
+    selected = kept.groupBy(*within, "start").agg(F.count(F.lit(1)).alias("selected"))
+    all_of = radius.groupBy(*within, "start").agg(F.count(F.lit(1)).alias("analysed"))
+    ratio = F.round((F.col("analysed") - F.coalesce("selected", F.lit(0))) / F.col("analysed"), 4)
+    return all_of.join(selected, [*within, "start"], "left").select(*within, "start", "analysed", F.coalesce("selected", F.lit(0)).alias("selected"), ratio.alias("reduction"), (ratio >= 0.6).alias("reaches"))
+
+
+def symbol_users(symbols: DataFrame, calls: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """``within..., file, users``: in how many other files something that a file defines is called.
+
+    Users are counted per called name first; the defining file is taken off by
+    an anti join, so files are never paired.
+    """
+    defined = symbols.where(F.col("name").isNotNull()).select(*within, "file", "name").distinct()
+    used = calls.where(F.col("callee").isNotNull()).select(*within, F.col("file").alias("user"), F.element_at(F.split("callee", r"\."), -1).alias("name")).distinct()
+    pairs = defined.join(used, [*within, "name"]).where(F.col("user") != F.col("file"))
+    return pairs.groupBy(*within, "file").agg(F.countDistinct("user").alias("users"))

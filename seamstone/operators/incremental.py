@@ -51,3 +51,18 @@ def set_difference(left: DataFrame, right: DataFrame, keys: Sequence[str], value
     tag = lambda df, n: df.select(*keys, value).where(F.col(value).isNotNull()).distinct().withColumn("_s", F.lit(n))
     both = tag(left, 1).unionByName(tag(right, 2)).groupBy(*keys, value).agg(F.sum("_s").alias("_s"))
     return both.where(F.col("_s") < 3).select(*keys, value, F.when(F.col("_s") == 1, "only_left").otherwise("only_right").alias("side"))
+
+
+def stat_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], tolerance: float = 0.01) -> DataFrame:
+    """``keys, change`` of two (keys, mtime, size) snapshots; times within the tolerance (seconds) are equal."""
+    a = old.select(*keys, F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.lit(True).alias("_a"))
+    b = new.select(*keys, "mtime", "size", F.lit(True).alias("_b"))
+    same = F.coalesce((F.abs(F.col("_m") - F.col("mtime")) <= tolerance) & (F.col("_s") == F.col("size")), F.lit(False))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(same, "same").otherwise("changed")
+    return a.join(b, list(keys), "full_outer").select(*keys, change.alias("change"))
+
+
+def diff_summary(changes: DataFrame) -> DataFrame:
+    """One row of text: how many keys were added, modified and removed."""
+    n = lambda k: F.count_if(F.col("change") == k).cast("string")
+    return changes.agg(F.concat_ws(", ", F.concat(n("added"), F.lit(" added")), F.concat(n("changed"), F.lit(" modified")), F.concat(n("removed"), F.lit(" removed"))).alias("summary"))

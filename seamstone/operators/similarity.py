@@ -61,6 +61,21 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, hi BIGINT, lo BIGINT")
 
 
+def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.0, chaos: float = 0.0) -> DataFrame:
+    """``id_col, score, state`` of the weighted fingerprint: mean word weight (capped at 2) by half.
+
+    Words of more than five letters weigh a fifth of ``stable`` more, words of
+    fewer than four three tenths of ``chaos`` less.  A text without words is
+    SLEEPING with score 0.
+    """
+    words = F.filter(F.split(F.lower(text_col), r"(?U)\s+"), lambda w: w != "")
+    weight = lambda w: F.when(F.length(w) > 5, 1.0 + stable * 0.2).when(F.length(w) < 4, 1.0 - chaos * 0.3).otherwise(1.0)
+    mean = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + weight(w)) / F.nullif(F.size(words), F.lit(0))
+    rated = df.where(F.col(text_col).isNotNull()).select(id_col, mean.alias("mean"))
+    state = F.when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
+    return rated.select(id_col, F.round(F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)), 6).alias("score"), state.alias("state"))
+
+
 def similarity_percent(hi1, lo1, hi2, lo2):
     """Share of equal bits of two fingerprints, in percent (Columns)."""
     return 100.0 - (F.bit_count(hi1.bitwiseXOR(hi2)) + F.bit_count(lo1.bitwiseXOR(lo2))) / F.lit(128.0) * 100.0
@@ -113,7 +128,7 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, id_col: str, text_col:
                     if row_id is None:
                         continue
                     bits = np.unpackbits(np.frombuffer(maker.of(text), np.uint8)).astype(np.float32)
-                    structural = 100.0 - np.abs(q_bits - bits).sum(axis=1) / 128.0 * 100.0
+                    structural = 100.0 - np.abs(q_bits - bits).sum(axis=1, dtype=np.float64) / 128.0 * 100.0
                     overlap = np.zeros(len(block))
                     for w in set((text or "").lower().split()):
                         at = lists.get(w)

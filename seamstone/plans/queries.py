@@ -220,7 +220,16 @@ def o21_current_class(spark, sf_dir):
     return structure.carried_class(lines).where("current_class IS NOT NULL").groupBy("file_id", "current_class").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("o34_referenced")
+_REFERENCED = r"""def AS (SELECT {i}, regexp_extract_all({t}, '(?m)^\s*(?:class|def|function|fn|func|struct)\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1) AS a, list_filter(regexp_extract_all({t}, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1), lambda x: NOT list_contains({k}, x)) AS b, regexp_extract_all({t}, '\b([A-Z][a-zA-Z0-9_]*)\s*\(', 1) AS c,
+list_filter(list_transform(flatten(list_transform(regexp_extract_all({t}, 'from[ \t]+\S+[ \t]+import[ \t]+([^\n]+)', 1), lambda x: string_split(x, ','))), lambda x: trim(string_split(trim(x), ' as ')[1])), lambda x: regexp_matches(x, '^[A-Za-z]')) AS d FROM {f} WHERE {t} IS NOT NULL), refs AS (SELECT {i}, list_distinct(a || b || c || d) AS names FROM def)"""
+_KEYWORDS = "[" + ", ".join(f"'{k}'" for k in T.CALL_KEYWORDS) + "]"
+
+
+def _referenced_sql(i: str, t: str, f: str) -> str:
+    return _REFERENCED.replace("{i}", i).replace("{t}", t).replace("{f}", f).replace("{k}", _KEYWORDS)
+
+
+@query("o34_referenced", f"WITH {_referenced_sql('file_id', 'content', 'source_files')} SELECT file_id, CAST(len(names) AS INTEGER) AS n_symbols FROM refs")
 def o34_referenced(spark, sf_dir):
     return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", F.size(T.referenced_symbols(F.col("content"))).alias("n_symbols"))
 
@@ -465,7 +474,7 @@ def o73_symbol_drift(spark, sf_dir):
     return incremental.set_difference(a, b, ["file_id"], "name")
 
 
-@query("o74_match_ratio")
+@query("o74_match_ratio", f"WITH {_referenced_sql('doc_id', 'text', 'documents')}, e AS (SELECT doc_id, unnest(names) AS name FROM refs), k AS (SELECT DISTINCT name FROM code_symbols WHERE name IS NOT NULL) SELECT doc_id, count(*) AS referenced, count(k.name) AS matched, round(count(k.name) / count(*)::DOUBLE, 3) AS match_ratio FROM e LEFT JOIN k USING (name) GROUP BY 1")
 def o74_match_ratio(spark, sf_dir):
     return findings.symbol_match(_docs(spark, sf_dir).where("text IS NOT NULL"), "doc_id", table(spark, sf_dir, "code_symbols"), "text")
 
@@ -478,7 +487,10 @@ def o60_entropy_changes(spark, sf_dir):
     return packing_context.changes_in_entropy(_docs(spark, sf_dir), ["repo"], ["doc_id"], "text")
 
 
-@query("o61_chunk_weights")
+@query(
+    "o61_chunk_weights",
+    f"WITH {_DOC_H}, k AS (SELECT d.repo, d.doc_id, coalesce(abs(h.h), 0) AS h, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS o, count(*) OVER (PARTITION BY repo) AS c FROM documents d LEFT JOIN h USING (doc_id)), p AS (SELECT repo, (o - 1) // greatest(1, c // 10) AS chunk, count(*) AS n, round(avg(h), 4) AS h FROM k WHERE repo IS NOT NULL GROUP BY 1, 2) SELECT repo, chunk, n, h, round(CASE WHEN max(h) OVER (PARTITION BY repo) > 0 THEN h / max(h) OVER (PARTITION BY repo) ELSE 0 END, 3) AS weight FROM p",
+)
 def o61_chunk_weights(spark, sf_dir):
     return packing_context.chunk_weights(_docs(spark, sf_dir), ["repo"], ["doc_id"], "text")
 
@@ -540,7 +552,13 @@ def o87_simhash(spark, sf_dir):
     return similarity.simhash(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query("o90_hybrid_search")
+_WORDS_SQL = r"list_filter(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+'), lambda x: x <> '')"
+
+
+@query(
+    "o90_hybrid_search",
+    ORACLES["o87_simhash"].replace("\nSELECT doc_id, sum(CASE", ", bits AS (SELECT doc_id, list(bit ORDER BY i) AS bits FROM v GROUP BY 1),\nws AS (SELECT doc_id, list_distinct(" + _WORDS_SQL + ") AS ws FROM documents WHERE text IS NOT NULL),\np AS (SELECT q.doc_id AS query_id, d.doc_id AS id, 100 - list_sum(list_transform(range(1, 129), lambda i: abs(a.bits[i] - b.bits[i]))) / 128.0::DOUBLE * 100 AS simhash_score, len(list_intersect(q.ws, d.ws)) / greatest(1, len(q.ws))::DOUBLE * 100 AS keyword_score FROM ws q JOIN ws d ON q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id JOIN bits a ON a.doc_id = q.doc_id JOIN bits b ON b.doc_id = d.doc_id),\ns AS (SELECT *, simhash_score * 0.6::DOUBLE + keyword_score * 0.4::DOUBLE AS similarity FROM p)\nSELECT query_id, id, round(similarity, 6) AS similarity, round(simhash_score, 6) AS simhash_score, round(keyword_score, 6) AS keyword_score FROM s WHERE similarity >= 45 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 5 -- ").split(" -- ")[0],
+)
 def o90_hybrid_search(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return similarity.hybrid_search(docs.where("doc_id % 50 = 0"), docs, "doc_id", "text", 5, 45.0).withColumns({c: F.round(c, 6) for c in ("similarity", "simhash_score", "keyword_score")})
@@ -638,7 +656,10 @@ def o42_name_filter(spark, sf_dir):
     return table(spark, sf_dir, "code_symbols").where((F.length("name") > 3) & ~F.col("name").isin("if", "for", "while", "switch", "catch", "with", "main")).select("repo", "name").distinct()
 
 
-@query("o45g_symbol_references")
+@query(
+    "o45g_symbol_references",
+    r"WITH u AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(content, '[A-Za-z_]\w{3,}')) AS name FROM source_files WHERE content IS NOT NULL), d AS (SELECT DISTINCT repo, file AS path, name FROM code_symbols WHERE len(name) > 3) SELECT u.repo, u.name, count(*) AS n_files FROM u WHERE EXISTS (SELECT 1 FROM d WHERE d.repo = u.repo AND d.name = u.name) AND NOT EXISTS (SELECT 1 FROM d WHERE d.repo = u.repo AND d.name = u.name AND d.path = u.path) GROUP BY 1, 2",
+)
 def o45g_symbol_references(spark, sf_dir):
     return structure.symbol_references(table(spark, sf_dir, "code_symbols"), _files(spark, sf_dir), ["repo"])
 
@@ -648,7 +669,67 @@ def o45d_shared_symbols(spark, sf_dir):
     return table(spark, sf_dir, "code_symbols").where("name IS NOT NULL").groupBy("name").agg(F.countDistinct(F.concat("repo", F.lit(":"), "file")).alias("n_files"), F.count(F.lit(1)).alias("n")).where("n_files > 1")
 
 
-@query("o15_export")
+@query("o81_context_decision", ORACLES["o80_blast_radius"].replace("\nSELECT *, CASE WHEN score", ",\nrad AS (SELECT *, CASE WHEN score").rstrip() + """), k AS (SELECT file_id, start, row_number() OVER (PARTITION BY file_id, start ORDER BY CASE category WHEN 'primary' THEN 0 WHEN 'direct' THEN 1 ELSE 2 END, depth, node) AS r FROM rad WHERE category <> 'ignored')
+SELECT a.file_id, a.start, a.n AS analysed, coalesce(k.n, 0) AS selected, round((a.n - coalesce(k.n, 0)) / a.n::DOUBLE, 4) AS reduction, round((a.n - coalesce(k.n, 0)) / a.n::DOUBLE, 4) >= 0.6 AS reaches FROM (SELECT file_id, start, count(*) AS n FROM rad GROUP BY 1, 2) a LEFT JOIN (SELECT file_id, start, count(*) AS n FROM k WHERE r <= 50 GROUP BY 1, 2) k USING (file_id, start)""")
+def o81_context_decision(spark, sf_dir):
+    return graph.context_decision(o80_blast_radius(spark, sf_dir), ["file_id"])
+
+
+@query("o45h_symbol_users", "WITH d AS (SELECT DISTINCT repo, file, name FROM code_symbols WHERE name IS NOT NULL), u AS (SELECT DISTINCT repo, file AS user_file, string_split(callee, '.')[-1] AS name FROM call_edges WHERE callee IS NOT NULL) SELECT d.repo, d.file, count(DISTINCT user_file) AS users FROM d JOIN u ON u.repo = d.repo AND u.name = d.name AND user_file <> d.file GROUP BY 1, 2")
+def o45h_symbol_users(spark, sf_dir):
+    return graph.symbol_users(table(spark, sf_dir, "code_symbols"), table(spark, sf_dir, "call_edges"), ["repo"])
+
+
+@query("o76_stat_changes", f"WITH {_SNAP}, z AS (SELECT s.*, f.size, epoch(f.scanned_at) AS mtime FROM s JOIN source_files f USING (file_id)), o AS (SELECT repo, path, mtime, size FROM z WHERE file_id IN (SELECT file_id FROM old)), n AS (SELECT repo, path, mtime, size FROM z WHERE file_id IN (SELECT file_id FROM new)) SELECT repo, path, CASE WHEN o.size IS NULL THEN 'added' WHEN n.size IS NULL THEN 'removed' WHEN abs(o.mtime - n.mtime) <= 0.01 AND o.size = n.size THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (repo, path)")
+def o76_stat_changes(spark, sf_dir):
+    files = _files(spark, sf_dir).select("repo", "path", "scanned_at", "file_id", "size")
+    keys, order = ["repo", "path"], ["scanned_at", "file_id"]
+    old = incremental.latest(files.where(F.col("scanned_at") < F.lit("2025-07-01").cast("timestamp_ntz")), keys, order)
+    mtime = (F.unix_micros(F.col("scanned_at").cast("timestamp")) / 1e6).alias("mtime")
+    pick = lambda df: df.select("repo", "path", mtime, "size")
+    return incremental.stat_changes(pick(old), pick(incremental.latest(files, keys, order)), keys)
+
+
+@query("o117_diff_summary", f"WITH {_SNAP} SELECT count(*) FILTER (change = 'added') || ' added, ' || count(*) FILTER (change = 'changed') || ' modified, ' || count(*) FILTER (change = 'removed') || ' removed' AS summary FROM d")
+def o117_diff_summary(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return incremental.diff_summary(incremental.diff(old, new, ["repo", "path"]))
+
+
+@query("o88_weighted_score", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, sum(CASE WHEN len(w) > 5 THEN 1.18 WHEN len(w) < 4 THEN 0.85 ELSE 1.0 END::DOUBLE) / count(*) AS m FROM w GROUP BY 1) SELECT d.doc_id, round(coalesce(least(m, 2.0) / 2, 0), 6) AS score, CASE WHEN m IS NULL THEN 'SLEEPING' WHEN m < 0.5 THEN 'WEAK' ELSE 'STABLE' END AS state FROM documents d LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL")
+def o88_weighted_score(spark, sf_dir):
+    return similarity.weighted_score(_docs(spark, sf_dir), "doc_id", "text", 0.9, 0.5)
+
+
+@query("o104_answer_mode", f"WITH {_GRID} SELECT file_id, CASE WHEN s >= 0.9 THEN 'strict' ELSE 'relaxed' END AS mode FROM g")
+def o104_answer_mode(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", Q.answer_mode(F.col("s")).alias("mode"))
+
+
+@query("o103_verify_verdict", f"WITH {_GRID}, r AS (SELECT file_id, greatest(CASE WHEN s >= 0.8 THEN 0 WHEN s >= 0.5 THEN 2 WHEN s >= 0.2 THEN 5 ELSE 6 END, CASE WHEN c <= 0.1 THEN 0 WHEN c <= 0.3 THEN 2 WHEN c <= 0.6 THEN 5 ELSE 6 END, CASE WHEN p >= 0.9 THEN 0 WHEN p >= 0.7 THEN 2 WHEN p >= 0.4 THEN 5 ELSE 6 END) AS k, file_id % 7 <> 0 AS clean FROM g) SELECT file_id, CASE WHEN k = 0 AND clean THEN 'SEALED_STABLE' WHEN k IN (2, 5) THEN 'WEAK' ELSE 'DEGENERATE' END AS verdict FROM r")
+def o103_verify_verdict(spark, sf_dir):
+    return _grid(spark, sf_dir).select("file_id", Q.verify_verdict(F.col("s"), F.col("c"), F.col("p"), F.col("file_id") % 7 != 0).alias("verdict"))
+
+
+@query("o129_duration_text", "SELECT command, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS spent FROM (SELECT coalesce(data.command, 'unknown') AS command, floor(round(sum(greatest(coalesce(data.duration_sec, 0), 0)), 3))::BIGINT AS s FROM telemetry WHERE data IS NOT NULL GROUP BY 1)")
+def o129_duration_text(spark, sf_dir):
+    return telemetry.by_command(table(spark, sf_dir, "telemetry")).select("command", Q.clock(F.col("total_sec")).alias("spent"))
+
+
+@query("o119_fallback_symbols", r"SELECT doc_id, name, count(*) AS n FROM (SELECT file_id AS doc_id, unnest(regexp_extract_all(content, '\b(?:class|function|def|fn|struct|func)\s+([A-Za-z_]\w*)', 1)) AS name FROM source_files) GROUP BY 1, 2")
+def o119_fallback_symbols(spark, sf_dir):
+    each = _files(spark, sf_dir).select(F.col("file_id").alias("doc_id"), F.explode(F.regexp_extract_all("content", F.lit(r"\b(?:class|function|def|fn|struct|func)\s+([A-Za-z_]\w*)"), F.lit(1))).alias("name"))
+    return each.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o116_context_metrics", "SELECT context_id, CAST(payload ->> '$.metrics.files_scanned' AS BIGINT) AS files, CAST(payload ->> '$.metrics.total_lines' AS BIGINT) AS n_lines FROM repo_contexts WHERE CASE WHEN json_valid(payload) THEN json_type(payload, '$.metrics') = 'OBJECT' ELSE false END")
+def o116_context_metrics(spark, sf_dir):
+    m = table(spark, sf_dir, "repo_contexts").select("context_id", F.try_parse_json("payload").alias("v"))
+    get = lambda k: F.try_variant_get("v", f"$.metrics.{k}", "bigint")
+    return m.select("context_id", get("files_scanned").alias("files"), get("total_lines").alias("n_lines"), F.schema_of_variant(F.try_variant_get("v", "$.metrics", "variant")).alias("s")).where("s LIKE 'OBJECT%'").drop("s")
+
+
+@query("o15_export", "SELECT repo, path, '- **' || path || '**: ' || array_to_string(list_sort(list_distinct(list_filter(coalesce(classes, []), lambda x: x IS NOT NULL)))[1:5], ', ') || '; ' || array_to_string(list_sort(list_distinct(list_filter(coalesce(functions, []), lambda x: x IS NOT NULL)))[1:10], ', ') AS body FROM source_files")
 def o15_export(spark, sf_dir):
     from seamstone.sources import exporters
 
