@@ -6,6 +6,7 @@ over its whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,29 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-@query("p1_found")
+def _elements(source: str, json: str, keys: str) -> str:
+    """SQL: the elements of a JSON list (a lone value is a list of one) with their positions."""
+    json = f"({json})"
+    listed = f"CASE json_type({json}) WHEN 'ARRAY' THEN from_json({json}, '[\"JSON\"]') WHEN 'NULL' THEN [] ELSE [{json}] END"
+    return f"(SELECT {keys}, unnest({listed}) AS e, generate_subscripts({listed}, 1) - 1 AS ix FROM {source} WHERE {json} IS NOT NULL)"
+
+
+def _context_sql() -> str:
+    value = lambda k: f"CASE json_type(e) WHEN 'OBJECT' THEN e ->> '$.{k}' ELSE e ->> '$' END"
+    parts = ["SELECT context_id, 'file' AS rel, -1 AS parent_ix, ix, " + value("path") + " AS val FROM f", "SELECT context_id, 'symbol', -1, ix, " + value("symbol") + " FROM s"]
+    for rel, key in (("class", "classes"), ("function", "functions"), ("import", "imports")):
+        for at in (f"e -> '$.structure.{key}'", f"e -> '$.{key}'"):
+            parts.append(f"SELECT context_id, '{rel}', parent_ix, ix, {value('name')} FROM " + _elements("f", at, "context_id, ix AS parent_ix"))
+    for rel in ("calls", "called_by"):
+        parts.append(f"SELECT context_id, '{rel}', parent_ix, ix, {value('symbol')} FROM " + _elements("s", f"e -> '$.{rel}'", "context_id, ix AS parent_ix"))
+    kept = [re.sub(r" FROM (f|s)$", r" FROM \1 WHERE true", p) + " AND json_type(e) <> 'NULL'" if re.search(r" FROM (?:f|s)$", p) else p + " WHERE json_type(e) <> 'NULL'" for p in parts]
+    return f"""WITH a AS (SELECT context_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM repo_contexts), b AS (SELECT context_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM a),
+c AS (SELECT context_id, CASE WHEN json_type(j, '$.bbc_context') = 'OBJECT' THEN j -> '$.bbc_context' ELSE j END AS j FROM b WHERE json_type(j) = 'OBJECT'),
+f AS {_elements("c", "j -> '$.code_structure'", "context_id")}, s1 AS {_elements("c", "j -> '$.symbol_graph.symbols'", "context_id")}, s2 AS {_elements("c", "j -> '$.symbols'", "context_id")}, s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2)
+SELECT context_id, rel, CAST(parent_ix AS INTEGER) AS parent_ix, CAST(ix AS INTEGER) AS ix, val FROM ({" UNION ALL ".join(kept)})"""
+
+
+@query("p1_found", _context_sql())
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tables.found_rows(table(spark, sf_dir, "repo_contexts"))
 
