@@ -74,5 +74,13 @@ SELECT field_name, term, n_total, n_files,
   CASE WHEN n_files <= 2 THEN 'rare'
        WHEN n_files * 100 > 5 * (SELECT count(*) FROM source_files) THEN 'common' ELSE 'useful' END AS mark
 FROM c
+""",
+    "p8_found": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(CASE WHEN contains(text, chr(10)) THEN text[instr(text, chr(10)) + 1:] ELSE '' END), '[\p{L}\p{N}_]+') AS w FROM eval_items),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT item_id, n, pos, array_to_string(w[pos:pos + 5], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 4)) AS pos FROM i)),
+t AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 4), lambda p: array_to_string(w[p:p + 5], ' '))) AS s FROM d),
+c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(pos, pos + 6)) AS p FROM s JOIN t USING (s))
+SELECT doc_id, item_id FROM c GROUP BY doc_id, item_id, n HAVING count(*) * 2 >= n
 """,
 }
