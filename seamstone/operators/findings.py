@@ -74,3 +74,16 @@ def patch_score(df: DataFrame) -> DataFrame:
     made = df.withColumn("after", patched(F.col("content"), F.col("old"), F.col("new")))
     delta = F.round(T.entropy(F.col("after")) - T.entropy(F.col("content")), 6)
     return made.withColumn("delta", delta).withColumn("raw_state", F.when(F.col("delta") > 0.5, "UNSTABLE").when(F.col("delta") > 0, "WEAK").otherwise("STABLE")).withColumn("safe", F.col("raw_state") != "UNSTABLE")
+
+
+def patch_actions(files: DataFrame, lines: DataFrame, drift: DataFrame) -> DataFrame:
+    """``file_id, action, detail`` of everything a patch could mend: unused imports, except clauses, symbols that are gone."""
+    a = unused_imports(files).select("file_id", F.lit("unused_import").alias("action"), F.col("module").alias("detail"))
+    b = except_issues(lines).select("file_id", "action", F.col("n").cast("string").alias("detail"))
+    c = drift.where(F.col("side") == "only_left").select("file_id", F.lit("symbol_drift").alias("action"), F.col("name").alias("detail"))
+    return a.unionByName(b).unionByName(c)
+
+
+def deterministic(*outputs: DataFrame) -> bool:
+    """Whether several results hold the same rows, by order-free hashes (one number each)."""
+    return len({df.select(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)").alias("h")).agg(F.sum("h"), F.count("*")).first() for df in outputs}) == 1

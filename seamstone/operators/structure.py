@@ -229,3 +229,20 @@ def symbol_references(symbols: DataFrame, files: DataFrame, keys: list[str]) ->
     wanted = defined.select(*keys, "name").distinct()
     counts = used.join(wanted, [*keys, "name"], "left_semi").join(defined, [*keys, "path", "name"], "left_anti").groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n_files"))
     return counts
+
+
+def import_edges_by_part(files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., src, dst`` where any dotted part of an import is the base name of a file (the loose variant)."""
+    own = files.select(*keys, F.col("path").alias("dst"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("part")).distinct()
+    parts = files.select(*keys, F.col("path").alias("src"), F.explode(F.array_distinct("imports")).alias("raw")).select(*keys, "src", F.explode(F.array_distinct(F.split("raw", r"[./:@\s\"';]+"))).alias("part"))
+    return parts.where("part <> ''").distinct().join(own, [*keys, "part"]).where("src <> dst").select(*keys, "src", "dst").distinct()
+
+
+def migration_ends(ordered: DataFrame, within: list[str], n: int = 5) -> DataFrame:
+    """The first and last ``n`` nodes of a topological order (within..., node, level), by level and name (a report)."""
+    known = ordered.where("level IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy(*within).orderBy("level", "node"))
+    last = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("level"), F.desc("node")))
+    a = known.withColumn("rank", first).where(F.col("rank") <= n).withColumn("end", F.lit("first"))
+    b = known.withColumn("rank", last).where(F.col("rank") <= n).withColumn("end", F.lit("last"))
+    return a.unionByName(b)

@@ -58,3 +58,12 @@ def quiet_periods(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
         .select(key, "n", "first_ts", "last_ts")
     )
+
+
+def efficiency(events: DataFrame) -> DataFrame:
+    """``session, tokens_used, tokens_saved, efficiency`` with the saved share in percent; used tokens come from the savings rate."""
+    d = F.col("data")
+    saved, pct = F.coalesce(d.tokens_saved.cast("double"), F.lit(0.0)), F.greatest(F.coalesce(d.savings_pct, F.lit(0.0)), F.lit(0.0))
+    used = F.when(pct > 0, saved * (100 - F.least(pct, F.lit(100.0))) / pct).otherwise(0.0)
+    per = events.where(F.col("session").isNotNull() & d.isNotNull()).groupBy("session").agg(F.round(F.sum(used), 2).alias("tokens_used"), F.sum(saved).alias("tokens_saved"))
+    return per.withColumn("efficiency", F.round(F.coalesce(F.try_divide(F.col("tokens_saved") * 100, F.col("tokens_saved") + F.col("tokens_used")), F.lit(0.0)), 1))

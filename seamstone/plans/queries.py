@@ -752,6 +752,28 @@ def o116_context_metrics(spark, sf_dir):
     return m.select("context_id", get("files_scanned").alias("files"), get("total_lines").alias("n_lines"), F.schema_of_variant(F.try_variant_get("v", "$.metrics", "variant")).alias("s")).where("s LIKE 'OBJECT%'").drop("s")
 
 
+@query("o45b_import_edges", r"WITH o AS (SELECT DISTINCT repo, path AS dst, regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1) AS part FROM source_files), i AS (SELECT repo, path AS src, unnest(imports) AS raw FROM source_files), p AS (SELECT DISTINCT repo, src, unnest(string_split_regex(raw, '[./:@\\s\"'';]+')) AS part FROM i) SELECT DISTINCT repo, src, dst FROM p JOIN o USING (repo, part) WHERE part <> '' AND src <> dst".replace("\\\\", "\\").replace('\\"', '"'))
+def o45b_import_edges(spark, sf_dir):
+    return structure.import_edges_by_part(_files(spark, sf_dir), ["repo"])
+
+
+@query("o124_migration_ends")
+def o124_migration_ends(spark, sf_dir):
+    return structure.migration_ends(o70_levels(spark, sf_dir), ["repo"])
+
+
+@query("o112_efficiency", """SELECT session, round(sum(CASE WHEN greatest(coalesce(data.savings_pct, 0), 0) > 0 THEN coalesce(data.tokens_saved, 0)::DOUBLE * (100 - least(greatest(coalesce(data.savings_pct, 0), 0), 100)) / greatest(coalesce(data.savings_pct, 0), 0) ELSE 0 END), 2) AS tokens_used, sum(coalesce(data.tokens_saved, 0)::DOUBLE) AS tokens_saved,
+round(coalesce(sum(coalesce(data.tokens_saved, 0)::DOUBLE) * 100 / nullif(sum(coalesce(data.tokens_saved, 0)::DOUBLE) + round(sum(CASE WHEN greatest(coalesce(data.savings_pct, 0), 0) > 0 THEN coalesce(data.tokens_saved, 0)::DOUBLE * (100 - least(greatest(coalesce(data.savings_pct, 0), 0), 100)) / greatest(coalesce(data.savings_pct, 0), 0) ELSE 0 END), 2), 0), 0), 1) AS efficiency FROM telemetry WHERE session IS NOT NULL AND data IS NOT NULL GROUP BY 1""")
+def o112_efficiency(spark, sf_dir):
+    return telemetry.efficiency(table(spark, sf_dir, "telemetry"))
+
+
+@query("o123_patch_actions")
+def o123_patch_actions(spark, sf_dir):
+    py = _files(spark, sf_dir).where(F.col("path").endswith(".py"))
+    return findings.patch_actions(py, structure.numbered_lines(py), o73_symbol_drift(spark, sf_dir))
+
+
 @query("o15_export", "SELECT repo, path, '- **' || path || '**: ' || array_to_string(list_sort(list_distinct(list_filter(coalesce(classes, []), lambda x: x IS NOT NULL)))[1:5], ', ') || '; ' || array_to_string(list_sort(list_distinct(list_filter(coalesce(functions, []), lambda x: x IS NOT NULL)))[1:10], ', ') AS body FROM source_files")
 def o15_export(spark, sf_dir):
     from seamstone.sources import exporters

@@ -149,3 +149,22 @@ def test_telemetry(spark):
     df = spark.createDataFrame([("2025-01-01T00:00:00", e, d, s, None) for e, d, s in rows], "ts STRING, event STRING, data STRUCT<command: STRING, duration_sec: DOUBLE, files: INT, tokens_saved: INT, savings_pct: DOUBLE, success: BOOLEAN, mode: STRING>, session STRING, received_at TIMESTAMP")
     got = {r["command"]: (r["total_sec"], r["tokens_saved"], r["success_rate"]) for r in telemetry.by_command(df).collect()}
     assert got == {"unknown": (0.0, 3, 100.0), "run": (2.0, 0, 0.0)}
+
+
+def test_patches_and_determinism(spark):
+    df = spark.createDataFrame([(1, "a = b\na = b\n", "a = b", "c"), (2, "aaaa", "x", "y"), (3, "aaaa", "aaaa", "abcdefgh"), (4, None, "a", "b")], "i INT, content STRING, old STRING, new STRING")
+    got = {r["i"]: (r["after"], r["safe"]) for r in findings.patch_score(df).collect()}
+    assert got[1] == ("c\na = b\n", True) and got[2] == ("aaaa", True) and got[3] == ("abcdefgh", False) and got[4][0] is None
+    assert findings.deterministic(df, df.orderBy(F.desc("i"))) and not findings.deterministic(df, df.limit(2))
+
+
+def test_decisions_and_stat_changes(spark):
+    calls = spark.createDataFrame([("f", f"c{i}", "t", "internal") for i in range(7)] + [("f", "d", "c0", "internal"), ("f", "x", "t", "external")], "file_id STRING, caller STRING, callee STRING, call_type STRING")
+    radius = graph.blast_radius(calls, spark.createDataFrame([("f", "t")], "file_id STRING, start STRING"), ["file_id"])
+    got = {r["node"]: (r["depth"], r["score"], r["category"]) for r in radius.collect()}
+    assert got["t"] == (0, 1.0, "primary") and got["c0"] == (1, 0.75, "direct") and got["c1"] == (1, 0.675, "direct") and got["d"] == (2, 0.45, "indirect") and "x" not in got
+    d = graph.context_decision(radius, ["file_id"], most=3).first()
+    assert (d["analysed"], d["selected"], d["reaches"]) == (9, 3, True)
+    old = spark.createDataFrame([("a", 1.0, 5), ("b", 1.0, 5), ("c", None, 5)], "p STRING, mtime DOUBLE, size INT")
+    new = spark.createDataFrame([("a", 1.005, 5), ("b", 1.0, 6), ("d", 2.0, 1)], "p STRING, mtime DOUBLE, size INT")
+    assert {tuple(r) for r in incremental.stat_changes(old, new, ["p"]).collect()} == {("a", "same"), ("b", "changed"), ("c", "removed"), ("d", "added")}
