@@ -62,14 +62,14 @@ def tokens_of(files: DataFrame) -> DataFrame:
     kind = (
         F.when(tok.startswith("/*") | tok.startswith("//") | (tok.startswith("#") & F.col("ext").isin("py", "pyw", "pyi", "rb")) | (tok.startswith("#") & ~tok.startswith("#[") & (F.col("ext") == "php")), "comment")
         .when(tok.rlike(r"^[rRbBuUfF]{0,2}[\"']") & (F.length(tok) > 1), "string")
-        .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")), "mark")
+        .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")) | (tok.startswith("[[") & F.col("ext").isin("cpp", "cc", "cxx", "hpp", "hh", "h")), "mark")
         .otherwise("code")
     )
     plain = F.when(kind.isin("code", "mark"), tok).otherwise("")
     depth = _count(plain, "(") + _count(plain, "[") - _count(plain, ")") - _count(plain, "]")
     blank = F.substring("raw", F.lit(1), F.length("raw") - F.length(tok))
     return raw.select(
-        "file_id", "ext", "pos", _count(blank, "\n").alias("lead"), _count(tok, "\n").alias("inner"), kind.alias("kind"), depth.alias("delta"), F.when(kind.isin("comment", "string"), tok).alias("text"), tok.endswith("]").alias("closes")
+        "file_id", "ext", "pos", _count(blank, "\n").alias("lead"), _count(tok, "\n").alias("inner"), kind.alias("kind"), depth.alias("delta"), F.when(kind.isin("comment", "string"), tok).alias("text"), tok.rlike(r"[\])]\s*$|^@[\w.$]+\s*$").alias("closes")
     )
 
 
@@ -92,10 +92,11 @@ def logical_lines(tokens: DataFrame) -> DataFrame:
     first = F.min(F.struct("pos", "kind", "line", "text"))
     return (
         numbered.groupBy("file_id", "ext", "island")
-        .agg(first.alias("first"), F.max(F.col("line") + F.col("inner")).alias("end_line"), F.count(F.lit(1)).alias("n"), F.max(F.struct("pos", "closes")).alias("last"), F.min(F.when(~F.col("kind").isin("comment"), F.col("line"))).alias("code_line"))
+        .agg(first.alias("first"), F.max(F.col("line") + F.col("inner")).alias("end_line"), F.max(F.when(F.col("kind") != "comment", F.struct("pos", "closes"))).alias("last"))
         .select(
             "file_id", "ext", "island", F.col("first.line").alias("line"), "end_line",
-            F.when((F.col("first.kind") == "mark") & (F.col("ext") == "cs") & ~F.col("last.closes"), "code").otherwise(F.col("first.kind")).alias("kind"), F.col("first.text").alias("text"), "n",
+            # an annotation before a definition on the same line is part of it
+            F.when((F.col("first.kind") == "mark") & ~F.col("last.closes"), "code").otherwise(F.col("first.kind")).alias("kind"), F.col("first.text").alias("text"),
         )
     )
 

@@ -13,6 +13,7 @@ containers in a block that loss is below a thousandth.
 from __future__ import annotations
 
 import base64
+import functools
 import os
 from collections.abc import Iterator
 
@@ -89,6 +90,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
+@functools.lru_cache(maxsize=4)
 def load_encoding(path: str | None = None):
     """The tokenizer of a vocabulary file of ranks."""
     import tiktoken
