@@ -69,8 +69,10 @@ def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.
     SLEEPING with score 0.
     """
     words = F.filter(F.split(F.lower(text_col), r"(?U)\s+"), lambda w: w != "")
-    weight = lambda w: F.when(F.length(w) > 5, 1.0 + stable * 0.2).when(F.length(w) < 4, 1.0 - chaos * 0.3).otherwise(1.0)
-    mean = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + weight(w)) / F.nullif(F.size(words), F.lit(0))
+    count = lambda keep: F.size(F.filter(words, keep)).cast("double")
+    long, short, n = count(lambda w: F.length(w) > 5), count(lambda w: F.length(w) < 4), F.size(words).cast("double")
+    # whole counts first: the order of a sum of weights would decide the last digits
+    mean = (long * (1.0 + stable * 0.2) + short * (1.0 - chaos * 0.3) + (n - long - short)) / F.nullif(n, F.lit(0.0))
     rated = df.where(F.col(text_col).isNotNull()).select(id_col, mean.alias("mean"))
     state = F.when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
     return rated.select(id_col, F.round(F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)), 6).alias("score"), state.alias("state"))
