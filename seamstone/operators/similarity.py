@@ -75,7 +75,7 @@ def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.
     mean = (long * (1.0 + stable * 0.2) + short * (1.0 - chaos * 0.3) + (n - long - short)) / F.nullif(n, F.lit(0.0))
     rated = df.where(F.col(text_col).isNotNull()).select(id_col, mean.alias("mean"))
     state = F.when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
-    return rated.select(id_col, F.round(F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)), 6).alias("score"), state.alias("state"))
+    return rated.select(id_col, F.round(F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)), 9).alias("score"), state.alias("state"))
 
 
 def similarity_percent(hi1, lo1, hi2, lo2):
