@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Queries that go to the executors at once; more queries are more passes.
 QUERY_BLOCK = 2_000
+#: Characters or vector elements of the queries of a block; a longer query is a block of its own.
+QUERY_BLOCK_SIZE = 8_000_000
 _WORD_CACHE = 200_000
 
 
@@ -75,7 +77,7 @@ def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.
     mean = (long * (1.0 + stable * 0.2) + short * (1.0 - chaos * 0.3) + (n - long - short)) / F.nullif(n, F.lit(0.0))
     rated = df.where(F.col(text_col).isNotNull()).select(id_col, mean.alias("mean"))
     state = F.when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
-    return rated.select(id_col, F.round(F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)), 9).alias("score"), state.alias("state"))
+    return rated.select(id_col, F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)).alias("score"), state.alias("state"))
 
 
 def similarity_percent(hi1, lo1, hi2, lo2):
@@ -86,11 +88,13 @@ def similarity_percent(hi1, lo1, hi2, lo2):
 def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
     """The queries in blocks of bounded size, streamed to the driver."""
     block: list = []
+    size = 0
     for row in queries.select(*columns).toLocalIterator(prefetchPartitions=False):
         block.append(tuple(row))
-        if len(block) >= QUERY_BLOCK:
+        size += len(row[1] or ())
+        if len(block) >= QUERY_BLOCK or size >= QUERY_BLOCK_SIZE:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 

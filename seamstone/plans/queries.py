@@ -719,7 +719,7 @@ def o117_diff_summary(spark, sf_dir):
     return incremental.diff_summary(incremental.diff(old, new, ["repo", "path"]))
 
 
-@query("o88_weighted_score", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, count(*) FILTER (len(w) > 5)::DOUBLE AS a, count(*) FILTER (len(w) < 4)::DOUBLE AS b, count(*)::DOUBLE AS n FROM w GROUP BY 1), m AS (SELECT doc_id, (a * (1::DOUBLE + 0.9::DOUBLE * 0.2::DOUBLE) + b * (1::DOUBLE - 0.5::DOUBLE * 0.3::DOUBLE) + (n - a - b)) / n AS m FROM k) SELECT d.doc_id, round(coalesce(least(m, 2.0) / 2, 0), 9) AS score, CASE WHEN m IS NULL THEN 'SLEEPING' WHEN m < 0.5 THEN 'WEAK' ELSE 'STABLE' END AS state FROM documents d LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL")
+@query("o88_weighted_score", r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\s\x{a0}\x{85}\x{1c}\x{1d}\x{1e}\x{1f}]+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, count(*) FILTER (len(w) > 5)::DOUBLE AS a, count(*) FILTER (len(w) < 4)::DOUBLE AS b, count(*)::DOUBLE AS n FROM w GROUP BY 1), m AS (SELECT doc_id, (a * (1::DOUBLE + 0.9::DOUBLE * 0.2::DOUBLE) + b * (1::DOUBLE - 0.5::DOUBLE * 0.3::DOUBLE) + (n - a - b)) / n AS m FROM k) SELECT d.doc_id, coalesce(least(m, 2.0::DOUBLE) / 2::DOUBLE, 0::DOUBLE) AS score, CASE WHEN m IS NULL THEN 'SLEEPING' WHEN m < 0.5 THEN 'WEAK' ELSE 'STABLE' END AS state FROM documents d LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL")
 def o88_weighted_score(spark, sf_dir):
     return similarity.weighted_score(_docs(spark, sf_dir), "doc_id", "text", 0.9, 0.5)
 
