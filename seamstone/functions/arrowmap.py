@@ -16,6 +16,22 @@ from pyspark.sql import DataFrame
 OUT_ROWS = 20_000
 
 
+#: Inputs of less than so many bytes a core are spread over all cores before heavy Python work ...
+SPREAD_BELOW = 4 << 20
+#: ... unless they are smaller than this.
+SPREAD_FROM = 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores; larger ones already come in enough splits and are left alone.
+
+    Only the planner's size estimate is looked at; nothing is run for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if SPREAD_FROM <= size < cores * SPREAD_BELOW else df
+
+
 def map_rows(
     df: DataFrame,
     columns: list[str],
@@ -45,7 +61,7 @@ def map_rows(
         if out:
             yield to_batch(out, arrow_schema)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

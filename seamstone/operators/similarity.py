@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamstone.functions.arrowmap import spread
+
 #: Queries that go to the executors at once; more queries are more passes.
 QUERY_BLOCK = 2_000
 #: Characters or vector elements of the queries of a block; a longer query is a block of its own.
@@ -60,7 +62,7 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             halves = np.frombuffer(raw, ">i8").reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0], pa.int64()), pa.array(halves[:, 1], pa.int64())], schema=schema)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, hi BIGINT, lo BIGINT")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, hi BIGINT, lo BIGINT")
 
 
 def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.0, chaos: float = 0.0) -> DataFrame:
@@ -152,7 +154,7 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, id_col: str, text_col:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        part = corpus.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "query_id BIGINT, id BIGINT, similarity DOUBLE, simhash_score DOUBLE, keyword_score DOUBLE")
+        part = spread(corpus.select(F.col(id_col).cast("long"), text_col)).mapInArrow(run, "query_id BIGINT, id BIGINT, similarity DOUBLE, simhash_score DOUBLE, keyword_score DOUBLE")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = corpus.sparkSession.createDataFrame([], "query_id BIGINT, id BIGINT, similarity DOUBLE, simhash_score DOUBLE, keyword_score DOUBLE")
