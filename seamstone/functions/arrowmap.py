@@ -28,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     Only the planner's size estimate is looked at; nothing is run for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if SPREAD_FROM <= size < cores * SPREAD_BELOW else df
 
 
