@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from seamstone.functions.arrowmap import map_rows
+from seamstone.functions.arrowmap import map_rows, spread
 from seamstone.sources.checkpoints import cut_lineage
 
 #: Most item shingles that are sent to every task; a larger set is joined by shuffle.
@@ -121,7 +121,7 @@ def corpus_hits(documents: DataFrame, vocabulary: DataFrame, n: int, width: int)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, ddl)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, ddl)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, width: int = 6, min_share: float = 0.5) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamstone.functions.arrowmap import spread
 from seamstone.sources.checkpoints import cut_lineage
 
 #: Folder of the public vocabulary files, and the file that sizes are taken in.
@@ -128,7 +129,7 @@ def token_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sizes = [token_count(encoding, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], schema=arrow)
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, n_tokens BIGINT")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, n_tokens BIGINT")
 
 
 def pack(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamstone.functions.arrowmap import spread
 from seamstone.llm.trigram import Postings, bits, required, trigrams_in
 
 #: Characters of a chunk, and of its overlap with the next one.  Longer lines are chunks of their own.
@@ -371,7 +372,7 @@ def file_secrets(files: DataFrame) -> DataFrame:
             if rows:
                 yield _found("file", rows)
 
-    return files.select(F.col("file_id").cast("long"), "content").mapInArrow(run, _FOUND_DDL)
+    return spread(files.select(F.col("file_id").cast("long"), "content")).mapInArrow(run, _FOUND_DDL)
 
 
 def context_secrets(contexts: DataFrame) -> DataFrame:
@@ -383,7 +384,7 @@ def context_secrets(contexts: DataFrame) -> DataFrame:
             if rows:
                 yield _found("context", rows)
 
-    return contexts.select(F.col("context_id").cast("long"), "payload").mapInArrow(run, _FOUND_DDL)
+    return spread(contexts.select(F.col("context_id").cast("long"), "payload")).mapInArrow(run, _FOUND_DDL)
 
 
 def found_secrets(files: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -401,7 +402,7 @@ def redact_files(files: DataFrame) -> DataFrame:
             found = find_in_texts([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redact_text(t, f) if f else t for t, f in zip(texts, found)], pa.string())], schema=schema)
 
-    return files.select(F.col("file_id").cast("long"), "content").mapInArrow(run, "file_id BIGINT, content STRING")
+    return spread(files.select(F.col("file_id").cast("long"), "content")).mapInArrow(run, "file_id BIGINT, content STRING")
 
 
 def redact_contexts(contexts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamstone.functions.arrowmap import spread
 from seamstone.llm import grammars, lexers
 from seamstone.llm.gll import Grammar
 
@@ -111,7 +112,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             names = [lang.name if (lang := language_of(p)) else None for p in paths]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array([parses(p, t) for p, t in zip(paths, texts)], pa.bool_())], schema=_SCHEMA)
 
-    return files.select(F.col("file_id").cast("long"), "path", "content").mapInArrow(run, "file_id BIGINT, intended STRING, parsed BOOLEAN")
+    return spread(files.select(F.col("file_id").cast("long"), "path", "content")).mapInArrow(run, "file_id BIGINT, intended STRING, parsed BOOLEAN")
 
 
 def unparsed_files(files: DataFrame) -> DataFrame:
