@@ -151,7 +151,9 @@ def function_docs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     repeated symbols each get a row.
     """
     wanted = symbols.where(F.col("symbol_type").isin("function", "method")).select("symbol_id", "file_id", "line", "name", "signature")
-    texts = files.where(F.col("content").isNotNull()).select("file_id", "path", "content").repartition("file_id")
+    # a fixed number of partitions: by their bytes alone adaptive execution would join them into too few tasks for the work
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = files.where(F.col("content").isNotNull()).select("file_id", "path", "content").repartition(parts, "file_id")
     used = texts.join(wanted.select("file_id").distinct(), "file_id", "left_semi")
     docs = documentation(logical_lines(tokens_of(used))).select("file_id", F.explode(F.sequence("line", "end_line")).alias("line"), F.coalesce("below", "above").alias("doc")).where(F.col("doc").isNotNull())
     # joined by file and line: a file that holds very many of the symbols is spread over its lines
