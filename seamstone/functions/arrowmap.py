@@ -17,9 +17,9 @@ OUT_ROWS = 20_000
 
 
 #: Inputs of less than so many bytes a core are spread over all cores before heavy Python work ...
-SPREAD_BELOW = 4 << 20
+SPREAD_BELOW = 1 << 20
 #: ... unless they are smaller than this.
-SPREAD_FROM = 256 << 10
+SPREAD_FROM = 64 << 10
 
 
 def spread(df: DataFrame) -> DataFrame:
