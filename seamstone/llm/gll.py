@@ -237,17 +237,22 @@ class Grammar:
         key = (rule, number)
         known = self.known.get(key)
         if known is None:
-            known = self.known[key] = self.derives(rule, self.contents[number])
+            known = self.known[key] = self.derives((rule,), self.contents[number])
         return known
 
-    def derives(self, rule: str, content: tuple) -> bool:
-        if rule in self.lists and len(content) > 1:
+    def accepts_one(self, rules: tuple[str, ...], number: int) -> bool:
+        """Whether a group's content is one of ``rules``, the dialects of a text."""
+        return self.accepts(rules[0], number) if len(rules) == 1 else self.derives(rules, self.contents[number])
+
+    def derives(self, rules: tuple[str, ...], content: tuple) -> bool:
+        if len(content) > 1 and not self.lists.isdisjoint(rules):
             parts = self._parts(content)
             if len(parts) > 1:
-                if all(self._part(rule, p) for p in parts):
+                # one dialect has to hold for all parts
+                if any(rule in self.lists and all(self._part(rule, p) for p in parts) for rule in rules):
                     return True
                 # a cut may have been wrong: the whole sequence decides
-        return self.recognise((rule,), content)
+        return self.recognise(rules, content)
 
     def _part(self, rule: str, part: tuple) -> bool:
         key = (rule, part)

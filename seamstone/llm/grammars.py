@@ -1,8 +1,9 @@
 """Grammars of the supported languages (notation: ``gll``).
 
 They describe the syntax from which programs are built, not names, types or
-constant values.  Where dialects differ, a language has several start rules;
-they run together, and a text is accepted if one of them accepts it.
+constant values.  Headers (.h) may be C++ or C and have a start rule for each;
+the two run together, and a text is accepted if one of them accepts it.  Every
+other extension has one grammar.
 """
 
 from __future__ import annotations
@@ -589,3 +590,48 @@ Targs = '<' ( Targ ( ',' Targ )* )? '>' ;
 Targ = ( Type | Cond1 ) '...'? ;
 Name = ID | 'final' | 'override' ;
 """
+
+#: What a header may hold: C++, where the words of C only are names, and C, where those of C++ only are.
+HEADER = CPP.replace("Name = ID |", "Name = ID | CQUAL | COF | '_Atomic' | GENERIC |") + """
+CFile = CItem* ;
+CItem = ';' | 'extern' STR ( curly{CFile} | CItem ) | CDecl | CFunc | 'static_assert' paren{AnyTokens} ';' | CName paren{AnyTokens} ;
+CSpec = MOD | CQUAL | COF paren{AnyTokens} | '_Atomic' paren{AnyTokens}? | 'inline' | 'static' | 'extern' | 'const' | 'constexpr' | PRIM | 'auto' | 'typedef' | CAttr ;
+CAttr = brack{AnyTokens} | 'alignas' paren{AnyTokens} | '__attribute__' paren{AnyTokens} ;
+CSpecs = CSpec+ | CSpec* ( CName | CTag ) CSpec* ;
+CTag = ( 'struct' | 'union' ) CAttr* ( CName? curly{CBody} | CName ) | 'enum' CAttr* ( CName? ( ':' CType )? curly{CEnums} | CName ) ;
+CBody = ( ';' | CSpecs ( CField ( ',' CField )* )? ';' | 'static_assert' paren{AnyTokens} ';' | CName paren{AnyTokens} )* ;
+CField = CDeclr ( ':' CCond )? CAttr* | ':' CCond ;
+CEnums = ( CEnum ( ',' CEnum )* ','? )? ;
+CEnum = CName CAttr* ( '=' CCond )? ;
+CDecl = CSpecs ( CInit ( ',' CInit )* )? ';' ;
+CInit = CDeclr CLabel* ( '=' ( CExpr1 | curly{CInits} ) )? ;
+CLabel = CAttr | 'asm' paren{AnyTokens} ;
+CInits = ( CInitItem ( ',' CInitItem )* ','? )? ;
+CInitItem = ( ( '.' CName | brack{CRange} )+ '=' )? ( CExpr1 | curly{CInits} ) ;
+CRange = CCond ( '...' CCond )? ;
+CDeclr = CPtr* ( CName | paren{CInner} ) ( brack{CIndex} | paren{CParams} )* ;
+CInner = CAttr* CDeclr ;
+CPtr = '*' ( 'const' | MOD | CQUAL | '_Atomic' | CAttr )* ;
+CIndex = ( 'static' | 'const' | MOD | '_Atomic' )* ( CExpr1 | '*' )? ;
+CParams = ( CParam ( ',' CParam )* ( ',' '...' )? | '...' )? ;
+CParam = CSpecs ( CDeclr | CAbs )? CAttr* ;
+CAbs = CPtr+ paren{CAbsIn}? ( brack{CIndex} | paren{CParams} )* | paren{CAbsIn} ( brack{CIndex} | paren{CParams} )+ | ( brack{CIndex} | paren{CParams} )+ ;
+CAbsIn = CAbs ;
+CType = CSpecs CAbs? ;
+CFunc = CSpecs? CPtr* ( CName paren{CParams} | paren{CInner} ( brack{CIndex} | paren{CParams} )+ ) CAttr* CDecl* curly{CStmts} ;
+CStmts = CStmt* ;
+CStmt = curly{CStmts} | CExpr? ';' | CDecl | 'static_assert' paren{AnyTokens} ';' | 'if' paren{CExpr} CStmt ( 'else' CStmt )? | 'for' paren{CFor} CStmt | 'while' paren{CExpr} CStmt | 'do' CStmt 'while' paren{CExpr} ';'
+  | 'return' CExpr? ';' | 'break' ';' | 'continue' ';' | 'goto' CName ';' | 'switch' paren{CExpr} CStmt | ( 'case' CRange | 'default' ) ':' CStmt? | CName ':' CStmt? | CAttr+ CStmt | 'asm' ( MOD | 'goto' )* paren{AnyTokens} ';' ;
+CFor = ( CSpecs ( CInit ( ',' CInit )* )? | CExpr )? ';' CExpr? ';' CExpr? ;
+CExpr = CExpr1 ( ',' CExpr1 )* ;
+CExpr1 = CCond ( ( '=' | ASG ) CExpr1 )? ;
+CCond = CUnary ( CBin CUnary )* ( '?' CExpr? ':' CExpr1 )? ;
+CBin = BIN | ADD | '*' | '<' | '>' | '>' '>' | '&' | '|' | AND | OR ;
+CUnary = ( ADD | UN | '!' | INC | '*' | '&' | AND | 'sizeof' | 'alignof' | paren{CType} )* CPrim COp* ;
+CPrim = CName | NUM | STR+ | CHAR | paren{CExpr} | paren{CType} curly{CInits} | ( 'sizeof' | 'alignof' ) paren{CType} | GENERIC paren{CGeneric} ;
+COp = ( '.' | '->' ) CName | brack{CExpr} | paren{CArgs} | INC ;
+CArgs = ( CArg ( ',' CArg )* )? ;
+CArg = CExpr1 | CType ;
+CGeneric = CExpr1 ( ',' ( CType | 'default' ) ':' CExpr1 )+ ;
+CName = ID | 'final' | 'override' | 'namespace' | 'using' | 'typename' | 'concept' | 'template' | 'requires' | 'decltype' | 'explicit' | 'virtual' | 'friend' | 'mutable' | 'class' | 'operator' | 'new' | 'delete' | 'noexcept' | 'throw' | 'try' | 'catch' | 'co_return' | 'co_await' | 'co_yield' | 'consteval' | 'constexpr' | 'typeid' | 'this' | 'true' | 'false' | 'nullptr' | 'alignas' | 'alignof' | 'static_assert' | 'asm' | ACCESS | CASTOP ;
+"""

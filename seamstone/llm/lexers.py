@@ -337,16 +337,18 @@ lex_rust = plain_lexer(
 )
 
 _CPP_OPS = operators(ADD="+ -", UN="~", INC="++ --", ASG="+= -= *= /= %= <<= >>= &= |= ^=", BIN="/ % << <= >= == != <=> ^", AND="&&", OR="||", own_="! * < > & | = -> ->* .* :: ? : ; , . ...")
-lex_cpp = plain_lexer(
+_cpp_lexer = lambda **more: plain_lexer(
     rf"{_LINE}|{_BLOCK}|^[ \t]*\#(?:[^\n\\]|\\\r?\n|\\)*", rf'(?:u8|[uUL])?R"(?P<h>[^()\\\s]{{0,16}})\([\s\S]*?\)(?P=h)"|(?:u8|[uUL])?{_DQ}', r"[uUlLfFzZ]{1,3}|_\w+", _CPP_OPS,
     words(
         "inline namespace extern using typename static_assert concept template requires alignas __attribute__ static const constexpr auto decltype explicit virtual friend typedef mutable class struct union enum final operator new delete noexcept override throw try catch default if else for while do return co_return break continue goto "
         "switch case asm consteval sizeof alignof co_await co_yield typeid true false nullptr this",
         MOD="volatile register thread_local restrict __restrict constinit", PRIM="int long short char float double bool void unsigned signed wchar_t char8_t char16_t char32_t size_t", ACCESS="public private protected",
-        CASTOP="static_cast dynamic_cast const_cast reinterpret_cast",
+        CASTOP="static_cast dynamic_cast const_cast reinterpret_cast", **more,
     ),
     chars=r"(?:u8|[uUL])?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]+|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)){1,4}'",
-)
+)
+lex_cpp = _cpp_lexer()
+lex_header = _cpp_lexer(CQUAL="_Noreturn _Thread_local _Complex _Imaginary", COF="_Alignas typeof typeof_unqual __typeof__", GENERIC="_Generic", _Atomic="_Atomic")
 
 # ---- PHP ------------------------------------------------------------------
 _PHP_OPS = operators(

@@ -1,8 +1,8 @@
 """Source files that do not parse (problem 3).
 
 Method: generalised LL parsing with graph-structured stacks.  The extension
-names the language; the dialect grammars of the language run together, and a
-file is flagged if every one of them rejects it.
+names the language; where it has several dialects (C++ and C in .h) their
+grammars run together, and a file is flagged if every one of them rejects it.
 
 Parsing is one narrow stage.  Token groups and statements are stored once per
 worker with what is known of them, so a worker parses a shape of statement the
@@ -50,7 +50,7 @@ class Language:
         grammar.forget()
         try:
             root = self.lex(grammar, text)
-            return any(grammar.accepts(start, root) for start in self.starts)
+            return grammar.accepts_one(self.starts, root)
         except (lexers.Rejected, RecursionError):
             return False
 
@@ -68,11 +68,12 @@ _PHP = Language("php", lexers.lex_php, grammars.PHP, ("File",), ("File", "Block"
 _RUBY = Language("ruby", lexers.lex_ruby, grammars.RUBY, ("File",), ("File", "Body"), _GOES_ON - {"ID", "from", "as", "of", "with", "where", "curly"} | {"if", "unless"})
 _PYTHON = Language("python", lexers.lex_python, grammars.PYTHON, ("File",), ("File",), frozenset(["block", "elif", "else", "except", "finally"]))
 _CPP = Language("cpp", lexers.lex_cpp, grammars.CPP, ("File",), ("File", "Stmts", "Body"), _GOES_ON - {"while", "&", "!", "from", "as", "of", "with", "where"})
+_HEADER = Language("cpp", lexers.lex_header, grammars.HEADER, ("File", "CFile"), ("File", "Stmts", "Body", "CFile", "CStmts"), _CPP.goes_on)
 
 #: Languages by extension.
 LANGUAGES: dict[str, Language] = {
     **dict.fromkeys(("py", "pyw", "pyi"), _PYTHON), **dict.fromkeys(("js", "jsx", "mjs", "cjs"), _JAVASCRIPT), **dict.fromkeys(("ts", "mts", "cts"), _TYPESCRIPT), "tsx": _TSX, "java": _JAVA, "cs": _CSHARP,
-    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"), _CPP),
+    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx"), _CPP), "h": _HEADER,
 }
 
 

@@ -130,6 +130,30 @@ def test_deep_nesting_and_long_files_end():
     assert syntax.parses("a.json", "[" * 200_000) is False
 
 
+C_HEADERS = [
+    "struct shape { int class; void *new; };\nint template(struct shape *this, int delete);\n",
+    "#ifdef __cplusplus\nextern \"C\" {\n#endif\nextern int try;\nvoid copy(char *restrict to, int n, int a[static 3], int b[const *]);\n#ifdef __cplusplus\n}\n#endif\n",
+    "static int sum(a, b)\n    int a;\n    char *b;\n{\n    return a + *b;\n}\n",
+    "static inline struct p at(int x) { return (struct p){ .x = x, .y = (int[]){1, 2}[0] }; }\n",
+    "#define abs(x) y\nstatic double up(int private) { return _Generic(private, int: 1, struct s *: 2.0, default: f)(private); }\n_Noreturn void stop(void);\nstatic _Thread_local my_t x;\n_Atomic my_t y;\n_Static_assert(sizeof(int) == 4, \"int\");\n",
+    "enum { A = 1, B = A << 2, };\ntypedef int (*call)(void *, ...);\nint (*pick(int public))(void);\nunion u { unsigned f : 3, : 2; float g[4]; } v = { .g = { [1] = 2 } };\n",
+    "static int run(int n) { int new = n, *virtual = &new; for (int i = 0; i < n; i++) { switch (i) { case 1: continue; default: goto end; } } do { new += sizeof(struct s) * (long) n; } while (n--); end: return virtual ? virtual[0] : -1; }\n",
+]
+
+
+@pytest.mark.parametrize("text", C_HEADERS)
+def test_headers_may_be_c(text):
+    assert syntax.parses("a.h", text)
+
+
+def test_headers_are_one_dialect():
+    assert not syntax.parses("a.hpp", C_HEADERS[0])
+    assert all(syntax.parses("a.h", t) for t in VALID["a.cpp"])
+    assert syntax.parses("a.h", "_Atomic x;\ntemplate <class T> struct A { T _Generic; };\n")
+    bad = ["int class;\ntemplate <class T> struct A { T x; };\n", "int new = ;", "struct s { int class }", "int f(a) int a; b {", "void f(void) { return (struct s){1 }", "int x[static;", *INVALID["a.cpp"]]
+    assert [t for t in bad if syntax.parses("a.h", t) is not False] == []
+
+
 def test_frame(spark):
     rows = [(1, "r", "a.py", "x = 1\n", "z"), (1, "r", "a.py", "x = \n", "z"), (2, "r", "a.py", None, None), (3, None, None, "x", None), (4, "r", "a.xyz", "(", None), (5, "r", "b.json", "", None), (6, "r", "a.JS", "let = (", None)]
     df = spark.createDataFrame(rows, "file_id BIGINT, repo STRING, path STRING, content STRING, parsed STRING")
