@@ -346,12 +346,12 @@ _CLOSURE = "reach AS (SELECT repo, start, start AS node, 0 AS depth FROM hubs UN
 
 @query("o78_dependents", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.src', on='e.dst = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
 def o78_dependents(spark, sf_dir):
-    return graph.closure(graph.transpose(_deps(spark, sf_dir)), _hubs(spark, sf_dir), ["repo"], 40)
+    return graph.closure(graph.transpose(_deps(spark, sf_dir)), _hubs(spark, sf_dir), ["repo"])
 
 
 @query("o83_dependencies", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
 def o83_dependencies(spark, sf_dir):
-    return graph.closure(_deps(spark, sf_dir), _hubs(spark, sf_dir), ["repo"], 40)
+    return graph.closure(_deps(spark, sf_dir), _hubs(spark, sf_dir), ["repo"])
 
 
 @query(

@@ -6,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from seamstone.functions import quality as Q
 from seamstone.functions import text as T
 from seamstone.operators import findings, graph, incremental, packing_context, recipes, similarity, structure, telemetry
@@ -70,6 +71,15 @@ def test_graph(spark):
     assert graph.closure(e.limit(0), start, ["repo"]).count() == 0
 
 
+def test_closures_have_no_depth_bound(spark, tmp_path):
+    chain = [(r, f"n{i:02}", f"n{i + 1:02}") for r in ("down", "up") for i in range(44)]
+    hubs = [("down", "x", "n00"), ("down", "y", "n00"), ("up", "x", "n44")]
+    spark.createDataFrame(chain + hubs, "repo STRING, src STRING, dst STRING").coalesce(1).write.parquet(str(tmp_path / "file_deps.parquet"))
+    for name, repo in (("o83_dependencies", "down"), ("o78_dependents", "up")):
+        rows = entry.queries()[name](spark, str(tmp_path)).where(F.col("repo") == repo).collect()
+        assert {r["depth"] for r in rows} == set(range(1, 45))
+
+
 def test_ordinals_over_hot_groups(spark):
     df = spark.createDataFrame([("hot", i, i * 2) for i in range(500)] + [(None, 1, 7), ("cold", 5, 1), ("cold", 3, 2)], "g STRING, o INT, v INT")
     placed = with_ordinal(df, ["g"], ["o"])
