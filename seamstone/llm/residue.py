@@ -140,12 +140,8 @@ def slots_in(text: str) -> list[str]:
 _FILLER_WORDS = 14
 
 
-def shares(text: str, page: bool = True) -> dict[str, float]:
-    """Share of words in filler, error and notice sentences, page furniture left out.
-
-    ``page`` false: the text is too long for an error page or notice, and only
-    filler is looked for.
-    """
+def shares(text: str) -> dict[str, float]:
+    """Share of words in filler, error and notice sentences, page furniture left out."""
     weight: Counter[str] = Counter()
     for sentence in _SENTENCE.split(_TAG.sub("\n", text).lower()):
         sentence = sentence.strip().lstrip("#").strip(" \t*-=|>")
@@ -158,9 +154,9 @@ def shares(text: str, page: bool = True) -> dict[str, float]:
             kind = "filler"
         elif len(words) >= _TALK_WORDS and _TALK.search(plain):
             kind = "content"
-        elif page and _NOTICE.search(plain):
+        elif _NOTICE.search(plain):
             kind = "notice"
-        elif page and _ERROR.search(plain):
+        elif _ERROR.search(plain):
             kind = "error"
         else:
             kind = "content"
@@ -169,13 +165,12 @@ def shares(text: str, page: bool = True) -> dict[str, float]:
     return {k: weight[k] / total for k in ("filler", "error", "notice")} if total else {"filler": 0.0, "error": 0.0, "notice": 0.0}
 
 
-def residue_of(text: str | None, min_share: float = 0.5, max_page_words: int = 120) -> tuple[int, float, float, float, str | None]:
+def residue_of(text: str | None, min_share: float = 0.5) -> tuple[int, float, float, float, str | None]:
     """(slots, filler share, error share, notice share, kind of residue or None) of a text."""
     if not text or text.isspace():
         return 0, 0.0, 0.0, 0.0, None
     slots = len(slots_in(text))
-    short = len(text) <= 40 * max_page_words and len(_WORD.findall(text)) <= max_page_words
-    s = shares(text, short)
+    s = shares(text)
     kind = None
     if s["filler"] >= min_share:
         kind = "filler"
@@ -189,7 +184,7 @@ def residue_of(text: str | None, min_share: float = 0.5, max_page_words: int = 1
 _FIELDS = "n_slots INT, filler_share DOUBLE, error_share DOUBLE, notice_share DOUBLE, kind STRING"
 
 
-def text_residue(df: DataFrame, id_col: str, text_col: str, min_share: float = 0.5, max_page_words: int = 120) -> DataFrame:
+def text_residue(df: DataFrame, id_col: str, text_col: str, min_share: float = 0.5) -> DataFrame:
     """``id_col, n_slots, filler_share, error_share, notice_share, kind`` of every row.
 
     ``kind`` is slot, filler, error, notice or null (the text is kept).  Null,
@@ -202,7 +197,7 @@ def text_residue(df: DataFrame, id_col: str, text_col: str, min_share: float = 0
     arrow = pa.schema([(id_col, to_arrow_type(id_type)), ("n_slots", pa.int32()), ("filler_share", pa.float64()), ("error_share", pa.float64()), ("notice_share", pa.float64()), ("kind", pa.string())])
 
     def make():
-        return lambda rec_id, text: ((rec_id, *residue_of(text, min_share, max_page_words)),)
+        return lambda rec_id, text: ((rec_id, *residue_of(text, min_share)),)
 
     return map_rows(df, [id_col, text_col], make, f"`{id_col}` {id_type.simpleString()}, {_FIELDS}", arrow)
 

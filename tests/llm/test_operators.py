@@ -253,6 +253,18 @@ def test_residue(text, want):
     assert residue.residue_of(text)[-1] == want
 
 
+LONG_TEXTS = [
+    ("The server encountered an internal problem with this request.\n" * 30, "error"), ("You need to enable JavaScript to run this app. " * 40, "notice"),
+    ("503 Service Unavailable\n" + "    at worker.run\n" * 30 + "The server could not complete the request. Try again later.\n" * 25 + "Please go back or reload.\n", "error"),
+    ("The harbour was rebuilt in stone after the storm of that year.\n" * 30 + "Page not found\n", None),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LONG_TEXTS)
+def test_residue_of_long_pages(text, want):
+    assert len(text.split()) > 120 and residue.residue_of(text)[-1] == want
+
+
 def test_residue_frame(spark):
     df = spark.createDataFrame([(i, t, "k") for i, (t, _) in enumerate(TEXTS)] * 2, "doc_id BIGINT, text STRING, kind STRING")
     got = residue.text_residue(df, "doc_id", "text")
