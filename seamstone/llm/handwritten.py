@@ -74,8 +74,6 @@ BANNERS = (
 )
 _BANNER = re.compile(_COMMENT + "(?:" + "|".join(BANNERS) + ")", re.I | re.M)
 _BANNER_HINT = re.compile(r"third[- ]party|upstream|vendored|local patch", re.I)
-#: Characters in which banners stand.
-_HEAD = 1_500
 
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
@@ -122,7 +120,7 @@ def rate(path: str | None, content: str | None) -> tuple:
     stats = layout(text)
     n_lines, longest, mean, space, alnum, density, number_share, encoded, literal = stats
     kind = None
-    if _VENDOR_PATH.search(where) or (_BANNER_HINT.search(text, 0, _HEAD) and any(not _in_literal(text, m.start(), ext) for m in _BANNER.finditer(text, 0, _HEAD))):
+    if _VENDOR_PATH.search(where) or (_BANNER_HINT.search(text) and any(not _in_literal(text, m.start(), ext) for m in _BANNER.finditer(text))):
         kind = "vendored"
     elif _OUTPUT_PATH.search(where) or (_MARKER_HINT.search(text) and any(not _in_literal(text, m.start(), ext) for m in _MARKER.finditer(text))):
         kind = "generated"

@@ -55,6 +55,14 @@ def test_kinds(path, content, want):
     assert (kind is not None) == (want is not None) and (want in (kind, "minified") or path == "a.min.js" or kind == want)
 
 
+def test_banners_anywhere():
+    licence = "// Permission is granted to use, copy and change this software without any fee.\n" * 40
+    assert handwritten.rate("lib/a.js", licence + "// Vendored from example/lib 2.1\nvar a;\n")[0] == "vendored"
+    assert handwritten.rate("src/a.py", PLAIN * 3 + "def f():\n    # local patch 2: keep the order\n    return 1\n")[0] == "vendored"
+    assert handwritten.rate("src/a.py", PLAIN * 3 + 'T = """\n# vendored from x\n"""\n')[0] is None
+    assert handwritten.rate("src/a.py", PLAIN * 3 + 'note = "local patch 2"\n# the list of upstream hosts\n')[0] is None
+
+
 def test_kind_frame(spark):
     df = spark.createDataFrame([(i, p, c, "k") for i, (p, c, _) in enumerate(KINDS)] * 2, "file_id BIGINT, path STRING, content STRING, kind STRING")
     got = handwritten.not_handwritten(df)
