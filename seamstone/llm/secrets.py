@@ -67,15 +67,15 @@ RULES = (
     Rule("payment_key", r"(?<![A-Za-z0-9_])([sr]k_prod_[A-Za-z0-9]{16,})(?![A-Za-z0-9])", "issued"),
     Rule("cloud_key", r"(?<![A-Za-z0-9_])(AIza[A-Za-z0-9_\-]{35})(?![A-Za-z0-9_\-])", "issued"),
     Rule("session_jwt", r"(?<![A-Za-z0-9_])(eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{20,})", "issued"),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>{}]{0,64}:([^\s@/\"'`]{1,200})@[A-Za-z0-9\[]", "password"),
+    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>{}]*:([^\s@/\"'`]+)@[A-Za-z0-9\[]", "password"),
     Rule("basic_header", r"authorization[\"']?\s*[:=,]\s*[\"']?basic\s+([A-Za-z0-9+/=_\-]{8,})", "basic", re.I),
     Rule("bearer_header", r"authorization[\"']?\s*[:=,]\s*[\"']?(?:bearer|token)\s+([^\s\"'`]{8,})", "token", re.I),
     Rule("key_header", r"(?:x-)?(?:api-key|auth-token|access-token|amz-security-token)[\"']?\s*[:=,]\s*[\"']?([^\s\"'`]{8,})", "token", re.I),
     *(
-        Rule("named_value", rf"(?<![A-Za-z0-9])((?:[A-Za-z0-9_\-]*?)?{word}[A-Za-z0-9_\-]*[\"'`]?\]?(?:[ \t]*:[ \t]*[&\w<>\[\]\*:?' ]{{1,30}}?)?[ \t]*(?::=|=>|=|:)(?!=)[ \t]*(?:\(\s*|\[\s*|\\\n\s*|\n\s*)?(?:[bruf@]|new String\()?[\"'`][^\"'`\n]{{6,400}}[\"'`])", "named", re.I)
+        Rule("named_value", rf"(?<![A-Za-z0-9])((?:[A-Za-z0-9_\-]*?)?{word}[A-Za-z0-9_\-]*[\"'`]?\]?(?:[ \t]*:[ \t]*[&\w<>\[\]\*:?' ]{{1,30}}?)?[ \t]*(?::=|=>|=|:)(?!=)[ \t]*(?:\(\s*|\[\s*|\\\n\s*|\n\s*)?(?:[bruf@]|new String\()?[\"'`][^\"'`\n]{{6,}}[\"'`])", "named", re.I)
         for word in ("pass", "pwd", "secret", "token", "api_?key", "access_?key", "private_?key", "signing_?key", "encryption_?key", "auth", "cred", "parola", "sifre", "kennwort", "bearer", "master_?key", "service_?key", "client_?key", "account_?key")
     ),
-    Rule("named_value", r"(?<![A-Za-z0-9])((?:pw\": ?|pw': ?|pw = ?|pw=|pw:=? ?|pw := )[ \t]*[\"'`][^\"'`\n]{6,400}[\"'`])", "named", re.I),
+    Rule("named_value", r"(?<![A-Za-z0-9])((?:pw\": ?|pw': ?|pw = ?|pw=|pw:=? ?|pw := )[ \t]*[\"'`][^\"'`\n]{6,}[\"'`])", "named", re.I),
     *(
         Rule("comment", rf"(?:^|[^\S\n]|/)(?:#|//|/\*|\*|--|;|<!--)[^\n]*?(?<![A-Za-z]){word}(?:(?<![A-Za-z])|(?![A-Za-z]))[^\n]*?[ :=]([^\s:=\"'`<>(),]{{8,}})(?=[ \t.,;)]*(?:\*/|-->)?[ \t\r]*$)", "comment", re.I | re.M)
         for word in ("pw(?: for| is| was|:|=| =)", "pwd", "pass", "password", "passwd", "passwort", "parola", "sifre", "kennwort", "key", "token", "secret", "credentials?", "rotation", "works locally", "login")
@@ -120,7 +120,8 @@ def placeholder(value: str) -> bool:
     return sum(c.isdigit() for c in value) < 3 and bool(_STAND_IN.search(value))
 
 
-_NAMED = re.compile(r"""([\w\-]+)["'`]?\]?(?:[ \t]*:[ \t]*[^=:"'`]{1,30}?)?[ \t]*(?::=|=>|=|:)[ \t]*(?:\(\s*|\[\s*|\\\n\s*|\n\s*)?(?:[bruf@]|new String\()?["'`]([^"'`\n]*)["'`]$""")
+# a search from inside a name could only fail again, once for each character of a long value
+_NAMED = re.compile(r"""(?<![\w\-])([\w\-]+)["'`]?\]?(?:[ \t]*:[ \t]*[^=:"'`]{1,30}?)?[ \t]*(?::=|=>|=|:)[ \t]*(?:\(\s*|\[\s*|\\\n\s*|\n\s*)?(?:[bruf@]|new String\()?["'`]([^"'`\n]*)["'`]$""")
 
 
 def _good_password(value: str) -> bool:
@@ -158,14 +159,24 @@ def value_of(rule: Rule, found: str) -> str | None:
     return value
 
 
+#: A line end within a joined value or between a name and its value: what stands before it, and after.
+_OPEN_END = re.compile(r"""(?:["'`][ \t]*(?:\+|\.\.|\.|<<|&|\\)?|[=:(\[\\]|=>)\Z""")
+_VALUE_NEXT = re.compile(r"""\s*(?:\+|\.\.|\.|<<|&)?[ \t]*(?:[bruf@]|new String\()?["'`]""")
+
+
 def chunks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, chunk) pieces that begin at line starts and overlap by whole lines."""
+    """(offset, chunk) pieces that begin at line starts and overlap by whole lines.
+
+    A piece goes on to the end of a value of any length that has begun in it.
+    """
     at, n = 0, len(text)
     while at < n:
         till = min(n, at + CHUNK_CHARS)
         if till < n:
             cut = text.rfind("\n", at, till)
             till = cut + 1 if cut > at else (text.find("\n", till) + 1 or n)
+            while till < n and (value := _VALUE_NEXT.match(text, till)) and _OPEN_END.search(text[max(at, till - OVERLAP_CHARS) : till].rstrip()[-8:]):
+                till = text.find("\n", value.end()) + 1 or n
         yield at, text[at:till]
         if till >= n:
             return

@@ -108,6 +108,26 @@ def test_secrets_in_long_texts_at_chunk_borders():
     assert len(found) == 1
 
 
+def test_long_values():
+    part = "q7Zp2Mx4Lk9Tb3Vd8Rw5"
+    token = part * 40
+    for text in (f'refresh_token = "{token}"\n', f'x = {{"session_token": "{part * 5000}"}}\n', f'url = "https://app:{part * 20}@db.example/x"\n', f'url = "https://{"u" * 100}:{part}@db.example/x"\n'):
+        (found,) = secrets.find_in_texts([text])
+        assert len(found) == 1 and part not in secrets.redact_text(text, found)
+
+
+def test_long_values_at_chunk_borders():
+    part, filler = "q7Zp2Mx4Lk9Tb3Vd8Rw5", "value = compute(other, 12)\n"
+    joined = "auth_token = (\n" + "".join(f'    "{part * 3}"\n' for _ in range(60)) + ")\n"
+    single = "auth_token = (\n    \"" + part * 450 + '"\n)\n'
+    for value in (joined, single):
+        for n in range(140, 306, 5):
+            text = filler * n + value + filler * 300
+            (found,) = secrets.find_in_texts([text])
+            assert len(found) == 1 and part not in secrets.redact_text(text, found)
+            assert secrets.line_positions(text, found) == [n + 1]
+
+
 def test_secret_frames(spark):
     files = spark.createDataFrame([(1, f'a = "{AKIA}"', 9), (2, None, 9), (3, "", 9), (1, f'a = "{AKIA}"', 9)], "file_id BIGINT, content STRING, pos INT")
     payload = '{"secrets_scan": {"findings": [null, {"masked_value": "AKIA****"}, {"masked_value": "' + AKIA + '"}, {"masked_value": null}, {"masked_value": "sha256:abcdef0123"}]}}'
