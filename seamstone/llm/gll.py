@@ -27,6 +27,15 @@ GROUPS = ("paren", "brack", "curly", "block", "markup")
 _TOKEN = re.compile(r"\s*(?:(paren|brack|curly|block|markup)\{(\w+)\}|'([^']*)'|(\w+)|([=;|()?*+]))")
 #: Groups and verdicts kept before a worker's memory of them is cleared.
 MEMORY = 400_000
+#: Groups within groups that are entered before the innermost is decided on its own and its parents begin again.
+DEEP = 1_000
+
+
+class _TooDeep(Exception):
+    """Group ``number`` has to be decided as a ``rule`` before what holds it."""
+
+    def __init__(self, rule: str, number: int) -> None:
+        self.rule, self.number = rule, number
 
 
 class State:
@@ -184,6 +193,7 @@ class Grammar:
         self.numbers: dict[tuple, int] = {}
         self.contents: list[tuple] = []
         self.known: dict[tuple, bool] = {}
+        self.depth = 0
 
     def _first_sets(self) -> None:
         """First tokens of every rule; None where it can be empty (or end at a line end)."""
@@ -237,12 +247,28 @@ class Grammar:
         key = (rule, number)
         known = self.known.get(key)
         if known is None:
-            known = self.known[key] = self.derives((rule,), self.contents[number])
+            if self.depth >= DEEP:
+                raise _TooDeep(rule, number)
+            self.depth += 1
+            try:
+                known = self.known[key] = self.derives((rule,), self.contents[number])
+            finally:
+                self.depth -= 1
         return known
 
     def accepts_one(self, rules: tuple[str, ...], number: int) -> bool:
         """Whether a group's content is one of ``rules``, the dialects of a text."""
-        return self.accepts(rules[0], number) if len(rules) == 1 else self.derives(rules, self.contents[number])
+        todo = [(rules, number)]
+        while True:
+            some, at = todo[-1]
+            try:
+                known = self.accepts(some[0], at) if len(some) == 1 else self.derives(some, self.contents[at])
+            except _TooDeep as inner:
+                todo.append(((inner.rule,), inner.number))
+                continue
+            todo.pop()
+            if not todo:
+                return known
 
     def derives(self, rules: tuple[str, ...], content: tuple) -> bool:
         if len(content) > 1 and not self.lists.isdisjoint(rules):

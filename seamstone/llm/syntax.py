@@ -51,7 +51,7 @@ class Language:
         try:
             root = self.lex(grammar, text)
             return grammar.accepts_one(self.starts, root)
-        except (lexers.Rejected, RecursionError):
+        except lexers.Rejected:
             return False
 
 
@@ -92,7 +92,8 @@ def parses(path: str | None, content: str | None) -> bool | None:
         return None
     if content is None or not content.strip():
         return True
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12_000))
+    # templates and markup in holes are read by calls in calls, two a level at most
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12_000 + 2 * len(content)))
     return language.parses(content)
 
 

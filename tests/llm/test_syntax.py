@@ -130,6 +130,16 @@ def test_deep_nesting_and_long_files_end():
     assert syntax.parses("a.json", "[" * 200_000) is False
 
 
+@pytest.mark.parametrize(
+    ("path", "before", "middle", "after"),
+    [("a.json", "[", "1", "]"), ("a.json", '{"a": [', "1", "]}"), ("a.js", "(", "1", ")"), ("a.js", "`${", "1", "}`"), ("a.js", "{", "f();", "}"), ("a.rs", "fn f() {", "1", "}"), ("a.js", "<b>{", "1", "}</b>")],
+)
+def test_any_depth(path, before, middle, after):
+    for n in (1_000, 15_000):
+        assert syntax.parses(path, before * n + middle + after * n)
+        assert syntax.parses(path, before * n + "1 2" + after * n) is False
+
+
 C_HEADERS = [
     "struct shape { int class; void *new; };\nint template(struct shape *this, int delete);\n",
     "#ifdef __cplusplus\nextern \"C\" {\n#endif\nextern int try;\nvoid copy(char *restrict to, int n, int a[static 3], int b[const *]);\n#ifdef __cplusplus\n}\n#endif\n",
