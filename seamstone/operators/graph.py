@@ -56,16 +56,16 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, k: int, within: Sequence[
     return closure(edges.unionByName(transpose(edges)).distinct(), starts, within, k)
 
 
-def levels(edges: DataFrame, within: Sequence[str] = (), max_rounds: int = 1_000) -> DataFrame:
+def levels(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Topological level of every node (``within..., node, level``): 0 where it depends on nothing left.
 
-    Leaves are peeled off round by round; nodes on a cycle or above one have
-    null level.
+    Leaves are peeled off round by round until a round frees nothing; nodes on
+    a cycle or above one have null level.
     """
     nodes = edges.select(*within, F.explode(F.array("src", "dst")).alias("node")).distinct()
     left, done, level = cut_lineage(nodes), None, 0
     live = cut_lineage(edges)
-    while level < max_rounds:
+    while True:
         waiting = live.select(*within, F.col("src").alias("node")).distinct()
         free = cut_lineage(left.join(waiting, [*within, "node"], "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():

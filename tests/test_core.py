@@ -1,3 +1,4 @@
+import inspect
 import math
 from collections import Counter
 
@@ -80,6 +81,12 @@ def test_closures_have_no_depth_bound(spark, tmp_path):
         assert {r["depth"] for r in rows} == set(range(1, 45))
 
 
+def test_levels_have_no_bound_of_rounds(spark):
+    assert list(inspect.signature(graph.levels).parameters) == ["edges", "within"]  # a chain of over 1,000 takes minutes
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(9)] + [("x", "y"), ("y", "x")], "src STRING, dst STRING")
+    assert {r["node"]: r["level"] for r in graph.levels(chain).collect()} == {**{f"n{i:02}": 9 - i for i in range(10)}, "x": None, "y": None}
+
+
 def test_ordinals_over_hot_groups(spark):
     df = spark.createDataFrame([("hot", i, i * 2) for i in range(500)] + [(None, 1, 7), ("cold", 5, 1), ("cold", 3, 2)], "g STRING, o INT, v INT")
     placed = with_ordinal(df, ["g"], ["o"])
