@@ -147,7 +147,7 @@ def pack(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFra
     if len(caps) > 1000:
         raise ValueError("more than 1000 limits")
     id_type = sizes.schema[id_col].dataType.simpleString()
-    items = cut_lineage(sizes.select(F.col(id_col), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens")))
+    items = cut_lineage(sizes.select(F.col(id_col), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("_row")))
     tokens, rows = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     out = None
     for limit_id, capacity in caps:
@@ -163,15 +163,18 @@ def _pack_one(items: DataFrame, id_col: str, id_type: str, limit_id: int, capaci
     cap = F.lit(capacity)
     pieces = items.select(
         id_col,
+        "_row",
         F.col("n_tokens"),
         F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / cap) - 1, F.lit(0)))).alias("piece"),
     ).select(
         id_col,
+        "_row",
         F.col("piece").cast("int").alias("piece"),
         (F.col("piece") * cap).cast("long").alias("start_token"),
         F.least(cap, F.col("n_tokens") - F.col("piece") * cap).cast("long").alias("n_tokens"),
     )
-    block = F.pmod(F.xxhash64(id_col, "piece"), F.lit(blocks)).alias("block")
+    # the row keeps repeated ids apart; it is read from the checkpoint, so a task that runs again gets the same
+    block = F.pmod(F.xxhash64(id_col, "piece", "_row"), F.lit(blocks)).alias("block")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", id_col, "piece"], kind="stable")
@@ -181,7 +184,7 @@ def _pack_one(items: DataFrame, id_col: str, id_type: str, limit_id: int, capaci
         )
 
     schema = f"limit_id INT, container STRING, `{id_col}` {id_type}, piece INT, start_token BIGINT, n_tokens BIGINT"
-    return pieces.withColumn("block", block).groupBy("block").applyInPandas(fill, schema)
+    return pieces.withColumn("block", block).drop("_row").groupBy("block").applyInPandas(fill, schema)
 
 
 def packing_report(packed: DataFrame, limits: DataFrame) -> DataFrame:

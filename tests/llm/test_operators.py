@@ -196,6 +196,14 @@ def test_best_fit_decreasing_equals_a_plain_search(sizes):
     assert all(u <= 20 for u in used.values()) and sorted(used.values()) == sorted(20 - x for x in left)
 
 
+def test_repeated_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 100)
+    limits = spark.createDataFrame([(1, 50)], "limit_id INT, capacity_tokens INT")
+    got = packing.pack(spark.createDataFrame([(7, 3)] * 1000, "doc_id BIGINT, n_tokens BIGINT"), limits).collect()
+    per = Counter(r["container"].partition("-")[0] for r in got)
+    assert len(got) == 1000 and len(per) == 10 and max(per.values()) < 200
+
+
 def test_pack_integrity(spark):
     random.seed(2)
     rows = [(i, random.choice([0, 3, 7, 50, 99, 100, 250, None]), 5) for i in range(2000)] + [(3, 7, 5)] * 3
