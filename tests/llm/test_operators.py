@@ -266,11 +266,20 @@ def test_leakage_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute(docs, [x for x in items if x[1]])
     assert got.count() == got.select("doc_id", "item_id").distinct().count()
     assert leakage.leaked_items(d.limit(0), q).count() == 0 and leakage.leaked_items(d, q.limit(0)).count() == 0
-    leakage.BROADCAST_SHINGLES, before = 0, leakage.BROADCAST_SHINGLES
+    # a filter that is full lets everything pass to the joins and changes nothing
+    leakage.FILTER_BITS, before = 1 << 6, leakage.FILTER_BITS
     try:
         assert leakage.leaked_items(d, q).count() == got.count()
     finally:
-        leakage.BROADCAST_SHINGLES = before
+        leakage.FILTER_BITS = before
+
+
+def test_leakage_of_items_without_instruction(spark):
+    passage = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, f"Some text, {passage.upper()}, and more."), (2, "one two three four five"), (3, None)], "doc_id INT, text STRING")
+    q = spark.createDataFrame([("a", passage), ("b", "Answer this.\n" + passage)], "item_id STRING, text STRING")
+    rows = lambda n: sorted((r["doc_id"], r["item_id"], r["n_covered"], r["n_longest"]) for r in leakage.leaked_items(d, q, instruction_lines=n).collect())
+    assert rows(1) == [(1, "b", 10, 10)] and rows(0) == [(1, "a", 10, 10), (1, "b", 10, 10)]
 
 
 # ---- 9: residue ----------------------------------------------------------------------
