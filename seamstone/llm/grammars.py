@@ -1,19 +1,32 @@
 """Grammars of the supported languages (notation: ``gll``).
 
 They describe the syntax from which programs are built, not names, types or
-constant values.  Headers (.h) may be C++ or C and have a start rule for each;
-the two run together, and a text is accepted if one of them accepts it.  Every
-other extension has one grammar.
+constant values.  Where a language has dialects each has a start rule: Python 3
+and 2, modules and scripts of JavaScript, C++ and C in headers (.h), JSON with
+comments and with or without trailing commas.  The start rules run together,
+and a text is accepted if one of them accepts it.
 """
 
 from __future__ import annotations
 
+import re
+
+
+def dialect(text: str, mark: str, **changed: str) -> str:
+    """The rules of a grammar once more, their names ending in ``mark``, with those of ``changed`` put in their place."""
+    rules = dict(re.findall(r"(?m)^(\w+) = (.*?) ;$", re.sub(r"\n  +", " ", text)))
+    named = lambda body: re.sub(r"'[^']*'|\b[A-Z]\w*\b", lambda m: m[0] + mark if m[0] in rules or m[0] in changed else m[0], body)
+    return "".join(f"{name}{mark} = {named(body)} ;\n" for name, body in {**rules, **changed}.items())
+
+
 JSON = """
 Json = Value ;
 Value = STR | NUM | 'true' | 'false' | 'null' | curly{Members} | brack{Items} ;
 Members = ( STR ':' Value ( ',' STR ':' Value )* )? ;
 Items = ( Value ( ',' Value )* )? ;
 """
+#: JSON as configuration files have it; comments are left out by the lexer.
+JSON_WITH_COMMENTS = JSON + dialect(JSON, "C", Members="( STR ':' Value ( ',' STR ':' Value )* ','? )?", Items="( Value ( ',' Value )* ','? )?")
 
 #: Shared by the scripts with and without types; ``Ta`` and the Ts rules are filled in below.
 _SCRIPT = """
@@ -29,7 +42,7 @@ Stmts = Stmt* ;
 Stmt = curly{Stmts} | ';' | Vars EOS | Func | Class | 'if' paren{Expr} Stmt ( 'else' Stmt )? | 'for' 'await'? paren{ForHead} Stmt | 'while' paren{Expr} Stmt
   | 'do' Stmt 'while' paren{Expr} EOS | 'return' Expr? EOS | 'break' Name? EOS | 'continue' Name? EOS | 'throw' Expr EOS
   | 'try' curly{Stmts} ( 'catch' paren{CatchHead}? curly{Stmts} )? ( 'finally' curly{Stmts} )? | 'switch' paren{Expr} curly{Cases}
-  | 'with' paren{Expr} Stmt | Name ':' Stmt | 'debugger' EOS | ExprStart EOS | TsDecl ;
+  | Sloppy | Name ':' Stmt | 'debugger' EOS | ExprStart EOS | TsDecl ;
 CatchHead = Pattern Ta? ;
 Cases = ( ( 'case' Expr | 'default' ) ':' Stmts )* ;
 ForHead = ( Vars | Expr )? ';' Expr? ';' Expr? | ( 'var' | 'let' | 'const' | 'using' )? Pattern Ta? ( 'of' | 'in' ) Expr | Postfix ( 'of' | 'in' ) Expr ;
@@ -77,7 +90,8 @@ Word = Name | 'await' | 'break' | 'case' | 'catch' | 'class' | 'const' | 'contin
   | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' ;
 """
 
-JAVASCRIPT = _SCRIPT + """
+_MODULE = _SCRIPT + """
+Sloppy = NEVER ;
 Ta = NEVER ;
 Tp = NEVER ;
 Targs = NEVER ;
@@ -88,8 +102,12 @@ TsEnd = NEVER ;
 TsCast = NEVER ;
 TsTail = NEVER ;
 """
+_NAMES = re.search(r"(?m)^Name = (.*?) ;$", re.sub(r"\n  +", " ", _SCRIPT))[1]
+#: Modules, and scripts: these have no imports and exports, may use ``with`` and have await as a name.
+JAVASCRIPT = _MODULE + dialect(_MODULE, "S", Item="Stmt", Sloppy="'with' paren{Expr} Stmt", Name=_NAMES + " | 'await'")
 
 TYPESCRIPT = _SCRIPT + """
+Sloppy = 'with' paren{Expr} Stmt ;
 Ta = ':' Type | ':' 'asserts'? ( Name | 'this' ) ( 'is' Type )? ;
 Tp = '<' Tparam ( ',' Tparam )* ','? '>' ;
 Tparam = ( 'const' | 'in' )* Name ( 'extends' Type )? ( '=' Type )? ;
@@ -461,7 +479,7 @@ Pair = Expr '=>' ';'? Expr | LABEL ( ';'? Expr )? | STR ':' ';'? Expr | '**' Exp
 Word = ID | CONST | 'class' | 'def' | 'end' | 'if' | 'unless' | 'while' | 'until' | 'then' | 'begin' | 'case' | 'when' | 'in' | 'do' | 'for' | 'nil' | 'true' | 'false' | 'self' | 'super' | 'module' | 'and' | 'or' | 'not' | 'return' | 'next' | 'break' | 'redo' | 'retry' | 'rescue' | 'ensure' | 'else' | 'elsif' | 'yield' | 'alias' | 'undef' | 'defined' | 'BEGIN' | 'END' ;
 """
 
-PYTHON = """
+_PYTHON3 = """
 File = Stmt* ;
 Stmt = Simple ( SEMI Simple )* SEMI? ';' | Compound | ';' ;
 Suite = ( Simple ( SEMI Simple )* SEMI? ';' ) | ';' block{File} ;
@@ -519,8 +537,32 @@ Args = ( Arg ( ',' Arg )* ','? )? ;
 Arg = Name '=' Expr | '*' Expr | '**' Expr | Named For* ;
 Subs = Sub ( ',' Sub )* ','? ;
 Sub = '*'? Named | Expr? ':' Expr? ( ':' Expr? )? ;
-Name = ID | 'match' | 'case' | 'type' ;
+Name = ID | 'match' | 'case' | 'type' | 'print' | 'exec' ;
 """
+#: Python 2: print, exec and raise statements, old except clauses, numbers and operators; no annotations, async or match.
+PYTHON = _PYTHON3 + dialect(
+    _PYTHON3,
+    "2",
+    Simple="Plain | Yield | ( Targets '=' )+ ( Plain | Yield ) | Target1 ASG ( Plain | Yield ) | 'print' ( BIN Test ( ',' Exprs )? | Exprs )? | 'exec' Exprs | 'return' Plain? | 'import' Dotted ( ',' Dotted )* | 'from' ( ( '.' | '...' )+ DottedName? | DottedName ) 'import' ( '*' | Aliases | paren{Aliases} )"
+    " | 'pass' | 'break' | 'continue' | 'raise' ( Expr ( ',' Expr ( ',' Expr )? )? )? | 'del' Exprs | 'global' Name ( ',' Name )* | 'assert' Expr ( ',' Expr )?",
+    PlainStar="Expr",
+    Yield="'yield' Exprs?",
+    Compound="( '@' Named DNL )* ( 'def' Name paren{Params} ':' Suite | 'class' Name paren{Args}? ':' Suite ) | 'if' Named ':' Suite ( 'elif' Named ':' Suite )* ( 'else' ':' Suite )? | 'while' Named ':' Suite ( 'else' ':' Suite )? | 'for' Targets 'in' Exprs ':' Suite ( 'else' ':' Suite )?"
+    " | 'try' ':' Suite ( ( 'except' ( Expr ( ( 'as' | ',' ) Target )? )? ':' Suite )+ ( 'else' ':' Suite )? ( 'finally' ':' Suite )? | 'finally' ':' Suite ) | 'with' WithItem ( ',' WithItem )* ':' Suite",
+    Param="( Name | paren{TargetGroup} ) ( '=' Expr )? | '*' Name | '**' Name",
+    LParam="( Name | paren{TargetGroup} ) ( '=' Expr )? | '*' Name | '**' Name",
+    Target="Target1",
+    Star="Named",
+    Named="Expr",
+    Bin="BIN | LTGT | ADD | '*' | '**' | '/' | '|' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' | 'is' 'not'",
+    Unary="( 'not' | ADD | UN )* Postfix",
+    Prim="Name | NUM | OLDNUM | ( STR | OLDSTR )+ | 'None' | 'True' | 'False' | '...' | paren{Group} | brack{List} | curly{DictSet} | TICK Exprs TICK",
+    DictItem="Expr ':' Expr",
+    For="'for' Targets 'in' Test ( ',' Test )* ','? ( 'if' CondTest )*",
+    CondTest="Test | 'lambda' LParams? ':' Expr",
+    Sub="Named | Expr? ':' Expr? ( ':' Expr? )?",
+    Name="ID | 'match' | 'case' | 'type' | 'print' | 'async' | 'await' | 'nonlocal'",
+)
 
 CPP = """
 File = Item* ;

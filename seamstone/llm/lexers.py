@@ -133,9 +133,13 @@ def words(text: str, **kinds: str) -> dict[str, str]:
 _json_tokens = re.compile(r'(?P<q>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<d>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<w>(?:true|false|null)(?!\w))|(?P<o>[{}\[\],:])|(?P<e>[^ \t\r\n])')
 
 
-def lex_json(grammar: Grammar, text: str) -> int:
+_JSON_NOTE = r"(?P<s>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|"
+_json_tokens_notes = re.compile(_JSON_NOTE + _json_tokens.pattern)
+
+
+def lex_json(grammar: Grammar, text: str, tokens: re.Pattern = _json_tokens) -> int:
     nest = Nest(grammar)
-    for m in _json_tokens.finditer(text):
+    for m in tokens.finditer(text):
         kind = m.lastgroup
         if kind == "o":
             op = m[0]
@@ -151,11 +155,15 @@ def lex_json(grammar: Grammar, text: str) -> int:
             nest.now.append("NUM")
         elif kind == "w":
             nest.now.append(m[0])
-        else:
+        elif kind != "s":
             raise Rejected
     return nest.finish()
 
 
+def lex_json_with_comments(grammar: Grammar, text: str) -> int:
+    return lex_json(grammar, text, _json_tokens_notes)
+
+
 # ---- scripts ---------------------------------------------------------------
 _SCRIPT_OPS = operators(
     ADD="+ -", UN="~", INC="++ --", ASG="+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=", BIN="/ % ** << <= >= == != === !== ^ && || ??",
@@ -561,15 +569,16 @@ def lex_ruby(grammar: Grammar, text: str) -> int:
 
 
 # ---- Python ---------------------------------------------------------------
-_PYTHON_OPS = operators(ADD="+ -", UN="~", ASG="+= -= *= /= //= %= **= @= <<= >>= &= |= ^=", BIN="// % << >> < > <= >= == != & ^", WALRUS=":=", SEMI=";", own_="* ** / @ | = -> : , . ...")
-_PYTHON_WORDS = words("and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try type while with yield None True False")
-_PY_PREFIX = r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"
+_PYTHON_OPS = operators(ADD="+ -", UN="~", ASG="+= -= *= /= //= %= **= @= <<= >>= &= |= ^=", BIN="// % << >> < > <= >= == != & ^", WALRUS=":=", SEMI=";", LTGT="<>", TICK="`", own_="* ** / @ | = -> : , . ...")
+_PYTHON_WORDS = words("and as assert async await break case class continue def del elif else except finally for from global if import in is lambda match nonlocal not or pass raise return try type while with yield None True False print exec")
+_PY_PREFIX = r"(?:[uU][rR]|[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"
 _python_tokens = re.compile(
     rf"{_MERGE}|(?P<n>\r?\n)|(?P<s>[ \t\f]+|\\\r?\n|\#[^\n]*)|(?P<q>{_PY_PREFIX}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?!\"\"){_DQ[1:]}|'(?!''){_SQ[1:]}))|(?P<w>{_WORD})"
-    rf"|(?P<d>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))|(?P<o>{operator_pattern(_PYTHON_OPS)})|(?P<e>\S)",
+    rf"|(?P<d>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w))|(?P<l>(?:0[xX][\da-fA-F]+|\d+)[lL](?!\w))|(?P<o>{operator_pattern(_PYTHON_OPS)})|(?P<e>\S)",
     re.M,
 )
 _INDENT = re.compile(r"[ \t\f]*")
+_OLD_PREFIX = ("ur", "uR", "Ur", "UR")
 _OLD_OCTAL = re.compile(r"0\d*[1-9]\d*$|00*_?[1-9]")
 
 
@@ -604,12 +613,16 @@ def lex_python(grammar: Grammar, text: str) -> int:
                     decorator = False
                 fresh = _line_start(nest, levels, text, m.end()) or fresh
         elif kind == "q":
-            nest.now.append("STR")
+            nest.now.append("OLDSTR" if m[0][:2] in _OLD_PREFIX else "STR")
             fresh = False
         elif kind == "d":
-            if _OLD_OCTAL.match(m[0]) and m[0].isdigit():
+            old = m[0].isdigit() and _OLD_OCTAL.match(m[0])
+            if old and not m[0].strip("01234567") == "":
                 raise Rejected
-            nest.now.append("NUM")
+            nest.now.append("OLDNUM" if old else "NUM")
+            fresh = False
+        elif kind == "l":
+            nest.now.append("OLDNUM")
             fresh = False
         elif kind != "s":
             raise Rejected

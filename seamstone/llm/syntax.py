@@ -1,8 +1,10 @@
 """Source files that do not parse (problem 3).
 
 Method: generalised LL parsing with graph-structured stacks.  The extension
-names the language; where it has several dialects (C++ and C in .h) their
-grammars run together, and a file is flagged if every one of them rejects it.
+(for configuration the file's name) says the language; where it has several
+dialects (Python 3 and 2, modules and scripts of JavaScript, C++ and C in .h,
+JSON with comments with or without trailing commas) their grammars run
+together, and a file is flagged if every one of them rejects it.
 
 Parsing is one narrow stage.  Token groups and statements are stored once per
 worker with what is known of them, so a worker parses a shape of statement the
@@ -11,6 +13,7 @@ first time it sees it; the memory is bounded and cleared between files.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -19,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamstone.functions.arrowmap import spread
 from seamstone.llm import grammars, lexers
 from seamstone.llm.gll import Grammar
 
@@ -56,8 +58,9 @@ class Language:
 
 
 _JSON = Language("json", lexers.lex_json, grammars.JSON, ("Json",), ())
+_JSON_WITH_COMMENTS = Language("json", lexers.lex_json_with_comments, grammars.JSON_WITH_COMMENTS, ("Json", "JsonC"), ())
 _JS_LISTS = ("Module", "Stmts", "ClassBody")
-_JAVASCRIPT = Language("javascript", lexers.script_lexer(True), grammars.JAVASCRIPT, ("Module",), _JS_LISTS, by_line=True)
+_JAVASCRIPT = Language("javascript", lexers.script_lexer(True), grammars.JAVASCRIPT, ("Module", "ModuleS"), (*_JS_LISTS, "ModuleS", "StmtsS", "ClassBodyS"), by_line=True)
 _TYPESCRIPT = Language("typescript", lexers.script_lexer(False), grammars.TYPESCRIPT, ("Module",), _JS_LISTS, by_line=True)
 _TSX = Language("tsx", lexers.script_lexer(True), grammars.TYPESCRIPT, ("Module",), _JS_LISTS, by_line=True)
 _JAVA = Language("java", lexers.lex_java, grammars.JAVA, ("File",), ("File", "Body", "Stmts"))
@@ -66,20 +69,25 @@ _GO = Language("go", lexers.lex_go, grammars.GO, ("File",), ("File", "Stmts"), _
 _RUST = Language("rust", lexers.lex_rust, grammars.RUST, ("File",), ("File",), _BRACES)
 _PHP = Language("php", lexers.lex_php, grammars.PHP, ("File",), ("File", "Block", "Body"))
 _RUBY = Language("ruby", lexers.lex_ruby, grammars.RUBY, ("File",), ("File", "Body"), _GOES_ON - {"ID", "from", "as", "of", "with", "where", "curly"} | {"if", "unless"})
-_PYTHON = Language("python", lexers.lex_python, grammars.PYTHON, ("File",), ("File",), frozenset(["block", "elif", "else", "except", "finally"]))
+_PYTHON = Language("python", lexers.lex_python, grammars.PYTHON, ("File", "File2"), ("File", "File2"), frozenset(["block", "elif", "else", "except", "finally"]))
 _CPP = Language("cpp", lexers.lex_cpp, grammars.CPP, ("File",), ("File", "Stmts", "Body"), _GOES_ON - {"while", "&", "!", "from", "as", "of", "with", "where"})
+_C = Language("c", lexers.lex_header, grammars.HEADER, ("CFile",), ("CFile", "CStmts"), _CPP.goes_on)
 _HEADER = Language("cpp", lexers.lex_header, grammars.HEADER, ("File", "CFile"), ("File", "Stmts", "Body", "CFile", "CStmts"), _CPP.goes_on)
 
 #: Languages by extension.
 LANGUAGES: dict[str, Language] = {
     **dict.fromkeys(("py", "pyw", "pyi"), _PYTHON), **dict.fromkeys(("js", "jsx", "mjs", "cjs"), _JAVASCRIPT), **dict.fromkeys(("ts", "mts", "cts"), _TYPESCRIPT), "tsx": _TSX, "java": _JAVA, "cs": _CSHARP,
-    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx"), _CPP), "h": _HEADER,
+    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx"), _CPP), "h": _HEADER, "c": _C, "jsonc": _JSON_WITH_COMMENTS, "code-workspace": _JSON_WITH_COMMENTS,
 }
+#: Files named .json that their tools read with comments.
+_COMMENTED_JSON = re.compile(r"(?:^|/)(?:(?:ts|js)config(?:\.[\w.\-]+)?|devcontainer|\.eslintrc|\.swcrc|deno|tslint|api-extractor)\.json$|(?:^|/)\.vscode/[^/]*\.json$", re.I)
 
 
 def language_of(path: str | None) -> Language | None:
     """The language that a path's extension stands for, where it is supported."""
-    return LANGUAGES.get(path.rpartition(".")[2].lower()) if path and "." in path else None
+    if not path or "." not in path:
+        return None
+    return _JSON_WITH_COMMENTS if _COMMENTED_JSON.search(path) else LANGUAGES.get(path.rpartition(".")[2].lower())
 
 
 def parses(path: str | None, content: str | None) -> bool | None:
@@ -114,7 +122,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             names = [lang.name if (lang := language_of(p)) else None for p in paths]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array([parses(p, t) for p, t in zip(paths, texts)], pa.bool_())], schema=_SCHEMA)
 
-    return spread(files.select(F.col("file_id").cast("long"), "path", "content")).mapInArrow(run, "file_id BIGINT, intended STRING, parsed BOOLEAN")
+    return files.select(F.col("file_id").cast("long"), "path", "content").mapInArrow(run, "file_id BIGINT, intended STRING, parsed BOOLEAN")
 
 
 def unparsed_files(files: DataFrame) -> DataFrame:

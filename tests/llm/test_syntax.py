@@ -85,7 +85,7 @@ INVALID = {
     "a.php": ["<?php function f( { }", "<?php $x = ;", "<?php class A { function }", "<?php if ($a) { "],
     "a.cs": ["class A { void F() { int x = ; } }", "package a.b;\nimport java.util.List;\n", "class A { int P { get } }", "namespace A {"],
     "a.cpp": ["int f( { }", "class A { int x }", "int x = ;", "def f(x):\n  return x\n", "void f() { if (x { } }"],
-    "a.py": ["def f(:\n  pass\n", "x = (1\n", "if x:\npass\n", "  x = 1\n", "print 'x'\n", "a b\n", "=======\n"],
+    "a.py": ["def f(:\n  pass\n", "x = (1\n", "if x:\npass\n", "  x = 1\n", "print 'x\n", "a b\n", "=======\n"],
     "a.json": ["{'a': 1}", '{"a": 1,}', "[1 2]", "{", "// c\n{}", "nul", "<html>"],
 }
 
@@ -140,6 +140,20 @@ def test_any_depth(path, before, middle, after):
         assert syntax.parses(path, before * n + "1 2" + after * n) is False
 
 
+DIALECTS = [
+    ("a.py", "print 'x'\nprint >>f, x, y,\nprint\nexec code in d\nraise E, 'm', tb\n", True), ("a.py", "try:\n    x = 0777 + 10L <> `y`\nexcept (A, B), e:\n    def f((a, b), c=ur'x'): return lambda (k, v): k\n", True),
+    ("a.py", "print('x', file=f)\nx: int = 1\nasync def f(): await g()\n", True), ("a.py", "print 'x'\nx: int = 1\n", False), ("a.py", "print 'x'\nasync def f(): await g()\n", False), ("a.py", "print 'x'\nif (y := 2): pass\n", False), ("a.py", "x = 0779\n", False), ("a.py", "exec = print\n", True),
+    ("a.js", "with (o) { f(); }\nvar await = 1;\n", True), ("a.js", "import a from 'b';\nwith (o) { f(); }\n", False), ("a.mjs", "export const x = await f();\n", True), ("a.js", "import a from 'b';\nvar await = 1;\n", False),
+    ("tsconfig.json", '// c\n{"a": [1, 2,], /* d */ "b": {"c": null,},}', True), ("x/.vscode/settings.json", '{"a": 1} // c', True), ("a.jsonc", '{"a": 1}', True), ("a.json", '{"a": 1} // c', False), ("a.json", '{"a": 1,}', False), ("tsconfig.json", '{"a": [1,,2]}', False),
+    ("a.c", "struct shape { int class; void *new; };\nint f(struct shape *this) { return this->class; }\n", True), ("a.c", "template <class T> struct A { T x; };\n", False), ("a.c", "int f( {", False),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "want"), DIALECTS)
+def test_dialects(path, text, want):
+    assert syntax.parses(path, text) is want
+
+
 C_HEADERS = [
     "struct shape { int class; void *new; };\nint template(struct shape *this, int delete);\n",
     "#ifdef __cplusplus\nextern \"C\" {\n#endif\nextern int try;\nvoid copy(char *restrict to, int n, int a[static 3], int b[const *]);\n#ifdef __cplusplus\n}\n#endif\n",
