@@ -6,9 +6,10 @@ intersected, and the regex runs on the candidate chunks only.  An exact look
 at the value follows (placeholders, references, addresses without a password,
 names that only talk about secrets).
 
-Files are cut into overlapping chunks of lines; a block is an Arrow batch, so
-the index of a block is built, used and dropped within one narrow stage and
-nothing is shuffled.
+Files are cut into overlapping chunks of lines.  The index of a block of
+chunks is built from the trigrams of each chunk, used and dropped within one
+narrow stage, and nothing is shuffled.  Configuration files (told by their
+path) have rules of their own for values without quotes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamstone.functions.arrowmap import spread
-from seamstone.llm.trigram import Postings, bits, required, trigrams_in
+from seamstone.llm.trigram import Postings, TrigramCodes, bits, required, trigrams_in
 
 #: Characters of a chunk, and of its overlap with the next one.  Longer lines are chunks of their own.
 CHUNK_CHARS = 8_192
@@ -45,6 +45,8 @@ class Rule:
     pattern: str
     check: str
     flags: int = 0
+    #: whether the rule is for configuration files only
+    config: bool = False
 
 
 #: What words in a name make its value a secret ...
@@ -60,11 +62,11 @@ RULES = (
     Rule("repo_token", r"(?<![A-Za-z0-9_])(gh[pousr]_[A-Za-z0-9]{30,})(?![A-Za-z0-9])", "issued"),
     Rule("repo_token", r"(?<![A-Za-z0-9_])(github_pat_[A-Za-z0-9_]{30,})(?![A-Za-z0-9])", "issued"),
     Rule("repo_token", r"(?<![A-Za-z0-9_])(glpat-[A-Za-z0-9_\-]{20,})", "issued"),
-    Rule("repo_token", r"(?<![A-Za-z0-9_])(hrbr_[A-Za-z0-9]{30,})(?![A-Za-z0-9])", "issued"),
     Rule("package_token", r"(?<![A-Za-z0-9_])((?:npm_|pypi-|shpat_|dop_v1_)[A-Za-z0-9_\-]{30,})", "issued"),
     Rule("chat_token", r"(?<![A-Za-z0-9_])(xox[abeoprs]-[A-Za-z0-9\-]{15,})", "issued"),
     Rule("payment_key", r"(?<![A-Za-z0-9_])([sr]k_live_[A-Za-z0-9]{16,})(?![A-Za-z0-9])", "issued"),
-    Rule("payment_key", r"(?<![A-Za-z0-9_])([sr]k_prod_[A-Za-z0-9]{16,})(?![A-Za-z0-9])", "issued"),
+    # any issuer: a short word or two and an underscore before a random part
+    Rule("prefixed_token", r"(_[A-Za-z0-9]{16,})(?![A-Za-z0-9_])", "prefixed"),
     Rule("cloud_key", r"(?<![A-Za-z0-9_])(AIza[A-Za-z0-9_\-]{35})(?![A-Za-z0-9_\-])", "issued"),
     Rule("session_jwt", r"(?<![A-Za-z0-9_])(eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{20,})", "issued"),
     Rule("url_password", r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'`<>{}]*:([^\s@/\"'`]+)@[A-Za-z0-9\[]", "password"),
@@ -80,9 +82,17 @@ RULES = (
         Rule("comment", rf"(?:^|[^\S\n]|/)(?:#|//|/\*|\*|--|;|<!--)[^\n]*?(?<![A-Za-z]){word}(?:(?<![A-Za-z])|(?![A-Za-z]))[^\n]*?[ :=]([^\s:=\"'`<>(),]{{8,}})(?=[ \t.,;)]*(?:\*/|-->)?[ \t\r]*$)", "comment", re.I | re.M)
         for word in ("pw(?: for| is| was|:|=| =)", "pwd", "pass", "password", "passwd", "passwort", "parola", "sifre", "kennwort", "key", "token", "secret", "credentials?", "rotation", "works locally", "login")
     ),
+    *(
+        Rule("config_value", rf"^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|env[ \t]+|//[^\s=]*:)?([\w.\-]*{word}[\w.\-]*[ \t]*[:=][ \t]*[^\s\"'`#;{{}}\[\]|>&*!][^\s\"'`]*)[ \t]*(?:[#;][^\n]*)?\r?$", "config", re.I | re.M, True)
+        for word in ("pass", "pwd", "secret", "token", "key", "auth", "cred", "parola", "sifre", "kennwort")
+    ),
 )
+#: Files of settings, where values need no quotes.
+_CONFIG_FILE = re.compile(r"(?:^|/)(?:\.env(?:\.[\w.\-]+)?|[^/]*\.(?:env|ini|cfg|conf|cnf|config|properties|ya?ml|toml|tfvars)|\.(?:npmrc|pypirc|netrc|pgpass|s3cfg)|Dockerfile[^/]*|credentials)$", re.I)
 _COMPILED = [(r, re.compile(r.pattern, r.flags), required(r.pattern, r.flags)) for r in RULES]
-_WANTED = sorted(set().union(*(trigrams_in(n) for _, _, n in _COMPILED)))
+_CODES = TrigramCodes(set().union(*(trigrams_in(n) for _, _, n in _COMPILED)))
+#: What stands before the random part of a prefixed token.
+_ISSUER = re.compile(r"(?<![A-Za-z0-9_\-./+])[a-z][a-z0-9]{1,9}(?:_[a-z]{2,8})?\Z")
 
 #: Forms that refer to a value kept elsewhere, or mask it.
 _REFERENCE = re.compile(
@@ -128,12 +138,28 @@ def _good_password(value: str) -> bool:
     return len(value) >= 6 and not placeholder(value) and bool(re.search(r"\d", value) or len(value) >= 10) and not value.startswith(("$", "{", "%", "<"))
 
 
+def _secret_name(name: str) -> bool:
+    return bool(re.search(rf"(?:^|[_\-]|\d){SECRET_NAME}(?:$|[_\-]|\d)|{SECRET_NAME}$", name))
+
+
 def value_of(rule: Rule, found: str) -> str | None:
     """The secret in a match, or None where an exact look turns it down."""
     if rule.check == "key_block":
         return found
     if rule.check == "issued":
         return None if "EXAMPLE" in found.upper() or re.search(r"(?i)x{6,}|0{8,}|(.)\1{7,}", found) else found
+    if rule.check == "prefixed":
+        body = found[1:]
+        mixed = all(re.search(k, body) for k in (r"[a-z]", r"[A-Z]", r"\d"))
+        in_words = sum(map(len, re.findall(r"[A-Z]?[a-z]{3,}", body)))
+        return found if mixed and entropy(body) >= 3.3 and 5 * in_words <= 3 * len(body) and not placeholder(found) else None
+    if rule.check == "config":
+        name, value = re.split(r"[ \t]*[:=][ \t]*", found, maxsplit=1)
+        name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower().replace(".", "_")
+        if _ABOUT.search(name.rstrip("_0123456789")) or not _secret_name(name) or "://" in value or placeholder(value):
+            return None
+        typed = re.search(r"pass|pwd|pw$|parola|sifre|kennwort", name) and len(value) >= 6 and re.search(r"[A-Za-z]", value) and re.search(r"\d|[^\w\-./,]", value)
+        return value if typed or looks_random(value) else None
     if rule.check == "password":
         return found if _good_password(found) else None
     if rule.check == "basic":
@@ -152,7 +178,7 @@ def value_of(rule: Rule, found: str) -> str | None:
     if not named:
         return None
     name, value = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", named[1]).lower(), named[2]
-    if _ABOUT.search(name.rstrip("_0123456789")) or not re.search(rf"(?:^|[_\-]|\d){SECRET_NAME}(?:$|[_\-]|\d)|{SECRET_NAME}$", name):
+    if _ABOUT.search(name.rstrip("_0123456789")) or not _secret_name(name):
         return None
     if " " in value or "://" in value or "\\n" in value or placeholder(value) or not looks_random(value):
         return None
@@ -238,24 +264,36 @@ def scan_text(text: str, chunk: str, offset: int, rules: list[int]) -> Iterator[
                 continue
             start = m.start(1) + (m[1].rfind(value) if value != m[1] else 0)
             end = start + len(value)
+            if rule.check == "prefixed":
+                issuer = _ISSUER.search(joined, max(0, start - 20), start)
+                if issuer is None:
+                    continue
+                start, value = issuer.start(), issuer[0] + value
             a, b = bisect_right(new, start) - 1, bisect_right(new, end - 1) - 1
             yield offset + old[a] + start - new[a], offset + old[b] + end - new[b], rule.label, value
 
 
-def find_in_texts(texts: list[str]) -> list[list[tuple[int, int, str, str]]]:
+def find_in_texts(texts: list[str], paths: list[str | None] | None = None) -> list[list[tuple[int, int, str, str]]]:
     """Verified (start, end, label, value) in each text of a block, by the chunk index.
 
+    ``paths`` tell configuration files.
+
     Chunks are indexed after literals joined by concatenation were made one, so
     that a value in parts has the trigrams its rule requires.
     """
     found: list[dict[tuple[int, int], tuple[str, str]]] = [{} for _ in texts]
+    config = [bool(p and _CONFIG_FILE.search(p)) for p in paths or ()]
     block: list[tuple[int, int, str]] = []
 
     def flush() -> None:
-        postings = Postings([joined_literals(c)[0] if '"' in c or "'" in c or "`" in c else c for _, _, c in block], _WANTED)
+        postings = Postings([joined_literals(c)[0] if '"' in c or "'" in c or "`" in c else c for _, _, c in block], _CODES)
+        settings = sum(1 << number for number, (which, _, _) in enumerate(block) if config and config[which])
         rules: dict[int, list[int]] = {}
-        for k, (_, _, need) in enumerate(_COMPILED):
-            for number in bits(postings.candidates(need)):
+        for k, (rule, _, need) in enumerate(_COMPILED):
+            if rule.config and not settings:
+                continue
+            found_in = postings.candidates(need)
+            for number in bits(found_in & settings if rule.config else found_in):
                 rules.setdefault(number, []).append(k)
         for number, some in rules.items():
             which, offset, chunk = block[number]
@@ -273,12 +311,6 @@ def find_in_texts(texts: list[str]) -> list[list[tuple[int, int, str, str]]]:
     return [sorted((s, e, label, value) for (s, e), (label, value) in one.items()) for one in found]
 
 
-def data_dump(text: str) -> bool:
-    """Whether a text is mostly opaque data: no credential is given there by itself."""
-    runs = sum(len(m) for m in re.findall(r"[A-Za-z0-9+/=]{60,}", text)) if len(text) > 1500 else 0
-    return runs > 0.8 * len(text)
-
-
 def line_positions(text: str, found: list[tuple[int, int, str, str]]) -> list[int]:
     """1-based lines on which the statements of the found values begin."""
     if not found:
@@ -291,7 +323,7 @@ def line_positions(text: str, found: list[tuple[int, int, str, str]]) -> list[in
     out = []
     for start, _, label, _ in found:
         line = bisect_right(starts, start) - 1
-        out.append((line if label == "private_key" else statement_line(lines, line)) + 1)
+        out.append((line if label in ("private_key", "config_value") else statement_line(lines, line)) + 1)
     return out
 
 
@@ -312,7 +344,8 @@ def redact_text(text: str, found: list[tuple[int, int, str, str]]) -> str:
             out += [text[at:end], body]
             at = stop
         else:
-            out += [text[at:start], _mask(text[start:end])]
+            # a plain value must not begin with a mark that means something to the reader of the settings
+            out += [text[at:start], "x" * (end - start) if label == "config_value" else _mask(text[start:end])]
             at = end
     out.append(text[at:])
     return "".join(out)
@@ -369,21 +402,26 @@ def _found(origin: str, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     )
 
 
+def _contents(files: DataFrame) -> DataFrame:
+    path = F.col("path") if "path" in files.columns else F.lit(None)
+    return files.select(F.col("file_id").cast("long"), "content", path.cast("string").alias("path"))
+
+
 def file_secrets(files: DataFrame) -> DataFrame:
-    """``origin, rec_id, pos, label`` of every credential in files (file_id, content).
+    """``origin, rec_id, pos, label`` of every credential in files (file_id, content, and path where there is one).
 
-    Null and empty contents give no rows; repeated files are reported each;
+    The path only tells configuration files.  Null and empty contents give no rows; repeated files are reported each;
     every chunk of a content is indexed, whatever its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            rows = [(i, pos, hit[2]) for i, text, found in zip(ids, texts, find_in_texts(texts)) if found for pos, hit in zip(line_positions(text, found), found)]
+            rows = [(i, pos, hit[2]) for i, text, found in zip(ids, texts, find_in_texts(texts, batch.column(2).to_pylist())) if found for pos, hit in zip(line_positions(text, found), found)]
             if rows:
                 yield _found("file", rows)
 
-    return spread(files.select(F.col("file_id").cast("long"), "content")).mapInArrow(run, _FOUND_DDL)
+    return _contents(files).mapInArrow(run, _FOUND_DDL)
 
 
 def context_secrets(contexts: DataFrame) -> DataFrame:
@@ -395,7 +433,7 @@ def context_secrets(contexts: DataFrame) -> DataFrame:
             if rows:
                 yield _found("context", rows)
 
-    return spread(contexts.select(F.col("context_id").cast("long"), "payload")).mapInArrow(run, _FOUND_DDL)
+    return contexts.select(F.col("context_id").cast("long"), "payload").mapInArrow(run, _FOUND_DDL)
 
 
 def found_secrets(files: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -410,10 +448,10 @@ def redact_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = find_in_texts([t or "" for t in texts])
+            found = find_in_texts([t or "" for t in texts], batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redact_text(t, f) if f else t for t, f in zip(texts, found)], pa.string())], schema=schema)
 
-    return spread(files.select(F.col("file_id").cast("long"), "content")).mapInArrow(run, "file_id BIGINT, content STRING")
+    return _contents(files).mapInArrow(run, "file_id BIGINT, content STRING")
 
 
 def redact_contexts(contexts: DataFrame) -> DataFrame:

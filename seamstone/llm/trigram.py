@@ -9,12 +9,13 @@ regex itself runs on candidate chunks only.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from re import _constants as sre  # type: ignore[attr-defined]
 from re import _parser as sre_parse  # type: ignore[attr-defined]
 
+import numpy as np
+
 #: A requirement: None (nothing is required), a trigram, ("and", parts) or ("or", parts).
 Need = None | str | tuple[str, tuple["Need", ...]]
 
@@ -103,17 +104,41 @@ def trigrams_in(need: Need) -> set[str]:
     return {need} if isinstance(need, str) else set().union(*(trigrams_in(p) for p in need[1]))
 
 
+class TrigramCodes:
+    """Numbers of a fixed set of ASCII trigrams, looked up by a table over three 7-bit codes."""
+
+    def __init__(self, wanted: Iterable[str]) -> None:
+        self.trigrams = sorted(wanted)
+        self.table = np.zeros(1 << 21, np.uint16)
+        for number, trigram in enumerate(self.trigrams, 1):
+            a, b, c = trigram.encode("ascii")
+            self.table[a << 14 | b << 7 | c] = number
+
+    def of(self, chunk: str) -> list[int]:
+        """Numbers of the wanted ones among a chunk's trigrams (in lower case), each once."""
+        raw = np.frombuffer(chunk.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        if len(raw) < 3:
+            return []
+        # no trigram holds the code 0, which stands for all that is not ASCII
+        raw[raw > 127] = 0
+        found = np.zeros(len(self.trigrams) + 1, bool)
+        found[self.table[raw[:-2] << 14 | raw[1:-1] << 7 | raw[2:]]] = True
+        return np.nonzero(found[1:])[0].tolist()
+
+
 class Postings:
-    """Posting lists (bit sets over chunk numbers) of the wanted trigrams in a block of chunks."""
+    """Posting lists (bit sets over chunk numbers) of the wanted trigrams in a block of chunks.
+
+    A chunk is read once: its own trigrams say which lists it is put into.
+    """
 
-    def __init__(self, chunks: list[str], wanted: Iterable[str]) -> None:
+    def __init__(self, chunks: list[str], codes: TrigramCodes) -> None:
         self.all = (1 << len(chunks)) - 1
-        self.lists: dict[str, int] = dict.fromkeys(wanted, 0)
+        numbers: list[list[int]] = [[] for _ in codes.trigrams]
         for number, chunk in enumerate(chunks):
-            low, bit = chunk.lower(), 1 << number
-            for trigram in self.lists:
-                if trigram in low:
-                    self.lists[trigram] |= bit
+            for k in codes.of(chunk):
+                numbers[k].append(number)
+        self.lists: dict[str, int] = {t: sum(1 << n for n in some) for t, some in zip(codes.trigrams, numbers)}
 
     def candidates(self, need: Need) -> int:
         """The chunks (as bits) that meet a requirement."""
@@ -136,7 +161,3 @@ def bits(number: int) -> Iterable[int]:
         low = number & -number
         yield low.bit_length() - 1
         number ^= low
-
-
-def compile_rule(pattern: str, flags: int = 0) -> tuple[re.Pattern, Need]:
-    return re.compile(pattern, flags), required(pattern, flags)
