@@ -70,6 +70,21 @@ def test_kind_frame(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_short_files_are_rated_and_few_constants_are_no_data():
+    packed = "var a=" + "+".join(f"b{k}(c,d)" for k in range(40)) + ";"
+    assert 300 <= len(packed) < 400 and handwritten.rate("lib/a.js", packed)[:2] == ("minified", "layout")
+    assert handwritten.rate("a.py", "X = 1\nY = 2\nZ = 3.5\n")[0] is None and handwritten.rate("a.py", f'KEY = "{"ab12" * 20}"\n')[0] is None
+    assert handwritten.rate("a.py", "X = [\n" + "    12, 34.5, 99,\n" * 30 + "]\n")[:2] == ("data", "layout")
+
+
+def test_limits_are_fitted_by_language(spark):
+    hand = [("a.zz", PLAIN + f"x = {k}\n", None) for k in range(40)]
+    data = [("b.zz", "12345, 99, 31337,\n" * (20 + k), "data") for k in range(20)]
+    limits = handwritten.fit_limits(spark.createDataFrame(hand + data + [(None, None, None)], "path STRING, content STRING, label STRING"))
+    assert handwritten.LIMITS.get("zz") is None and 0.05 < limits["zz"].number_density < 0.95 and limits["zz"].packed_max_line == handwritten.Limits().packed_max_line
+    assert all(handwritten.rate(p, t, limits)[0] == want for p, t, want in hand + data)
+
+
 # ---- 5: secrets ---------------------------------------------------------------------
 
 AKIA = "AKIA" + "Q7ZP2MX4LK9TB3VD"
