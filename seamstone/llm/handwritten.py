@@ -77,7 +77,8 @@ MARKERS = (
     r"automatisch (?:erzeugt|generiert|erstellt) (?:von|aus|mit)\b",
 )
 _MARKER = re.compile(_COMMENT + "(?:" + "|".join(MARKERS) + ")", re.I | re.M)
-_MARKER_HINT = re.compile(r"generated|do not edit|do not modify|machine[- ]|automatisch|otomatik|(?:produced|created|written) (?:by|from|with|out)", re.I)
+#: A text without one of these (in lower case) has no marker.
+_MARKER_HINTS = ("generated", "do not edit", "do not modify", "machine-", "machine ", "automatisch", "otomatik", *(f"{verb} {how}" for verb in ("produced", "created", "written") for how in ("by", "from", "with", "out")))
 #: What banners of third-party copies say.
 BANNERS = (
     r"bundled third[- ]party (?:library|code|copy)",
@@ -88,13 +89,14 @@ BANNERS = (
     r"local patch \d",
 )
 _BANNER = re.compile(_COMMENT + "(?:" + "|".join(BANNERS) + ")", re.I | re.M)
-_BANNER_HINT = re.compile(r"third[- ]party|upstream|vendored|local patch", re.I)
+_BANNER_HINTS = ("third party", "third-party", "upstream", "vendored", "local patch")
 
 _NUMBER = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=]{40,}")
 _LITERAL = r"(?:[bru]?\"[^\"\n]*\"|[bru]?'[^'\n]*'|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLfF]*)"
 _LITERAL_LINE = re.compile(rf"^[ \t]*{_LITERAL}(?:[ \t]*,[ \t]*{_LITERAL})*[ \t]*,?[ \t]*\r?$", re.M)
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+_WORDS = re.compile(r"\w+")
 _NOT_ALNUM = re.compile(r"[^A-Za-z0-9]+")
 
 
@@ -112,7 +114,7 @@ def measured(text: str) -> tuple[tuple, int, int]:
     lines = plain.splitlines() or [""]
     n = max(1, len(text))
     numbers = _NUMBER.findall(text)
-    words = len(re.findall(r"\w+", text))
+    words = len(_WORDS.findall(text))
     encoded = sum(map(len, _ENCODED.findall(plain)))
     stats = (
         len(lines),
@@ -152,9 +154,10 @@ def rate(path: str | None, content: str | None, limits: dict[str, Limits] = LIMI
     kind = layout_kind(stats, n_numbers, n_encoded, limits.get(ext, _PLAIN))
     if kind:
         return (kind, "layout", *stats)
-    if _BANNER_HINT.search(text) and any(not _in_literal(text, m.start(), ext) for m in _BANNER.finditer(text)):
+    low = text.lower()
+    if any(h in low for h in _BANNER_HINTS) and any(not _in_literal(text, m.start(), ext) for m in _BANNER.finditer(text)):
         return ("vendored", "banner", *stats)
-    if _MARKER_HINT.search(text) and any(not _in_literal(text, m.start(), ext) for m in _MARKER.finditer(text)):
+    if any(h in low for h in _MARKER_HINTS) and any(not _in_literal(text, m.start(), ext) for m in _MARKER.finditer(text)):
         return ("generated", "marker", *stats)
     if _VENDOR_PATH.search(where):
         return ("vendored", "location", *stats)
