@@ -3,7 +3,8 @@
 Method: delimiter-specific grammars for unfilled slots, and regular
 expressions for filler and notices.  Context and density decide: fenced,
 indented and inline code is taken out first (there a slot is an explanation),
-and a notice or filler sentence only counts where such sentences make up most
+a slot in quotes or in a sentence about slots counts only where slots are
+dense, and a notice or filler sentence only where such sentences make up most
 of the text.  One narrow Arrow stage over whole texts, no shuffle.
 """
 
@@ -131,13 +132,40 @@ def prose_of(text: str) -> str:
     return text
 
 
-def slots_in(text: str) -> list[str]:
-    """Unfilled slots in the prose of a text."""
-    return [m[0] for m in _SLOT.finditer(prose_of(text))] if _SLOT_HINT.search(text) else []
+#: What a sentence says that explains slots instead of leaving one unfilled.
+EXPLAINS = r"placeholders?\b|(?:template|merge|interpolation) (?:variables?|fields?|syntax|tags?|slots?|engine)|slots? (?:like|such as|are|is)\b|(?:is|are|gets?|be) (?:replaced|substituted|expanded|interpolated|filled in)|stands? for\b|expands? to\b|(?:variable|slot|tag|token|marker|syntax|notation)s? (?:like|such as|named|called)\b|platzhalter|wird (?:durch|ersetzt)|werden ersetzt|yer tutucu|ile degistirilir|ile değiştirilir"
+_EXPLAINS = re.compile(EXPLAINS, re.I)
+_OPENING, _CLOSING = "\"'\u201c\u2018\u201e\u00ab", "\"'\u201d\u2019\u201c\u00bb"
+#: Words a slot in a text that only explains slots; a text with more of them is a template all the same.
+_WORDS_A_SLOT = 12
+_BREAK = re.compile(r"[.!?](?=\s)|\n")
 
 
-#: Filler sentences are short; longer ones only count by their Latin words.
-_FILLER_WORDS = 14
+def slots_in(text: str) -> list[str]:
+    """Unfilled slots in the prose of a text: those that no quotes and no sentence explain, or all where they are dense."""
+    if not _SLOT_HINT.search(text):
+        return []
+    prose = prose_of(text)
+    every, open_ = [], []
+    for m in _SLOT.finditer(prose):
+        every.append(m[0])
+        quoted = prose[m.start() - 1 : m.start()] in tuple(_OPENING) and prose[m.end() : m.end() + 1] in tuple(_CLOSING)
+        if not quoted:
+            begin = 0
+            for stop in _BREAK.finditer(prose, max(0, m.start() - 1_000), m.start()):
+                begin = stop.end()
+            stop = _BREAK.search(prose, m.end())
+            quoted = bool(_EXPLAINS.search(prose[max(begin, m.start() - 1_000) : m.start()] + " " + prose[m.end() : stop.start() if stop else None]))
+        if not quoted:
+            open_.append(m[0])
+    if open_ or not every:
+        return open_
+    return every if len(every) * _WORDS_A_SLOT >= len(_WORD.findall(prose)) else []
+
+
+def _mostly_filler(plain: str, n_words: int) -> bool:
+    """Whether filler phrases make up a third of a sentence's words or more."""
+    return 3 * sum(len(_WORD.findall(m[0])) for m in _FILLER.finditer(plain)) >= n_words
 
 
 def shares(text: str) -> dict[str, float]:
@@ -150,7 +178,7 @@ def shares(text: str) -> dict[str, float]:
             continue
         plain = sentence.rstrip(".!?: ")
         latin = sum(w in LATIN_FILLER for w in words)
-        if (latin >= 3 and 2 * latin >= len(words)) or (len(words) <= _FILLER_WORDS and _FILLER.search(plain) and not (len(words) >= _TALK_WORDS and _TALK.search(plain))):
+        if (latin >= 3 and 2 * latin >= len(words)) or (_FILLER.search(plain) and _mostly_filler(plain, len(words)) and not (len(words) >= _TALK_WORDS and _TALK.search(plain))):
             kind = "filler"
         elif len(words) >= _TALK_WORDS and _TALK.search(plain):
             kind = "content"

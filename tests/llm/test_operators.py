@@ -347,6 +347,22 @@ def test_residue_of_long_pages(text, want):
     assert len(text.split()) > 120 and residue.residue_of(text)[-1] == want
 
 
+SLOT_TEXTS = [
+    ("A guide to mail templates, and how a team can keep them in order. " * 60 + "A placeholder such as {{ name }} is replaced before the mail is sent.", None), ('Write "{{ name }}" where the name should be, and the sender will do the rest of the work for you.', None),
+    ("A guide to mail templates. " * 60 + "Dear {{ name }}, welcome to the team.", "slot"), ("{{ greeting }} {{ name }}, placeholders are replaced later.", "slot"), ("Platzhalter wie ${KUNDE_NAME} werden ersetzt, bevor der Brief an die Kunden geschickt wird.", None),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), SLOT_TEXTS)
+def test_explained_slots(text, want):
+    assert residue.residue_of(text)[-1] == want
+
+
+def test_long_filler_sentences():
+    assert residue.residue_of("Dummy text dummy text dummy text dummy text dummy text dummy text dummy text dummy text dummy text dummy text")[-1] == "filler"
+    assert residue.residue_of("The report has a section named title here, which the reader of the last release asked for when the index was made again")[-1] is None
+
+
 def test_residue_frame(spark):
     df = spark.createDataFrame([(i, t, "k") for i, (t, _) in enumerate(TEXTS)] * 2, "doc_id BIGINT, text STRING, kind STRING")
     got = residue.text_residue(df, "doc_id", "text")
