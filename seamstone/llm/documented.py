@@ -5,10 +5,10 @@ bracket depth, gaps and islands join lines into logical lines and comment
 blocks, and lag and lead windows attach the block above or the string below to
 a function's line.
 
-Everything up to the attached text is built-in SQL over one hash partitioning
-by file: contents are shuffled once (before the explode), and all windows
-and aggregations reuse that partitioning; symbols join by file and line.  Tokens
-carry their text only where it is a comment or a leading string.
+Everything up to the attached text is built-in SQL.  Contents are lexed in the
+scan stage; what is shuffled are narrow token rows, which carry their text only
+where it is a comment or a string.  All windows over tokens share that one
+partitioning by file and one sort; symbols join by file and line.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
 _BT = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
 _BLOCK = r"/\*[\s\S]*?\*/"
-_C = rf"\s*(?:{_BLOCK}|//[^\n]*|{_DQ}|%s|[^\s\"'`/][^\"'`/\n]*|[\"'`/])"
+_C = rf"\s*(?:{_BLOCK}|//[^\n]*|%s|{_DQ}|[^\s\"'`/][^\"'`/\n]*|[\"'`/])"
 #: Token patterns by family of extensions.
 LEXERS: dict[tuple[str, ...], str] = {
     ("py", "pyw", "pyi"): rf"\s*(?:#[^\n]*|[rRbBuUfF]{{0,2}}(?:{_TRIPLE}|{_DQ}|{_SQ})|[^\s\"'#][^\"'#\n]*|[\"'#])",
     ("rb",): rf"\s*(?:#[^\n]*|{_DQ}|{_SQ}|[^\s\"'#][^\"'#\n]*|[\"'#])",
     ("php",): rf"\s*(?:{_BLOCK}|//[^\n]*|#(?!\[)[^\n]*|{_DQ}|{_SQ}|#\[[^\n]*|[^\s\"'/#][^\"'/#\n]*|[\"'/#])",
-    ("rs", "cpp", "cc", "cxx", "hpp", "hh", "h"): _C % _CHAR,
+    ("rs", "c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"): _C % _CHAR,
     ("js", "jsx", "ts", "tsx", "mjs", "cjs", "go"): _C % (_SQ + "|" + _BT),
     ("java", "cs"): _C % _CHAR,
+    ("kt", "kts", "swift"): _C % ('"""[\\s\\S]*?"""|' + _CHAR),
 }
 
 
@@ -62,7 +63,7 @@ def tokens_of(files: DataFrame) -> DataFrame:
     kind = (
         F.when(tok.startswith("/*") | tok.startswith("//") | (tok.startswith("#") & F.col("ext").isin("py", "pyw", "pyi", "rb")) | (tok.startswith("#") & ~tok.startswith("#[") & (F.col("ext") == "php")), "comment")
         .when(tok.rlike(r"^[rRbBuUfF]{0,2}[\"']") & (F.length(tok) > 1), "string")
-        .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")) | (tok.startswith("[[") & F.col("ext").isin("cpp", "cc", "cxx", "hpp", "hh", "h")), "mark")
+        .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")) | (tok.startswith("[[") & F.col("ext").isin("c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h")), "mark")
         .otherwise("code")
     )
     plain = F.when(kind.isin("code", "mark"), tok).otherwise("")
@@ -74,30 +75,31 @@ def tokens_of(files: DataFrame) -> DataFrame:
 
 
 def logical_lines(tokens: DataFrame) -> DataFrame:
-    """Islands of tokens that belong to one logical line.
+    """``file_id, ext, pos, line, end_line, kind, text``: islands of tokens that belong to one logical line.
 
     A token begins a logical line if it is the first on its line while no
-    bracket is open; the running number of such tokens is the island.
+    bracket is open.  An island is kept as its first token; where it ends is
+    known from the token before the next island, so nothing is grouped.
     """
     by_pos = Window.partitionBy("file_id").orderBy("pos")
     before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
     upto = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = tokens.select(
         "*",
-        (F.sum(F.col("lead") + F.col("inner")).over(upto) - F.col("inner") + 1).alias("line"),
+        F.sum(F.col("lead") + F.col("inner")).over(upto).alias("till"),
         F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"),
+        F.last(F.when(F.col("kind") != "comment", F.col("closes")), ignorenulls=True).over(before).alias("closed"),
+        F.last(F.when(F.col("kind") != "comment", F.col("closes")), ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("closed_last"),
+        F.sum(F.col("lead") + F.col("inner")).over(by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("till_last"),
     )
-    starts = ((F.col("pos") == 0) | (F.col("lead") > 0)) & (F.col("depth") <= 0)
-    numbered = placed.withColumn("island", F.sum(F.when(starts, 1).otherwise(0)).over(upto))
-    first = F.min(F.struct("pos", "kind", "line", "text"))
-    return (
-        numbered.groupBy("file_id", "ext", "island")
-        .agg(first.alias("first"), F.max(F.col("line") + F.col("inner")).alias("end_line"), F.max(F.when(F.col("kind") != "comment", F.struct("pos", "closes"))).alias("last"))
-        .select(
-            "file_id", "ext", "island", F.col("first.line").alias("line"), "end_line",
-            # an annotation before a definition on the same line is part of it
-            F.when((F.col("first.kind") == "mark") & ~F.col("last.closes"), "code").otherwise(F.col("first.kind")).alias("kind"), F.col("first.text").alias("text"),
-        )
+    # line ends before a token and in it: its first line follows those before, its last one those in it
+    starts = placed.withColumn("before", F.col("till") - F.col("lead") - F.col("inner")).where(((F.col("pos") == 0) | (F.col("lead") > 0)) & (F.col("depth") <= 0))
+    ended = F.coalesce(F.lead("before").over(by_pos), F.col("till_last")) + 1
+    closes = F.when(F.lead("pos").over(by_pos).isNull(), F.col("closed_last")).otherwise(F.lead("closed").over(by_pos))
+    return starts.select(
+        "file_id", "ext", "pos", (F.col("till") - F.col("inner") + 1).alias("line"), ended.alias("end_line"),
+        # an annotation before a definition on the same line is part of it
+        F.when((F.col("kind") == "mark") & ~closes, "code").otherwise(F.col("kind")).alias("kind"), "text",
     )
 
 
@@ -108,8 +110,8 @@ def documentation(lines: DataFrame) -> DataFrame:
     (decorators and annotations between are taken out of the count),
     ``below`` the string that is the first statement after a line of Python.
     """
-    by_line = Window.partitionBy("file_id").orderBy("island")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_pos = Window.partitionBy("file_id").orderBy("pos")
+    upto = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marks = F.sum(F.when(F.col("kind") == "mark", F.col("end_line") - F.col("line") + 1).otherwise(0)).over(upto)
     # decorators taken out: what was above them now ends on the line before
     bare = (
@@ -119,26 +121,23 @@ def documentation(lines: DataFrame) -> DataFrame:
         .withColumn("till", F.col("end_line") - F.col("marks"))
     )
     # islands of comments: a comment that follows a comment on the line before continues its block
-    previous = F.lag(F.struct("kind", "till")).over(by_line)
+    previous = F.lag(F.struct("kind", "till")).over(by_pos)
     breaks = F.when((F.col("kind") == "comment") & (F.col("prev.kind") == "comment") & (F.col("at") == F.col("prev.till") + 1), 0).otherwise(1)
-    blocks = (
-        bare.withColumn("prev", previous)
-        .withColumn("block", F.sum(breaks).over(upto))
-        .groupBy("file_id", "block")
-        .agg(
-            F.first("ext").alias("ext"), F.min("kind").alias("kind"), F.min("island").alias("island"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("at").alias("at"), F.max("till").alias("till"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("island", "text")))), lambda x: x.getField("text")), "\n").alias("text"),
-        )
+    in_blocks = bare.withColumn("prev", previous).withColumn("block", F.sum(breaks).over(upto))
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
+    blocks = in_blocks.groupBy("file_id", "block").agg(
+        F.max(F.when(F.col("kind") == "comment", 2).when(F.col("kind") == "string", 1).otherwise(0)).alias("k"), F.max(F.col("ext").isin("py", "pyw", "pyi")).alias("python"),
+        F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("at").alias("at"), F.max("till").alias("till"), F.array_join(F.transform(texts, lambda x: x.getField("text")), "\n").alias("text"),
     )
-    above = F.lag(F.struct("kind", "till", "text")).over(by_line)
+    by_block = Window.partitionBy("file_id").orderBy("block")
     return (
-        blocks.withColumn("up", above)
-        .where(F.col("kind") != "comment")
-        .withColumn("next", F.lead(F.struct("kind", "text")).over(by_line))
+        blocks.withColumn("up", F.lag(F.struct("k", "till", "text")).over(by_block))
+        .where(F.col("k") != 2)
+        .withColumn("down", F.lead(F.struct("k", "text")).over(by_block))
         .select(
             "file_id", "line", "end_line",
-            F.when((F.col("up.kind") == "comment") & (F.col("at") == F.col("up.till") + 1), F.col("up.text")).alias("above"),
-            F.when(F.col("ext").isin("py", "pyw", "pyi") & (F.col("next.kind") == "string"), F.col("next.text")).alias("below"),
+            F.when((F.col("up.k") == 2) & (F.col("at") == F.col("up.till") + 1), F.col("up.text")).alias("above"),
+            F.when(F.col("python") & (F.col("down.k") == 1), F.col("down.text")).alias("below"),
         )
     )
 
@@ -151,11 +150,10 @@ def function_docs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     repeated symbols each get a row.
     """
     wanted = symbols.where(F.col("symbol_type").isin("function", "method")).select("symbol_id", "file_id", "line", "name", "signature")
-    # a fixed number of partitions: by their bytes alone adaptive execution would join them into too few tasks for the work
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = files.where(F.col("content").isNotNull()).select("file_id", "path", "content").repartition(parts, "file_id")
-    used = texts.join(wanted.select("file_id").distinct(), "file_id", "left_semi")
-    docs = documentation(logical_lines(tokens_of(used))).select("file_id", F.explode(F.sequence("line", "end_line")).alias("line"), F.coalesce("below", "above").alias("doc")).where(F.col("doc").isNotNull())
+    tokens = tokens_of(files.where(F.col("content").isNotNull()).select("file_id", "path", "content"))
+    # token rows and file numbers have the partitioning of the windows that follow; the hash table holds numbers only
+    used = tokens.join(wanted.select("file_id").distinct().hint("shuffle_hash"), "file_id", "left_semi")
+    docs = documentation(logical_lines(used)).select("file_id", F.explode(F.sequence("line", "end_line")).alias("line"), F.coalesce("below", "above").alias("doc")).where(F.col("doc").isNotNull())
     # joined by file and line: a file that holds very many of the symbols is spread over its lines
     found = wanted.alias("s").join(docs.alias("d"), (F.col("s.file_id") == F.col("d.file_id")) & (F.col("s.line") == F.col("d.line")), "left")
     return found.select("s.symbol_id", "s.name", "s.signature", "d.doc")

@@ -190,9 +190,12 @@ FILES = {
     2: ("b.java", '/** File. */\nclass A {\n    /**\n     * Waits until the queue is empty and closes it.\n     * @param a the input\n     */\n    @Override\n    public void close(String a) { String s = "// no { comment"; }\n\n    // eslint-disable-next-line\n    void lint() {}\n\n    // Reads every row of the table twice to be sure.\n\n    void apart() {}\n    /** @return the value */\n    int tags() { return 1; }\n}\n'),
     3: ("c.go", "package m\n\n// Open opens the store and takes its lock,\n// so that no other writer comes in.\nfunc Open() {\n}\n"),
     4: ("d.js", None),
+    6: ("f.py", 'def far():\n    # one note\n\n    # another note\n    """Gives the first row that is younger than the mark."""\n'),
+    7: ("g.kt", '/** Waits until the queue is empty and closes it. */\nfun close() { val s = """ " // no """ }\n\n// Reads every row of the table twice to be sure.\nfun read() {}\n'),
+    8: ("h.c", "/* Frees the list and all that hangs below its head. */\nvoid drop(struct list *l) { char c = '\"'; }\n"),
     5: ("e.java", "class B {\n    // Waits for all writers and then closes the log.\n    @Override public void stop() {\n    }\n\n    // Opens the log again after a crash was found.\n    @Retry(\n        times = 3) // often\n    @Named(\"x\")\n    void open() { }\n}\n"),
 }
-SYMBOLS = [(1, 1, 7, "count", "function", True), (2, 1, 11, "bare", "function", False), (3, 1, 14, "named", "function", False), (4, 1, 18, "m", "method", True), (5, 2, 8, "close", "method", True), (6, 2, 11, "lint", "method", False), (7, 2, 15, "apart", "method", False), (8, 2, 17, "tags", "method", False), (9, 3, 5, "Open", "function", True), (10, 4, 1, "x", "function", False), (11, 99, 1, "y", "function", False), (12, 1, 17, "A", "class", False), (13, 3, 5, "Open", "function", True), (14, None, None, None, "function", False), (15, 5, 3, "stop", "method", True), (16, 5, 10, "open", "method", True)]
+SYMBOLS = [(1, 1, 7, "count", "function", True), (2, 1, 11, "bare", "function", False), (3, 1, 14, "named", "function", False), (4, 1, 18, "m", "method", True), (5, 2, 8, "close", "method", True), (6, 2, 11, "lint", "method", False), (7, 2, 15, "apart", "method", False), (8, 2, 17, "tags", "method", False), (9, 3, 5, "Open", "function", True), (10, 4, 1, "x", "function", False), (11, 99, 1, "y", "function", False), (12, 1, 17, "A", "class", False), (13, 3, 5, "Open", "function", True), (14, None, None, None, "function", False), (15, 5, 3, "stop", "method", True), (16, 5, 10, "open", "method", True), (17, 6, 1, "far", "function", True), (18, 7, 2, "close", "function", True), (19, 7, 5, "read", "function", True), (20, 8, 2, "drop", "function", True)]
 
 
 def test_documentation(spark):
