@@ -14,7 +14,7 @@ partitioning by file and one sort; symbols join by file and line.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,52 +26,64 @@ _SQ = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
 _CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,8}?)'"
 _BT = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _TRIPLE = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
-_BLOCK = r"/\*[\s\S]*?\*/"
-_C = rf"\s*(?:{_BLOCK}|//[^\n]*|%s|{_DQ}|[^\s\"'`/][^\"'`/\n]*|[\"'`/])"
-#: Token patterns by family of extensions.
-LEXERS: dict[tuple[str, ...], str] = {
-    ("py", "pyw", "pyi"): rf"\s*(?:#[^\n]*|[rRbBuUfF]{{0,2}}(?:{_TRIPLE}|{_DQ}|{_SQ})|[^\s\"'#][^\"'#\n]*|[\"'#])",
-    ("rb",): rf"\s*(?:#[^\n]*|{_DQ}|{_SQ}|[^\s\"'#][^\"'#\n]*|[\"'#])",
-    ("php",): rf"\s*(?:{_BLOCK}|//[^\n]*|#(?!\[)[^\n]*|{_DQ}|{_SQ}|#\[[^\n]*|[^\s\"'/#][^\"'/#\n]*|[\"'/#])",
-    ("rs", "c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h"): _C % _CHAR,
-    ("js", "jsx", "ts", "tsx", "mjs", "cjs", "go"): _C % (_SQ + "|" + _BT),
-    ("java", "cs"): _C % _CHAR,
-    ("kt", "kts", "swift"): _C % ('"""[\\s\\S]*?"""|' + _CHAR),
+_SLASHES = r"/\*[\s\S]*?\*/|//[^\n]*"
+#: Comments, strings and the marks that begin them, by family of extensions.
+FAMILIES: dict[tuple[str, ...], tuple[str, str, str]] = {
+    ("py", "pyw", "pyi"): (r"#[^\n]*", rf"[rRbBuUfF]{{0,2}}(?:{_TRIPLE}|{_DQ}|{_SQ})", "\"'#"),
+    ("rb",): (r"#[^\n]*", f"{_DQ}|{_SQ}", "\"'#"),
+    ("php",): (_SLASHES + r"|#(?!\[)[^\n]*", f"{_DQ}|{_SQ}", "\"'/#"),
+    ("rs", "c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h", "java", "cs"): (_SLASHES, f"{_DQ}|{_CHAR}", "\"'/"),
+    ("js", "jsx", "ts", "tsx", "mjs", "cjs", "go"): (_SLASHES, f"{_DQ}|{_SQ}|{_BT}", "\"'`/"),
+    ("kt", "kts", "swift"): (_SLASHES, rf'"""[\s\S]*?"""|{_DQ}|{_CHAR}', "\"'/"),
 }
+#: Strings and pieces of code between them that one token holds at most; what follows on the line is further tokens.
+_PIECES = 40
+#: Extensions of Python, and those in which # begins a comment.
+_PYTHON = ("py", "pyw", "pyi")
+_HASH = (*_PYTHON, "rb")
+
+
+def _pattern(comment: str, string: str, marks: str) -> str:
+    """A comment, a string, or code to the end of its line; strings within code belong to its token."""
+    bare = (r"/(?![/*])|" if "/" in marks else "") + (r"#(?=\[)|" if "#(?!" in comment else "")
+    return rf"\s*(?:{comment}|{string}|(?:{bare}[^\s{marks}])(?:{string}|{bare}[^{marks}\n]++){{0,{_PIECES}}}+|[{marks}])"
 
 
 def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
+def _by_family(make: Callable[[str, str, str], Column]) -> Column:
+    out = F.lit(None)
+    for exts, patterns in FAMILIES.items():
+        out = F.when(F.col("ext").isin(*exts), make(*patterns)).otherwise(out)
+    return out
+
+
 def tokens_of(files: DataFrame) -> DataFrame:
-    """``file_id, ext, pos, lead, inner, kind, delta, text`` of every token.
+    """``file_id, ext, pos, lead, inner, kind, delta, text, closes`` of every token.
 
     ``lead`` and ``inner`` count the line ends before and in a token, ``delta``
-    is its change of bracket depth; ``text`` is kept for comments and strings.
+    is its change of bracket depth, ``closes`` whether it may end an
+    annotation; ``text`` is kept for comments and the strings of Python.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    lexed = F.lit(None).cast("array<string>")
-    for exts, pattern in LEXERS.items():
-        lexed = F.when(F.col("ext").isin(*exts), F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).otherwise(lexed)
-    raw = (
-        files.withColumn("ext", ext)
-        .select("file_id", "ext", F.posexplode(lexed).alias("pos", "raw"))
-        .withColumn("tok", F.ltrim(F.regexp_replace("raw", r"^\s+", "")))
-    )
+    lexed = _by_family(lambda *p: F.regexp_extract_all("content", F.lit(_pattern(*p)), F.lit(0)))
+    raw = files.withColumn("ext", ext).select("file_id", "ext", F.posexplode(lexed).alias("pos", "raw")).withColumn("tok", F.ltrim(F.regexp_replace("raw", r"^\s+", "")))
     tok = F.col("tok")
     kind = (
-        F.when(tok.startswith("/*") | tok.startswith("//") | (tok.startswith("#") & F.col("ext").isin("py", "pyw", "pyi", "rb")) | (tok.startswith("#") & ~tok.startswith("#[") & (F.col("ext") == "php")), "comment")
+        F.when(tok.startswith("/*") | tok.startswith("//") | (tok.startswith("#") & F.col("ext").isin(*_HASH)) | (tok.startswith("#") & ~tok.startswith("#[") & (F.col("ext") == "php")), "comment")
         .when(tok.rlike(r"^[rRbBuUfF]{0,2}[\"']") & (F.length(tok) > 1), "string")
         .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")) | (tok.startswith("[[") & F.col("ext").isin("c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h")), "mark")
         .otherwise("code")
     )
-    plain = F.when(kind.isin("code", "mark"), tok).otherwise("")
+    has_string = tok.contains('"') | tok.contains("'") | tok.contains("`")
+    bare = F.when(has_string, _by_family(lambda _, string, __: F.regexp_replace(tok, string, ""))).otherwise(tok)
+    plain = F.when(kind.isin("code", "mark"), bare).otherwise("")
     depth = _count(plain, "(") + _count(plain, "[") - _count(plain, ")") - _count(plain, "]")
     blank = F.substring("raw", F.lit(1), F.length("raw") - F.length(tok))
-    return raw.select(
-        "file_id", "ext", "pos", _count(blank, "\n").alias("lead"), _count(tok, "\n").alias("inner"), kind.alias("kind"), depth.alias("delta"), F.when(kind.isin("comment", "string"), tok).alias("text"), tok.rlike(r"[\])]\s*$|^@[\w.$]+\s*$").alias("closes")
-    )
+    text = F.when((kind == "comment") | ((kind == "string") & F.col("ext").isin(*_PYTHON)), tok)
+    return raw.select("file_id", "ext", "pos", _count(blank, "\n").alias("lead"), _count(tok, "\n").alias("inner"), kind.alias("kind"), depth.alias("delta"), text.alias("text"), tok.rlike(r"[\])]\s*$|^@[\w.$]+\s*$").alias("closes"))
 
 
 def logical_lines(tokens: DataFrame) -> DataFrame:
@@ -126,7 +138,7 @@ def documentation(lines: DataFrame) -> DataFrame:
     in_blocks = bare.withColumn("prev", previous).withColumn("block", F.sum(breaks).over(upto))
     texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
     blocks = in_blocks.groupBy("file_id", "block").agg(
-        F.max(F.when(F.col("kind") == "comment", 2).when(F.col("kind") == "string", 1).otherwise(0)).alias("k"), F.max(F.col("ext").isin("py", "pyw", "pyi")).alias("python"),
+        F.max(F.when(F.col("kind") == "comment", 2).when(F.col("kind") == "string", 1).otherwise(0)).alias("k"), F.max(F.col("ext").isin(*_PYTHON)).alias("python"),
         F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("at").alias("at"), F.max("till").alias("till"), F.array_join(F.transform(texts, lambda x: x.getField("text")), "\n").alias("text"),
     )
     by_block = Window.partitionBy("file_id").orderBy("block")
