@@ -10,6 +10,7 @@ of the text.  One narrow Arrow stage over whole texts, no shuffle.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamstone.functions.arrowmap import map_rows
+from seamstone.llm.trigram import Need, TrigramCodes, all_of, any_of, required, trigrams_in
 
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,5}"
 #: One grammar for each kind of delimiter.
@@ -54,6 +56,8 @@ LATIN_FILLER = frozenset(
     "irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non "
     "proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+#: Those of them that are no words of living languages; a filler sentence holds one.
+LATIN_MARKS = ("lorem", "ipsum", "amet", "consect", "adipisc", "eiusmod", "incididunt", "labor", "magna", "aliqu", "veniam", "nostrud", "exercitation", "ullamco", "irure", "reprehenderit", "voluptate", "cillum", "fugiat", "pariatur", "excepteur", "occaecat", "cupidatat", "proident", "officia", "deserunt", "mollit")
 #: Sentences that stand where content should be.
 FILLER = (
     r"lorem ipsum",
@@ -111,8 +115,57 @@ TALK = r"\b(?:also|still|even) works?\b|\bbecause\b|\bso that\b|\bif you see\b|\
 _TALK_WORDS = 8
 _TALK = re.compile(TALK)
 # sentences are put in lower case first: matching without regard to case is several times slower
-_any = lambda parts: re.compile("|".join(f"(?:{p})" for p in parts))
-_FILLER, _ERROR, _NOTICE = _any(FILLER), _any(ERRORS), _any(NOTICES)
+_KINDS = {"filler": FILLER, "error": ERRORS, "notice": NOTICES}
+
+
+def _ascii(need: Need) -> Need:
+    """A requirement without trigrams outside ASCII."""
+    if need is None or isinstance(need, str):
+        return need if need and need.isascii() else None
+    return (all_of if need[0] == "and" else any_of)(_ascii(part) for part in need[1])
+
+
+#: Every pattern with the trigrams it requires: only those a text holds the trigrams of are searched in it.
+_PATTERNS = [(kind, part, _ascii(required(part))) for kind, parts in _KINDS.items() for part in parts]
+_CODES = TrigramCodes(set().union(*(trigrams_in(need) for _, _, need in _PATTERNS)))
+
+
+def _masks(need: Need) -> list[int]:
+    """Bit sets of trigrams of which a text has to hold one whole; where several choices are required the smallest is kept."""
+    if need is None:
+        return [0]
+    if isinstance(need, str):
+        return [1 << _CODES.trigrams.index(need)]
+    each = [_masks(part) for part in need[1]]
+    if need[0] == "or":
+        return [m for one in each for m in one]
+    sure = functools.reduce(int.__or__, (one[0] for one in each if len(one) == 1), 0)
+    choice = min((one for one in each if len(one) > 1), key=len, default=[0])
+    return [sure | m for m in choice]
+
+
+_MASKS = [(k, _masks(need)) for k, (_, _, need) in enumerate(_PATTERNS)]
+
+
+def _searches(low: str) -> dict[str, re.Pattern]:
+    """By kind one pattern of the parts that a text can match by its trigrams."""
+    held = sum(1 << k for k in _CODES.of(low))
+    return _patterns(tuple(k for k, masks in _MASKS if any(held & m == m for m in masks)))
+
+
+@functools.lru_cache(maxsize=4_096)
+def _patterns(numbers: tuple[int, ...]) -> dict[str, re.Pattern]:
+    parts: dict[str, list[str]] = {}
+    for k in numbers:
+        parts.setdefault(_PATTERNS[k][0], []).append(_PATTERNS[k][1])
+    return {kind: _joined(tuple(some)) for kind, some in parts.items()}
+
+
+@functools.lru_cache(maxsize=4_096)
+def _joined(parts: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?:{p})" for p in parts))
+
+
 _CHROME = re.compile("(?:" + "|".join(CHROME) + ")")
 _TAG = re.compile(r"<(?!noscript)/?[a-zA-Z!][^<>]{0,200}>")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -163,34 +216,44 @@ def slots_in(text: str) -> list[str]:
     return every if len(every) * _WORDS_A_SLOT >= len(_WORD.findall(prose)) else []
 
 
-def _mostly_filler(plain: str, n_words: int) -> bool:
+def _mostly_filler(found: re.Pattern, plain: str, n_words: int) -> bool:
     """Whether filler phrases make up a third of a sentence's words or more."""
-    return 3 * sum(len(_WORD.findall(m[0])) for m in _FILLER.finditer(plain)) >= n_words
+    return 3 * sum(len(_WORD.findall(m[0])) for m in found.finditer(plain)) >= n_words
+
+
+_NOTHING = {"filler": 0.0, "error": 0.0, "notice": 0.0}
 
 
 def shares(text: str) -> dict[str, float]:
     """Share of words in filler, error and notice sentences, page furniture left out."""
+    low = _TAG.sub("\n", text).lower()
+    search = _searches(low)
+    latin_text = any(w in low for w in LATIN_MARKS)
+    if not search and not latin_text:
+        return _NOTHING
+    filler, error, notice = search.get("filler"), search.get("error"), search.get("notice")
     weight: Counter[str] = Counter()
-    for sentence in _SENTENCE.split(_TAG.sub("\n", text).lower()):
+    for sentence in _SENTENCE.split(low):
         sentence = sentence.strip().lstrip("#").strip(" \t*-=|>")
         words = _WORD.findall(sentence)
         if not words or _CHROME.fullmatch(sentence):
             continue
         plain = sentence.rstrip(".!?: ")
-        latin = sum(w in LATIN_FILLER for w in words)
-        if (latin >= 3 and 2 * latin >= len(words)) or (_FILLER.search(plain) and _mostly_filler(plain, len(words)) and not (len(words) >= _TALK_WORDS and _TALK.search(plain))):
+        latin = sum(map(LATIN_FILLER.__contains__, words)) if latin_text else 0
+        kind = "content"
+        if latin >= 3 and 2 * latin >= len(words) and any(w in plain for w in LATIN_MARKS):
             kind = "filler"
-        elif len(words) >= _TALK_WORDS and _TALK.search(plain):
-            kind = "content"
-        elif _NOTICE.search(plain):
+        elif filler and filler.search(plain) and _mostly_filler(filler, plain, len(words)):
+            kind = "filler"
+        elif notice and notice.search(plain):
             kind = "notice"
-        elif _ERROR.search(plain):
+        elif error and error.search(plain):
             kind = "error"
-        else:
+        if kind != "content" and latin < 3 and len(words) >= _TALK_WORDS and _TALK.search(plain):
             kind = "content"
         weight[kind] += len(words)
     total = sum(weight.values())
-    return {k: weight[k] / total for k in ("filler", "error", "notice")} if total else {"filler": 0.0, "error": 0.0, "notice": 0.0}
+    return {k: weight[k] / total for k in _NOTHING} if total else _NOTHING
 
 
 def residue_of(text: str | None, min_share: float = 0.5) -> tuple[int, float, float, float, str | None]:

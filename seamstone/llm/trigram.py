@@ -25,19 +25,19 @@ def required(pattern: str, flags: int = 0) -> Need:
     return _sequence(sre_parse.parse(pattern, flags))
 
 
-def _both(parts: Iterable[Need]) -> Need:
+def all_of(parts: Iterable[Need]) -> Need:
     kept = tuple(dict.fromkeys(p for p in parts if p is not None))
     return None if not kept else kept[0] if len(kept) == 1 else ("and", kept)
 
 
-def _either(parts: Iterable[Need]) -> Need:
+def any_of(parts: Iterable[Need]) -> Need:
     kept = tuple(dict.fromkeys(parts))
     return None if None in kept or not kept else kept[0] if len(kept) == 1 else ("or", kept)
 
 
 def _of_literal(text: str) -> Need:
     low = text.lower()
-    return _both(low[i : i + 3] for i in range(len(low) - 2))
+    return all_of(low[i : i + 3] for i in range(len(low) - 2))
 
 
 #: Most texts that a run of literals and small character classes is expanded to.
@@ -49,7 +49,7 @@ def _sequence(items) -> Need:
     runs = [""]
 
     def close() -> None:
-        parts.append(_either(_of_literal(r) for r in runs))
+        parts.append(any_of(_of_literal(r) for r in runs))
         runs[:] = [""]
 
     for op, arg in items:
@@ -61,13 +61,13 @@ def _sequence(items) -> Need:
         if op is sre.SUBPATTERN:
             parts.append(_sequence(arg[3]))
         elif op is sre.BRANCH:
-            parts.append(_either(_sequence(one) for one in arg[1]))
+            parts.append(any_of(_sequence(one) for one in arg[1]))
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
             parts.append(_sequence(arg[2]))
         elif op is sre.ATOMIC_GROUP:
             parts.append(_sequence(arg))
     close()
-    return _both(parts)
+    return all_of(parts)
 
 
 def _texts(op, arg) -> list[str] | None:
