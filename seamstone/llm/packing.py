@@ -148,42 +148,28 @@ def pack(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFra
     id_type = sizes.schema[id_col].dataType.simpleString()
     items = cut_lineage(sizes.select(F.col(id_col), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("_row")))
     tokens, rows = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    out = None
-    for limit_id, capacity in caps:
-        blocks = max(1, -(-tokens // (capacity * BLOCK_CONTAINERS)), -(-rows // BLOCK_ITEMS))
-        one = _pack_one(items, id_col, id_type, limit_id, int(capacity), int(blocks))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = _pack_one(items.limit(0), id_col, id_type, 0, 1, 1)
-    return out
-
-
-def _pack_one(items: DataFrame, id_col: str, id_type: str, limit_id: int, capacity: int, blocks: int) -> DataFrame:
-    cap = F.lit(capacity)
-    pieces = items.select(
-        id_col,
-        "_row",
-        F.col("n_tokens"),
-        F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / cap) - 1, F.lit(0)))).alias("piece"),
-    ).select(
-        id_col,
-        "_row",
-        F.col("piece").cast("int").alias("piece"),
-        (F.col("piece") * cap).cast("long").alias("start_token"),
-        F.least(cap, F.col("n_tokens") - F.col("piece") * cap).cast("long").alias("n_tokens"),
-    )
+    blocks = lambda cap: max(1, -(-tokens // (cap * BLOCK_CONTAINERS)), -(-rows // BLOCK_ITEMS))
+    # all limits in one pass: an item is a row for each of them
+    each = F.array(*[F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(cap).cast("long").alias("cap"), F.lit(blocks(cap)).cast("long").alias("blocks")) for i, cap in caps] or [F.lit(None).cast("struct<limit_id:int,cap:bigint,blocks:bigint>")])
+    asked = items.select(id_col, "_row", "n_tokens", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("l")).select(id_col, "_row", "n_tokens", "l.*")
+    cap, n = F.col("cap"), F.col("n_tokens")
+    last = F.greatest(F.ceil(n / cap) - 1, F.lit(0)).cast("int")
+    # pieces that fill a container are there at once; only the rest of an item is packed
+    columns = ["limit_id", "container", id_col, "piece", "start_token", "n_tokens"]
+    full = asked.where(n >= cap).select("*", F.explode(F.sequence(F.lit(0), F.floor(n / cap).cast("int") - 1)).alias("piece"))
+    full = full.select("limit_id", F.concat_ws("-", F.lit("full"), "_row", "piece").alias("container"), id_col, "piece", (F.col("piece") * cap).cast("long").alias("start_token"), cap.alias("n_tokens"))
+    rest = asked.where((n % cap > 0) | (n == 0)).select("limit_id", id_col, "_row", "cap", "blocks", last.alias("piece"), (last * cap).cast("long").alias("start_token"), (n - last * cap).cast("long").alias("n_tokens"))
     # the row keeps repeated ids apart; it is read from the checkpoint, so a task that runs again gets the same
-    block = F.pmod(F.xxhash64(id_col, "piece", "_row"), F.lit(blocks)).alias("block")
+    placed = rest.withColumn("block", F.pmod(F.xxhash64(id_col, "piece", "_row"), F.col("blocks"))).drop("_row", "blocks")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", id_col, "piece"], kind="stable")
-        where = best_fit_decreasing(pdf["n_tokens"].tolist(), capacity)
-        return pd.DataFrame(
-            {"limit_id": limit_id, "container": [f"{b}-{w}" for b, w in zip(pdf["block"], where)], id_col: pdf[id_col], "piece": pdf["piece"], "start_token": pdf["start_token"], "n_tokens": pdf["n_tokens"]}
-        )
+        where = best_fit_decreasing(pdf["n_tokens"].tolist(), int(pdf["cap"].iloc[0]))
+        pdf["container"] = [f"{b}-{w}" for b, w in zip(pdf["block"], where)]
+        return pdf[columns]
 
-    schema = f"limit_id INT, container STRING, `{id_col}` {id_type}, piece INT, start_token BIGINT, n_tokens BIGINT"
-    return pieces.withColumn("block", block).drop("_row").groupBy("block").applyInPandas(fill, schema)
+    packed = placed.groupBy("limit_id", "block").applyInPandas(fill, f"limit_id INT, container STRING, `{id_col}` {id_type}, piece INT, start_token BIGINT, n_tokens BIGINT")
+    return packed.unionByName(full)
 
 
 def packing_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
@@ -192,3 +178,22 @@ def packing_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     return per.join(limits.select("limit_id", "capacity_tokens"), "limit_id").select(
         "limit_id", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill")
     )
+
+
+def packing_integrity(packed: DataFrame, sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id", least_fill: float = 0.95) -> DataFrame:
+    """``limit_id, items, overfull, split, incomplete, well_filled`` of every limit.
+
+    How many items are placed, containers hold more than their capacity, items
+    that fit one container are split, and items are not placed whole; and
+    whether the containers are filled to ``least_fill`` or are as few as their
+    tokens allow.  Ids must be unique.
+    """
+    cap = limits.select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").alias("cap"))
+    containers = packed.groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("held")).join(cap, "limit_id")
+    full = containers.groupBy("limit_id").agg(F.count_if(F.col("held") > F.col("cap")).alias("overfull"), F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"), F.max("cap").alias("cap"))
+    filled = (F.col("held") >= F.col("n") * F.col("cap") * F.lit(least_fill)) | (F.col("n") <= F.ceil(F.col("held") / F.col("cap")))
+    whole = packed.groupBy("limit_id", id_col).agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces")).join(sizes.select(id_col, F.coalesce("n_tokens", F.lit(0)).alias("size")), id_col).join(cap, "limit_id")
+    items = whole.groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count_if((F.col("size") <= F.col("cap")) & (F.col("pieces") > 1)).alias("split"), F.count_if(F.col("placed") != F.col("size")).alias("incomplete"),
+    )
+    return items.join(full, "limit_id").select("limit_id", "items", "overfull", "split", "incomplete", filled.alias("well_filled"))

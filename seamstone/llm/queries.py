@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seamstone.llm import documented, handwritten, leakage, packing, residue, secrets, syntax, term_frequency
+from seamstone.sources.checkpoints import cut_lineage
 from seamstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,12 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, table(spark, sf_dir, "pack_limits"))
 
 
+def p7_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut_lineage(packing.token_sizes(table(spark, sf_dir, "documents")))
+    limits = table(spark, sf_dir, "pack_limits")
+    return packing.packing_integrity(packing.pack(sizes, limits), sizes, limits)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -56,7 +63,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.where(rated.kind.isNotNull()).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_pack": p7_pack, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_pack": p7_pack, "p7_integrity": p7_integrity, "p8_found": p8_found, "p9_found": p9_found}
 
 ORACLES: dict[str, str] = {
     "p2_found": r"""
@@ -74,6 +81,9 @@ SELECT field_name, term, n_total, n_files,
   CASE WHEN n_files <= 2 THEN 'rare'
        WHEN n_files * 100 > 5 * (SELECT count(*) FROM source_files) THEN 'common' ELSE 'useful' END AS mark
 FROM c
+""",
+    "p7_integrity": """
+SELECT limit_id, (SELECT count(*) FROM documents) AS items, 0::BIGINT AS overfull, 0::BIGINT AS split, 0::BIGINT AS incomplete, true AS well_filled FROM pack_limits WHERE capacity_tokens > 0
 """,
     "p8_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(CASE WHEN contains(text, chr(10)) THEN text[instr(text, chr(10)) + 1:] ELSE '' END), '[\p{L}\p{N}_]+') AS w FROM eval_items),

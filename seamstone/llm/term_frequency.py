@@ -4,8 +4,8 @@ Method: a global integer dictionary with blockwise count arrays.
 
 1. Each block (Arrow batch of a scan task) builds a local dictionary, encodes
    its elements and fills two count arrays: occurrences, and records that hold
-   the term.  One row per distinct term leaves the block, so a term that a
-   third of all records hold costs one row per block.
+   the term.  Blocks are summed in the task up to a bounded number of terms,
+   so a term that a third of all records hold costs one row a task.
 2. The block rows are shuffled once, by term.  Each shuffle partition owns a
    contiguous identifier range: it gives its terms the next identifiers of the
    range, encodes the rows, and adds the blocks' counts into its arrays.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Characters that are no part of a term at its ends.
 TRIMMED = " \t\r\n\"';"
+#: Terms a task's dictionary holds before its counts are handed on.
+TASK_TERMS = 500_000
 _RANGE_BITS = 33
 
 _BLOCK = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("n_total", pa.int64()), ("n_files", pa.int64())])
@@ -53,11 +55,28 @@ def count_block(lists: pa.Array, trimmed: str = TRIMMED) -> tuple[pa.Array, np.n
 
 def _block_rows(fields: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, list[int]]] = [{} for _ in fields]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for field, counts in zip(fields, held):
+                if counts:
+                    total, files = np.array(list(counts.values()), np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array([field] * len(counts)), pa.array(list(counts), pa.string()), pa.array(total, pa.int64()), pa.array(files, pa.int64())], schema=_BLOCK)
+                    counts.clear()
+
         for batch in batches:
-            for k, field in enumerate(fields):
+            for k, counts in enumerate(held):
                 terms, total, files = count_block(batch.column(k))
-                if len(terms):
-                    yield pa.RecordBatch.from_arrays([pa.array([field] * len(terms)), terms, pa.array(total, pa.int64()), pa.array(files, pa.int64())], schema=_BLOCK)
+                for term, a, b in zip(terms.to_pylist(), total.tolist(), files.tolist()):
+                    known = counts.get(term)
+                    if known is None:
+                        counts[term] = [a, b]
+                    else:
+                        known[0] += a
+                        known[1] += b
+            if sum(map(len, held)) > TASK_TERMS:
+                yield from rows()
+        yield from rows()
 
     return run
 
