@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamstone.sources.checkpoints import cut_lineage
+from seamstone.sources.checkpoints import cut_lineage, release
 
 
 def edges_of(df: DataFrame, src: str, dst: str, within: Sequence[str] = ()) -> DataFrame:
@@ -27,27 +27,51 @@ def degrees(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return ends.groupBy(*within, F.col("e.node").alias("node")).agg(F.sum("e.i").alias("indegree"), F.sum("e.o").alias("outdegree"), F.count(F.lit(1)).alias("total"))
 
 
+#: Rounds whose tables are kept apart before they are written as one.
+_COMPACT = 8
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _as_one(parts: list[DataFrame]) -> DataFrame:
+    one = cut_lineage(_all_of(parts))
+    release(*parts)
+    return one
+
+
 def closure(edges: DataFrame, starts: DataFrame, within: Sequence[str] = (), max_depth: int | None = None, include_start: bool = False) -> DataFrame:
     """Nodes reachable from each start with their least depth: ``within..., start, node, depth``.
 
     ``starts`` holds (within..., start).  A frontier of new nodes is joined
-    with the edges round by round; what was reached is written to the
-    checkpoint folder, so lineage stays short and lost executors only cost
-    the last round.  Runs until nothing new is found or ``max_depth`` is
+    with the edges round by round.  A round writes its frontier only; eight
+    are then written as one, and eight of those again, so what is written stays
+    within a few times the result.  Runs until nothing new is found or ``max_depth`` is
     reached.  A start on a cycle is only reported at depth 0
     (``include_start``).
     """
     keys = [*within, "start", "node"]
-    frontier = starts.select(*within, "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    reached = frontier = cut_lineage(frontier)
-    depth = 0
+    frontier = cut_lineage(starts.select(*within, "start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    done, recent, depth = [], [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.withColumnRenamed("node", "src").join(edges, [*within, "src"]).select(*within, "start", F.col("dst").alias("node")).distinct()
-        new = cut_lineage(step.join(reached.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
+        new = cut_lineage(step.join(_all_of([*done, *recent]).select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
+            release(new)
             break
-        reached, frontier = cut_lineage(reached.unionByName(new)), new
+        recent.append(new)
+        frontier = new
+        if len(recent) > _COMPACT:
+            done.append(_as_one(recent[:-1]))
+            recent = recent[-1:]
+            if len(done) > _COMPACT:
+                done = [_as_one(done)]
+    reached = _all_of([*done, *recent])
     return reached if include_start else reached.where(F.col("depth") > 0)
 
 
@@ -59,23 +83,29 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, k: int, within: Sequence[
 def levels(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Topological level of every node (``within..., node, level``): 0 where it depends on nothing left.
 
-    Leaves are peeled off round by round until a round frees nothing; nodes on
-    a cycle or above one have null level.
+    Every node carries how many of its dependencies are left.  A round frees
+    those with none and takes them off the counts of the nodes that depend on
+    them; it writes one table, the counts of what is left.  Rounds go on until
+    one frees nothing; nodes on a cycle or above one have null level.
     """
-    nodes = edges.select(*within, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    left, done, level = cut_lineage(nodes), None, 0
-    live = cut_lineage(edges)
+    edges = edges.select(*within, "src", "dst").distinct()
+    ends = edges.select(*within, F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("n")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("n")))).alias("e"))
+    left = cut_lineage(ends.groupBy(*within, F.col("e.node").alias("node")).agg(F.sum("e.n").alias("left")))
+    done, level = [], 0
     while True:
-        waiting = live.select(*within, F.col("src").alias("node")).distinct()
-        free = cut_lineage(left.join(waiting, [*within, "node"], "left_anti").withColumn("level", F.lit(level)))
+        free = left.where(F.col("left") == 0).select(*within, "node")
         if free.isEmpty():
             break
-        done = free if done is None else cut_lineage(done.unionByName(free))
-        left = cut_lineage(left.join(free, [*within, "node"], "left_anti"))
-        live = cut_lineage(live.join(free.select(*within, F.col("node").alias("dst")), [*within, "dst"], "left_anti"))
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+        freed = cut_lineage(free.withColumn("level", F.lit(level)))
+        done.append(freed)
+        met = freed.select(*within, F.col("node").alias("dst")).join(edges, [*within, "dst"]).groupBy(*within, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        after = cut_lineage(left.where(F.col("left") > 0).join(met, [*within, "node"], "left").select(*within, "node", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")))
+        release(left)
+        left, level = after, level + 1
+        if len(done) > _COMPACT:
+            done = [_as_one(done)]
+    stuck = left.select(*within, "node", F.lit(None).cast("int").alias("level"))
+    return _all_of([*done, stuck])
 
 
 def blast_radius(calls: DataFrame, targets: DataFrame, within: Sequence[str] = (), max_depth: int = 5) -> DataFrame:
@@ -96,6 +126,19 @@ def blast_radius(calls: DataFrame, targets: DataFrame, within: Sequence[str] = (
     return scored.withColumn("score", score).withColumn("category", category).select(*within, "start", "node", "depth", "callers", "score", "category")
 
 
+def call_radius(calls: DataFrame, within: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
+    """``within..., start, direct_calls, total`` of every node that is called.
+
+    ``direct_calls`` counts its internal and recursive calls (repeated ones
+    too, its own not), ``total`` the nodes that call it at any depth.
+    """
+    inside = calls.where(F.col("call_type").isin("internal", "recursive") & F.col("caller").isNotNull() & F.col("callee").isNotNull() & (F.col("caller") != F.col("callee")))
+    direct = inside.groupBy(*within, F.col("callee").alias("start")).agg(F.count(F.lit(1)).alias("direct_calls"))
+    found = closure(transpose(edges_of(inside, "caller", "callee", within)), direct.select(*within, "start"), within, max_depth)
+    total = found.groupBy(*within, "start").agg(F.count(F.lit(1)).alias("total"))
+    return direct.join(total, [*within, "start"], "left").select(*within, "start", "direct_calls", F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def resolve_short(nodes: DataFrame, names: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """The best node of each short name: ``within..., short, node, candidates, score, ambiguous``.
 
@@ -132,12 +175,15 @@ def context_decision(radius: DataFrame, within: Sequence[str] = (), most: int =
 
 
 def symbol_users(symbols: DataFrame, calls: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """``within..., file, users``: in how many other files something that a file defines is called.
+    """``within..., file, name, users``: how many other files call what a file defines under a name.
 
-    Users are counted per called name first; the defining file is taken off by
-    an anti join, so files are never paired.
+    Users are counted per name first and the file's own use is taken off, so
+    files are never paired and a name that very many files define and call
+    costs one row a file.
     """
     defined = symbols.where(F.col("name").isNotNull()).select(*within, "file", "name").distinct()
-    used = calls.where(F.col("callee").isNotNull()).select(*within, F.col("file").alias("user"), F.element_at(F.split("callee", r"\."), -1).alias("name")).distinct()
-    pairs = defined.join(used, [*within, "name"]).where(F.col("user") != F.col("file"))
-    return pairs.groupBy(*within, "file").agg(F.countDistinct("user").alias("users"))
+    used = calls.where(F.col("callee").isNotNull()).select(*within, "file", F.element_at(F.split("callee", r"\."), -1).alias("name")).distinct()
+    per_name = used.groupBy(*within, "name").agg(F.count(F.lit(1)).alias("n"))
+    own = used.withColumn("own", F.lit(1))
+    counted = defined.join(per_name, [*within, "name"]).join(own, [*within, "file", "name"], "left").withColumn("users", F.col("n") - F.coalesce("own", F.lit(0)))
+    return counted.where(F.col("users") > 0).select(*within, "file", "name", "users")

@@ -153,7 +153,7 @@ class _Calls(ast.NodeVisitor):
             name, kind = f.attr, "external"
         else:
             name, kind = None, "unknown"
-        self.rows.append((self.caller, name, kind, node.lineno, node.col_offset, ast.unparse(node)[:500]))
+        self.rows.append((self.caller, name, kind, node.lineno, node.col_offset, ast.unparse(node)))
 
 
 _BUILTINS = frozenset(dir(__import__("builtins")))

@@ -341,19 +341,31 @@ def _hubs(spark, sf_dir):
     return per.groupBy("repo").agg(F.min(F.struct((-F.col("n")).alias("n"), "dst")).alias("m")).select("repo", F.col("m.dst").alias("start"))
 
 
-_CLOSURE = "reach AS (SELECT repo, start, start AS node, 0 AS depth FROM hubs UNION SELECT r.repo, r.start, {to}, r.depth + 1 FROM reach r JOIN e ON e.repo = r.repo AND {on} WHERE r.depth < {k}), best AS (SELECT repo, start, node, min(depth) AS depth FROM reach GROUP BY ALL)"
+#: By key, so that a node is met once, at its least depth; ends where nothing new is found.
+_CLOSURE = "reach(repo, start, node, depth) USING KEY (repo, start, node) AS (SELECT repo, start, start, 0 FROM hubs UNION SELECT r.repo, r.start, {to}, min(r.depth) + 1 FROM reach r JOIN e ON e.repo = r.repo AND {on} WHERE NOT EXISTS (SELECT 1 FROM recurring.reach k WHERE k.repo = r.repo AND k.start = r.start AND k.node = {to}){more} GROUP BY 1, 2, 3)"
 
 
-@query("o78_dependents", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.src', on='e.dst = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
+@query("o78_dependents", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.src', on='e.dst = r.node', more='')} SELECT repo, start, node, depth FROM reach WHERE depth > 0")
 def o78_dependents(spark, sf_dir):
     return graph.closure(graph.transpose(_deps(spark, sf_dir)), _hubs(spark, sf_dir), ["repo"])
 
 
-@query("o83_dependencies", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', k=40)} SELECT repo, start, node, depth FROM best WHERE depth > 0")
+@query("o83_dependencies", f"WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', more='')} SELECT repo, start, node, depth FROM reach WHERE depth > 0")
 def o83_dependencies(spark, sf_dir):
     return graph.closure(_deps(spark, sf_dir), _hubs(spark, sf_dir), ["repo"])
 
 
+@query(
+    "o79_call_radius",
+    """WITH RECURSIVE ce AS (SELECT DISTINCT file_id, caller AS src, callee AS dst FROM call_edges WHERE call_type IN ('internal', 'recursive') AND callee IS NOT NULL AND caller IS NOT NULL AND caller <> callee), t AS (SELECT DISTINCT file_id, dst AS start FROM ce),
+reach(file_id, start, node, depth) USING KEY (file_id, start, node) AS (SELECT file_id, start, start, 0 FROM t UNION SELECT r.file_id, r.start, ce.src, min(r.depth) + 1 FROM reach r JOIN ce ON ce.file_id = r.file_id AND ce.dst = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.reach k WHERE k.file_id = r.file_id AND k.start = r.start AND k.node = ce.src) GROUP BY 1, 2, 3),
+d AS (SELECT file_id, callee AS start, count(*) AS direct_calls FROM call_edges WHERE call_type IN ('internal', 'recursive') AND callee IS NOT NULL AND caller IS NOT NULL AND caller <> callee GROUP BY 1, 2)
+SELECT t.file_id, t.start, any_value(direct_calls) AS direct_calls, count(r.node) AS total FROM t JOIN d USING (file_id, start) LEFT JOIN reach r ON r.file_id = t.file_id AND r.start = t.start AND r.depth > 0 GROUP BY 1, 2""",
+)
+def o79_call_radius(spark, sf_dir):
+    return graph.call_radius(table(spark, sf_dir, "call_edges"), ["file_id"])
+
+
 @query(
     "o85_k_hop",
     f"WITH RECURSIVE {_HUBS}, b AS (SELECT repo, src, dst FROM e UNION SELECT repo, dst, src FROM e), reach AS (SELECT repo, start, start AS node, 0 AS depth FROM hubs UNION SELECT r.repo, r.start, b.dst, r.depth + 1 FROM reach r JOIN b ON b.repo = r.repo AND b.src = r.node WHERE r.depth < 2) SELECT repo, start, node, min(depth) AS depth FROM reach GROUP BY ALL HAVING min(depth) > 0",
@@ -362,7 +374,13 @@ def o85_k_hop(spark, sf_dir):
     return graph.neighbourhood(_deps(spark, sf_dir), _hubs(spark, sf_dir), 2, ["repo"])
 
 
-@query("o70_levels")
+#: A node reaches a cycle if it reaches a node that reaches itself; levels of the others are the longest ways down.
+_LEVELS = f"""WITH RECURSIVE {_EDGES}, n AS (SELECT repo, src AS node FROM e UNION SELECT repo, dst FROM e),
+reach(repo, start, node) AS (SELECT repo, src, dst FROM e UNION SELECT r.repo, r.start, e.dst FROM reach r JOIN e ON e.repo = r.repo AND e.src = r.node), bad AS (SELECT repo, start AS node FROM reach WHERE start = node), stuck AS (SELECT repo, node FROM bad UNION SELECT r.repo, r.start FROM reach r JOIN bad b ON b.repo = r.repo AND b.node = r.node),
+free AS (SELECT * FROM n ANTI JOIN stuck USING (repo, node)), up(repo, node, level) AS (SELECT repo, node, 0 FROM free ANTI JOIN e ON e.repo = free.repo AND e.src = free.node UNION SELECT f.repo, f.node, u.level + 1 FROM up u JOIN e ON e.repo = u.repo AND e.dst = u.node JOIN free f ON f.repo = e.repo AND f.node = e.src), lv AS (SELECT n.repo, n.node, max(up.level) AS level FROM n LEFT JOIN up USING (repo, node) GROUP BY 1, 2)"""
+
+
+@query("o70_levels", _LEVELS + " SELECT * FROM lv")
 def o70_levels(spark, sf_dir):
     return graph.levels(_deps(spark, sf_dir), ["repo"])
 
@@ -536,7 +554,7 @@ def o67_hierarchy(spark, sf_dir):
 
 @query(
     "o97_task_ranking",
-    f"""WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', k=3)},
+    f"""WITH RECURSIVE {_HUBS}, {_CLOSURE.format(to='e.dst', on='e.src = r.node', more=' AND r.depth < 3')}, best AS (SELECT * FROM reach),
 near AS (SELECT repo, start, start AS node, 1.0 AS score FROM hubs UNION ALL SELECT h.repo, h.start, e.dst, 0.8 FROM hubs h JOIN e ON e.repo = h.repo AND e.src = h.start UNION ALL SELECT h.repo, h.start, e.src, 0.9 FROM hubs h JOIN e ON e.repo = h.repo AND e.dst = h.start),
 u AS (SELECT * FROM near UNION ALL SELECT b.repo, b.start, b.node, 0.5 FROM best b WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.repo = b.repo AND n.start = b.start AND n.node = b.node)), m AS (SELECT repo, start, node, max(score)::DOUBLE AS score FROM u GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY repo, start ORDER BY score DESC, node) AS INTEGER) AS rank FROM m QUALIFY rank <= 30""",
@@ -698,7 +716,7 @@ def o81_context_decision(spark, sf_dir):
     return graph.context_decision(o80_blast_radius(spark, sf_dir), ["file_id"])
 
 
-@query("o45h_symbol_users", "WITH d AS (SELECT DISTINCT repo, file, name FROM code_symbols WHERE name IS NOT NULL), u AS (SELECT DISTINCT repo, file AS user_file, string_split(callee, '.')[-1] AS name FROM call_edges WHERE callee IS NOT NULL) SELECT d.repo, d.file, count(DISTINCT user_file) AS users FROM d JOIN u ON u.repo = d.repo AND u.name = d.name AND user_file <> d.file GROUP BY 1, 2")
+@query("o45h_symbol_users", "WITH d AS (SELECT DISTINCT repo, file, name FROM code_symbols WHERE name IS NOT NULL), u AS (SELECT DISTINCT repo, file AS user_file, string_split(callee, '.')[-1] AS name FROM call_edges WHERE callee IS NOT NULL) SELECT d.repo, d.file, d.name, count(*) AS users FROM d JOIN u ON u.repo = d.repo AND u.name = d.name AND user_file <> d.file GROUP BY 1, 2, 3")
 def o45h_symbol_users(spark, sf_dir):
     return graph.symbol_users(table(spark, sf_dir, "code_symbols"), table(spark, sf_dir, "call_edges"), ["repo"])
 
@@ -757,7 +775,7 @@ def o45b_import_edges(spark, sf_dir):
     return structure.import_edges_by_part(_files(spark, sf_dir), ["repo"])
 
 
-@query("o124_migration_ends")
+@query("o124_migration_ends", _LEVELS + ", k AS (SELECT * FROM lv WHERE level IS NOT NULL), r AS (SELECT repo, node, level, row_number() OVER (PARTITION BY repo ORDER BY level, node) AS rank, 'first' AS \"end\" FROM k UNION ALL SELECT repo, node, level, row_number() OVER (PARTITION BY repo ORDER BY level DESC, node DESC), 'last' FROM k) SELECT repo, node, level, rank::INTEGER AS rank, \"end\" FROM r WHERE rank <= 5")
 def o124_migration_ends(spark, sf_dir):
     return structure.migration_ends(o70_levels(spark, sf_dir), ["repo"])
 

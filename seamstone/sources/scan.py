@@ -9,8 +9,7 @@ from seamstone.functions import text as T
 
 #: Extensions that are scanned, and folders that never are.
 EXTENSIONS = ("py", "md", "json", "js", "jsx", "ts", "tsx", "html", "css", "sql", "rs", "go", "c", "cpp", "h", "hpp", "java", "cs", "php", "rb", "swift", "kt")
-PRUNED = ("node_modules", ".venv", "venv", "dist", "build", ".git", "__pycache__", "target", ".bbc", "coverage", ".gradle", ".idea", ".vscode", ".cursor", ".gemini", ".claude", ".next", ".turbo", ".cache", "tmp", "logs", "BBC", "BBC-SON-SURUM")
-MAX_FILES = 2_000
+PRUNED = ("node_modules", ".venv", "venv", "dist", "build", ".git", "__pycache__", "target", "coverage", ".gradle", ".idea", ".vscode", ".cursor", ".gemini", ".claude", ".next", ".turbo", ".cache", "tmp", "logs")
 
 
 def in_scope(path: Column, extensions: tuple[str, ...] = EXTENSIONS, pruned: tuple[str, ...] = PRUNED) -> Column:
@@ -23,15 +22,16 @@ def _relative(root: str) -> Column:
     return F.regexp_replace("path", r"^file:/*" + root.strip("/").replace(".", r"\.") + "/", "")
 
 
-def scan_project(spark: SparkSession, root: str, max_files: int | None = MAX_FILES) -> DataFrame:
+def scan_project(spark: SparkSession, root: str, max_files: int | None = None, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
     """``path, size, lines, code_lines, hash, content`` of a tree's files; undecodable ones are left out.
 
-    ``max_files`` keeps the first files by path (the scan limit of a
-    project); None scans all.
+    All files are scanned unless ``max_files`` limits the scan to the first
+    ones by path; these are chosen without reading contents.  ``pruned`` are
+    the folders left out.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("path", _relative(root)).where(in_scope(F.col("path")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("path", _relative(root)).where(in_scope(F.col("path"), pruned=pruned))
     if max_files is not None:
-        raw = raw.orderBy("path").limit(max_files)
+        raw = raw.join(raw.select("path").orderBy("path").limit(max_files), "path", "left_semi")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     decoded = raw.select("path", F.sha2("content", 256).alias("hash"), text.alias("content")).where(F.col("content").isNotNull())
     c = F.col("content")
