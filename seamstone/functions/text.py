@@ -72,8 +72,8 @@ def words(text: Column) -> Column:
 
 #: Language by extension.
 LANGUAGE_BY_EXTENSION = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp", "go": "go", "rs": "rust",
-    "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "c": "cpp", "h": "cpp", "php": "php", "rb": "ruby",
+    "py": "python", "pyw": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp", "go": "go", "rs": "rust",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "php": "php", "rb": "ruby",
 }
 
 
@@ -87,6 +87,7 @@ def language_of_path(path: Column) -> Column:
     return table[extension(path)]
 
 
+# The signs of a language in content, in this order.
 def language_of_content(text: Column) -> Column:
     """Language guessed from content: the first sign that is found decides."""
     return (
@@ -112,6 +113,7 @@ def speculative(text: Column, patterns: tuple[str, ...] = SPECULATIVE_LONG) -> C
     return F.filter(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in patterns]), lambda p: p.isNotNull())
 
 
+# The signs of a recipe, in this order.
 def route(text: Column) -> Column:
     """Kind of recipe for a text: config, log, documentation or code."""
     bare, up = F.trim(text), F.upper(text)

@@ -94,8 +94,8 @@ def o77_duplicate_texts(spark, sf_dir):
 @query(
     "o22_language",
     r"""SELECT file_id,
-  CASE lower(regexp_extract(path, '\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'cs' THEN 'csharp'
-    WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'c' THEN 'cpp' WHEN 'h' THEN 'cpp' WHEN 'php' THEN 'php' WHEN 'rb' THEN 'ruby' END AS by_path,
+  CASE lower(regexp_extract(path, '\.([^./]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'pyw' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'cs' THEN 'csharp'
+    WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'cxx' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'h' THEN 'cpp' WHEN 'php' THEN 'php' WHEN 'rb' THEN 'ruby' END AS by_path,
   CASE WHEN contains(content, '#include') THEN 'c_cpp' WHEN contains(content, 'public class') THEN 'java' WHEN contains(content, 'func ') AND contains(content, 'var ') THEN 'go' WHEN contains(content, 'fn ') THEN 'rust' ELSE 'python' END AS by_content
 FROM source_files""",
 )
@@ -217,9 +217,24 @@ def o38_balance(spark, sf_dir):
     return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", T.balanced(F.col("content")).alias("balanced"))
 
 
-@query("o19_structure")
+def _re2(pattern: str) -> str:
+    """A pattern as SQL text."""
+    return pattern.replace("'", "''")
+
+
+def _structure_sql() -> str:
+    family = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{f}'" for e, f in structure.FAMILY.items()) + " ELSE 'python' END"
+    case = lambda make: "CASE family " + " ".join(f"WHEN '{f}' THEN {make(p)}" for f, p in structure.PATTERNS.items()) + " END"
+    found = lambda p: f"regexp_extract_all(content, '(?m){_re2(p)}', 1)"
+    functions = lambda fns: " || ".join(f"list_filter({found(f)}, lambda x: x NOT IN ('if', 'for', 'while', 'switch', 'catch', 'with'))" if k == 2 else found(f) for k, f in enumerate(fns))
+    return f"""WITH f AS (SELECT file_id, content, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM source_files), g AS (SELECT file_id, content, {family} AS family FROM f)
+SELECT file_id, family, array_to_string({case(lambda p: found(p[0]))}, ',') AS classes, array_to_string({case(lambda p: functions(p[1]))}, ',') AS functions, array_to_string({case(lambda p: found(p[2]))}, ',') AS imports FROM g WHERE content IS NOT NULL"""
+
+
+@query("o19_structure", _structure_sql())
 def o19_structure(spark, sf_dir):
-    return structure.structure(_files(spark, sf_dir)).select("file_id", "family", F.size("found_classes").alias("n_classes"), F.size("found_functions").alias("n_functions"), F.size("found_imports").alias("n_imports"))
+    got = structure.structure(_files(spark, sf_dir).where("content IS NOT NULL").select("file_id", "path", "content"))
+    return got.select("file_id", "family", *[F.array_join(f"found_{k}", ",").alias(k) for k in ("classes", "functions", "imports")])
 
 
 @query("o20_python_symbols")
@@ -227,19 +242,55 @@ def o20_python_symbols(spark, sf_dir):
     return structure.python_symbols(_files(spark, sf_dir))
 
 
+def _line_symbols_sql() -> str:
+    kinds = (*structure.CLASS_KINDS, *structure.FUNCTION_KINDS)
+    unicode = lambda p: p.replace(r"\w", r"[0-9A-Za-z_]")
+    one = lambda k: "CASE lang " + " ".join(f"WHEN '{lang}' THEN nullif(regexp_extract(text, '{_re2(unicode(p[k]))}', 1), '')" for lang, p in structure.SYMBOL_PATTERNS.items() if k in p) + " END"
+    named = ", ".join(f"{one(k)} AS k_{k}" for k in kinds)
+    entries = ", ".join(f"{{'kind': '{k}', 'name': " + (f"CASE WHEN k_{k} NOT IN ('if', 'while', 'for', 'switch', 'catch') THEN k_{k} END" if k in structure.FUNCTION_KINDS else f"k_{k}") + "}" for k in kinds)
+    languages = " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in T.LANGUAGE_BY_EXTENSION.items())
+    return f"""WITH f AS (SELECT file_id, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) {languages} END AS lang, string_split(content, chr(10)) AS ls FROM source_files WHERE content IS NOT NULL),
+l AS (SELECT file_id, lang, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM f WHERE lang <> 'python'), n AS (SELECT file_id, line, text, {named} FROM l WHERE NOT regexp_matches(text, '^\\s*(//|#)')),
+s AS (SELECT file_id, line, text, coalesce(k_trait, k_enum, k_interface, k_struct, k_class) AS own, list_filter([{entries}], lambda x: x.name IS NOT NULL) AS es FROM n), o AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM s),
+e AS (SELECT file_id, line, text, owner, unnest(es) AS e FROM o), t AS (SELECT file_id, e.name AS name, CASE WHEN e.kind IN ('class', 'struct', 'interface', 'enum', 'trait') THEN e.kind WHEN e.kind <> 'function' AND owner IS NOT NULL THEN 'method' ELSE 'function' END AS symbol_type, CAST(line AS INTEGER) AS line, CAST(instr(text, e.name) - 1 AS INTEGER) AS col_offset, owner FROM e)
+SELECT file_id, name, symbol_type, line, col_offset, CASE WHEN symbol_type = 'method' THEN owner END AS class_name FROM t"""
+
+
+@query("o21_symbols", _line_symbols_sql())
+def o21_symbols(spark, sf_dir):
+    return structure.line_symbols(_files(spark, sf_dir))
+
+
+@query("o121_symbol_stats")
+def o121_symbol_stats(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return structure.symbol_stats(structure.symbols(files), files)
+
+
+@query("o40_python_imports")
+def o40_python_imports(spark, sf_dir):
+    return structure.python_imports(_files(spark, sf_dir))
+
+
 @query("o41_python_calls")
 def o41_python_calls(spark, sf_dir):
     return structure.python_calls(_files(spark, sf_dir))
 
 
+@query("o122_call_graph")
+def o122_call_graph(spark, sf_dir):
+    _, calls = structure.call_graph(_files(spark, sf_dir), ["repo"])
+    return calls.groupBy("repo", "caller", "callee", "resolved_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "o21_current_class",
-    rf"""WITH {_LINE_ROWS}, s AS (SELECT l.file_id, n, line, nullif(regexp_extract(line, '^\s*(?:public\s+|export\s+)?class\s+(\w+)', 1), '') AS cls FROM l JOIN source_files f USING (file_id) WHERE f.path LIKE '%.java'),
+    rf"""WITH {_LINE_ROWS}, s AS (SELECT l.file_id, n, line, nullif(regexp_extract(line, '^\s*(?:public\s+|export\s+)?class\s+(\w+)', 1), '') AS cls FROM l),
 c AS (SELECT file_id, n, last_value(cls IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_class FROM s)
 SELECT file_id, current_class, count(*) AS n_lines FROM c WHERE current_class IS NOT NULL GROUP BY 1, 2""",
 )
 def o21_current_class(spark, sf_dir):
-    lines = structure.numbered_lines(_files(spark, sf_dir).where(F.col("path").endswith(".java")))
+    lines = structure.numbered_lines(_files(spark, sf_dir))
     return structure.carried_class(lines).where("current_class IS NOT NULL").groupBy("file_id", "current_class").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -271,9 +322,38 @@ def o37_except_issues(spark, sf_dir):
     return findings.except_issues(structure.numbered_lines(_files(spark, sf_dir).where(F.col("path").endswith(".py"))))
 
 
-@query("o45a_import_edges")
+def _import_lines(spark, sf_dir):
+    """Files with import lines written from the dependency table: (repo, path, imports)."""
+    deps = table(spark, sf_dir, "file_deps").where("src IS NOT NULL")
+    line = F.concat(F.lit("import "), F.regexp_replace(F.regexp_replace("dst", r"\.[^./]*$", ""), "/", "."))
+    have = deps.groupBy("repo", F.col("src").alias("path")).agg(F.collect_set(line).alias("imports"))
+    targets = deps.where("dst IS NOT NULL").select("repo", F.col("dst").alias("path")).distinct().join(have, ["repo", "path"], "left_anti")
+    return have.unionByName(targets.withColumn("imports", F.array().cast("array<string>")))
+
+
+_IMPORTED = r"""d AS (SELECT repo, src, dst FROM file_deps WHERE src IS NOT NULL), own AS (SELECT DISTINCT repo, path, regexp_replace(string_split(path, '/')[-1], '\.[^./]*$', '') AS stem FROM (SELECT repo, src AS path FROM d UNION ALL SELECT repo, dst FROM d WHERE dst IS NOT NULL)),
+i AS (SELECT DISTINCT repo, src, string_split(replace(regexp_replace(dst, '\.[^./]*$', ''), '/', '.'), '.') AS parts FROM d WHERE dst IS NOT NULL)"""
+
+
+@query("o45a_import_edges", f"WITH {_IMPORTED} SELECT DISTINCT repo, src, dst FROM (SELECT i.repo, i.src, i.parts, min(o.path) AS dst FROM i JOIN own o ON o.repo = i.repo AND o.stem = i.parts[-1] AND o.path <> i.src GROUP BY ALL)")
 def o45a_import_edges(spark, sf_dir):
-    return structure.import_edges(_files(spark, sf_dir), ["repo"])
+    return structure.import_edges(_import_lines(spark, sf_dir), ["repo"])
+
+
+@query("o45b_import_edges", f"WITH {_IMPORTED}, p AS (SELECT DISTINCT repo, src, unnest(['import'] || parts) AS part FROM i) SELECT DISTINCT p.repo, p.src, o.path AS dst FROM p JOIN own o ON o.repo = p.repo AND o.stem = p.part WHERE part <> '' AND o.path <> p.src")
+def o45b_import_edges(spark, sf_dir):
+    lines = _import_lines(spark, sf_dir)
+    return structure.import_edges_by_part(lines.withColumn("imports", F.transform("imports", lambda x: F.replace(x, F.lit(" "), F.lit(".")))), ["repo"])
+
+
+@query("o45c_import_edges", f"WITH {_IMPORTED}, t AS (SELECT DISTINCT repo, src, unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[k:], '.'))) AS tail FROM i) SELECT DISTINCT t.repo, t.src, o.path AS dst FROM t JOIN own o ON o.repo = t.repo AND o.stem = t.tail WHERE o.path <> t.src")
+def o45c_import_edges(spark, sf_dir):
+    return structure.import_edges_by_stem(_import_lines(spark, sf_dir), ["repo"])
+
+
+@query("o45d_shared_files", "WITH h AS (SELECT DISTINCT repo, name, file FROM code_symbols WHERE name IS NOT NULL AND file IS NOT NULL) SELECT repo, name, file, min(file) OVER w AS representative, count(*) OVER w - 1 AS others FROM h WINDOW w AS (PARTITION BY repo, name) QUALIFY count(*) OVER w > 1")
+def o45d_shared_files(spark, sf_dir):
+    return structure.shared_symbol_files(table(spark, sf_dir, "code_symbols"), ["repo"])
 
 
 @query(
@@ -770,11 +850,6 @@ def o116_context_metrics(spark, sf_dir):
     return m.select("context_id", get("files_scanned").alias("files"), get("total_lines").alias("n_lines"), F.schema_of_variant(F.try_variant_get("v", "$.metrics", "variant")).alias("s")).where("s LIKE 'OBJECT%'").drop("s")
 
 
-@query("o45b_import_edges", r"WITH o AS (SELECT DISTINCT repo, path AS dst, regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1) AS part FROM source_files), i AS (SELECT repo, path AS src, unnest(imports) AS raw FROM source_files), p AS (SELECT DISTINCT repo, src, unnest(string_split_regex(raw, '[./:@\\s\"'';]+')) AS part FROM i) SELECT DISTINCT repo, src, dst FROM p JOIN o USING (repo, part) WHERE part <> '' AND src <> dst".replace("\\\\", "\\").replace('\\"', '"'))
-def o45b_import_edges(spark, sf_dir):
-    return structure.import_edges_by_part(_files(spark, sf_dir), ["repo"])
-
-
 @query("o124_migration_ends", _LEVELS + ", k AS (SELECT * FROM lv WHERE level IS NOT NULL), r AS (SELECT repo, node, level, row_number() OVER (PARTITION BY repo ORDER BY level, node) AS rank, 'first' AS \"end\" FROM k UNION ALL SELECT repo, node, level, row_number() OVER (PARTITION BY repo ORDER BY level DESC, node DESC), 'last' FROM k) SELECT repo, node, level, rank::INTEGER AS rank, \"end\" FROM r WHERE rank <= 5")
 def o124_migration_ends(spark, sf_dir):
     return structure.migration_ends(o70_levels(spark, sf_dir), ["repo"])
