@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: States from strongest to weakest claim; the worse one wins.
@@ -62,6 +63,34 @@ def condition_number(matrix: tuple[tuple[float, ...], ...] = FIELD) -> float:
     return norm(matrix) * norm(tuple(tuple(x / det for x in row) for row in cofactors))
 
 
+def inverse(m: list[list[Column]], tiny: float = 1e-9) -> list[list[Column]]:
+    """Inverse of a 3x3 matrix of Columns by cofactors; null where its determinant is below ``tiny``."""
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = m[0][0] * minor(0, 0) + m[0][1] * minor(0, 1) + m[0][2] * minor(0, 2)
+    return [[F.when(F.abs(det) >= tiny, minor(j, i) / det) for j in range(3)] for i in range(3)]
+
+
+def row_norm(m: list[list[Column]]) -> Column:
+    """Largest sum of absolute values of a row."""
+    return F.greatest(*[F.abs(r[0]) + F.abs(r[1]) + F.abs(r[2]) for r in m])
+
+
+def matmul(a: DataFrame, b: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Product of matrices in rows (within..., i, j, v): one equi-join and a sum, missing elements are 0."""
+    keys = list(within or [])
+    right = b.select(*keys, F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
+    return a.join(right, [*keys, "j"]).groupBy(*keys, "i", F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.lit(1.0).alias("v"))
+
+
+def pseudo_inverse(a: np.ndarray, tiny: float = 1e-9) -> np.ndarray:
+    """Of a matrix of few rows: the inverse, or where it is singular the Moore-Penrose inverse."""
+    return np.linalg.inv(a) if a.shape[0] == a.shape[1] and abs(np.linalg.det(a)) >= tiny else np.linalg.pinv(a, rcond=tiny)
+
+
 def confidence(stability: Column) -> Column:
     """1 / (1 + log10 of the stability), within 0 and 1, to three places."""
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 / (1 + F.log10(stability)))), 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seamstone.functions import text as T
 
 #: Modules whose unused import is no finding.
-EXEMPT_IMPORTS = ("os", "sys", "typing", "logging", "json")
+EXEMPT_IMPORTS = ("os", "sys", "json", "re", "math")
 
 
 def except_issues(lines: DataFrame) -> DataFrame:
@@ -20,11 +20,11 @@ def except_issues(lines: DataFrame) -> DataFrame:
 
 
 def unused_imports(files: DataFrame) -> DataFrame:
-    """``file_id, module`` of ``import x`` lines whose module is named nowhere else in the file."""
-    modules = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^import[ \t]+(\w+)[ \t]*\r?$"), F.lit(1)))
-    each = files.select("file_id", "content", F.explode(modules).alias("module")).where(~F.col("module").isin(*EXEMPT_IMPORTS))
-    uses = F.size(F.split("content", F.concat(F.lit("\\b"), F.col("module"), F.lit("\\b")), -1)) - 1
-    return each.where(uses <= 1).select("file_id", "module")
+    """``file_id, module`` of lines ``import module ...`` whose module's name stands nowhere else in the file, not even within a word."""
+    lines = F.regexp_extract_all("content", F.lit(r"(?md)^[ \t]*(import[ \t]+\w+.*)$"), F.lit(1))
+    each = files.select("file_id", "content", F.explode(lines).alias("line")).withColumn("module", F.regexp_extract("line", r"^import[ \t]+(\w+)", 1))
+    without = lambda text: F.length(text) - F.length(F.replace(text, F.col("module"), F.lit("")))
+    return each.where(~F.col("module").isin(*EXEMPT_IMPORTS) & (without(F.col("content")) == without(F.col("line")))).select("file_id", "module")
 
 
 #: Text secrets by label (category, severity, pattern).
@@ -38,12 +38,31 @@ TEXT_SECRETS = (
 _WEIGHT = {"critical": 1.0, "high": 0.7, "medium": 0.4, "low": 0.1}
 
 
+#: Least entropy of a value and least confidence of a finding.
+ENTROPY_FLOOR, MIN_CONFIDENCE = 3.0, 0.5
+
+
 def secret_signals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col, label, category, severity, n``: how often each kind of secret is shown in each text."""
     found = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("category"), F.lit(c).alias("severity"), F.size(F.regexp_extract_all(text_col, F.lit(p), F.lit(0))).alias("n")) for a, b, c, p in TEXT_SECRETS])
     return df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(found).alias("f")).select(id_col, "f.*").where(F.col("n") > 0)
 
 
+def secret_findings(df: DataFrame, id_col: str, text_col: str, least: float = MIN_CONFIDENCE) -> DataFrame:
+    """``id_col, label, category, severity, line_number, masked_value, confidence`` of every match in every line.
+
+    A value is masked but for its first four characters.  The confidence is a
+    quarter of the value's entropy, at most 1; assigned values below
+    ENTROPY_FLOOR and findings below ``least`` are left out.  Null texts have none.
+    """
+    lines = df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("p", "line"))
+    kinds = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("category"), F.lit(c).alias("severity"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for a, b, c, p in TEXT_SECRETS])
+    each = lines.select(id_col, (F.col("p") + 1).alias("line_number"), F.explode(F.filter(kinds, lambda k: F.size(k.getField("found")) > 0)).alias("k")).select(id_col, "line_number", "k.label", "k.category", "k.severity", F.explode("k.found").alias("value"))
+    rated = each.withColumn("h", F.round(T.entropy(F.col("value")), 6)).withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("h") / 4), 3))
+    kept = rated.where((F.col("confidence") >= least) & (~F.col("label").endswith("_assignment") | (F.col("h") >= ENTROPY_FLOOR)))
+    return kept.select(id_col, "label", "category", "severity", "line_number", F.concat(F.substring("value", 1, 4), F.lit("****")).alias("masked_value"), "confidence")
+
+
 def secret_risk(signals: DataFrame, id_col: str) -> DataFrame:
     """``id_col, risk, level``: the weight of the worst kind found, HIGH above .5, MODERATE above .1."""
     weight = F.create_map(*[F.lit(x) for p in _WEIGHT.items() for x in p])[F.col("severity")]
@@ -70,10 +89,22 @@ def patched(content, old, new):
 
 
 def patch_score(df: DataFrame) -> DataFrame:
-    """Add ``after, delta, raw_state, safe`` to patches (content, old, new): a rise of entropy above 0.5 is unsafe by its raw state."""
+    """Add ``after, delta, quality, raw_state, safe`` to patches (content, old, new), as a dry run.
+
+    ``quality`` falls with the rise of entropy (1 where it does not rise).  A
+    rise above 0.5 is UNSTABLE, one above 0 WEAK; an unstable patch is healed
+    to WEAK before it is judged, so ``safe`` tells whether its raw state is sound.
+    """
     made = df.withColumn("after", patched(F.col("content"), F.col("old"), F.col("new")))
     delta = F.round(T.entropy(F.col("after")) - T.entropy(F.col("content")), 6)
-    return made.withColumn("delta", delta).withColumn("raw_state", F.when(F.col("delta") > 0.5, "UNSTABLE").when(F.col("delta") > 0, "WEAK").otherwise("STABLE")).withColumn("safe", F.col("raw_state") != "UNSTABLE")
+    quality = F.round(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("delta")) / 8), 6)
+    return made.withColumn("delta", delta).withColumn("quality", quality).withColumn("raw_state", F.when(F.col("delta") > 0.5, "UNSTABLE").when(F.col("delta") > 0, "WEAK").otherwise("STABLE")).withColumn("safe", F.col("raw_state") != "UNSTABLE")
+
+
+def patch_report(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., patches, skipped, quality, state``: the mean quality of patches, STABLE from 0.8, WEAK from 0.5."""
+    per = scored.where(F.col("quality").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("patches"), F.count_if(~F.col("safe")).alias("skipped"), F.round(F.avg("quality"), 3).alias("quality"))
+    return per.withColumn("state", F.when(F.col("quality") >= 0.8, "STABLE").when(F.col("quality") >= 0.5, "WEAK").otherwise("UNSTABLE"))
 
 
 def patch_actions(files: DataFrame, lines: DataFrame, drift: DataFrame) -> DataFrame:

@@ -41,6 +41,74 @@ def collapse(files: DataFrame, threshold: int = 10) -> DataFrame:
     return files.withColumn("collapsed", empty("classes") & empty("functions") & (F.coalesce("code_lines", F.lit(0)) < threshold))
 
 
+def semantic_pack(files: DataFrame, within: list[str], aggressive: bool = False) -> DataFrame:
+    """``within..., path, packed_path, imports, refs, collapsed, before_chars, after_chars`` of every file, all stages chained.
+
+    ``files`` holds (within..., path, classes, functions, imports, lines,
+    code_lines) with one row a path; within names one context.  Imports that
+    occur three times or more in a context are replaced by references I0, I1,
+    ... in their order; folders that hold three files or more by @a/, @b/, ...
+    (after z by numbers), the longest folder first; files without symbols and
+    with fewer than 10 code lines (30 where ``aggressive``) collapse to their
+    path.  Null lists are empty, null elements are left out.  References and
+    aliases are numbered by range partitions, so a context of any size needs
+    no single task.
+    """
+    names = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    own = files.where(F.col("path").isNotNull()).select(*within, "path", names("classes").alias("classes"), names("functions").alias("functions"), names("imports").alias("raw"), "lines", "code_lines")
+    each = own.select(*within, "path", F.posexplode("raw").alias("at", "value"))
+    shared = each.groupBy(*within, "value").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
+    index = with_ordinal(shared, within, ["value"]).select(*within, "value", F.concat(F.lit("I"), (F.col("ordinal") - 1).cast("string")).alias("ref"))
+    placed = each.join(index, [*within, "value"], "left").groupBy(*within, "path").agg(F.array_sort(F.collect_list(F.struct("at", "value", "ref"))).alias("all"))
+    lists = placed.select(*within, "path", F.transform(F.filter("all", lambda x: x.getField("ref").isNull()), lambda x: x.getField("value")).alias("imports"), F.transform(F.filter("all", lambda x: x.getField("ref").isNotNull()), lambda x: x.getField("ref")).alias("refs"))
+
+    folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    frequent = own.select(*within, folder.alias("prefix")).where("prefix <> ''").groupBy(*within, "prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(*within, "prefix", (-F.length("prefix")).alias("by"))
+    number = F.col("ordinal").cast("int") - 1
+    alias = F.concat(F.lit("@"), F.when(number < 26, F.char(number + 97)).otherwise(number.cast("string")), F.lit("/"))
+    table = with_ordinal(frequent, within, ["by", "prefix"]).select(*within, "prefix", "ordinal", alias.alias("alias"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    best = own.where(F.size(parts) > 1).select(*within, "path", F.explode(above).alias("prefix")).join(table, [*within, "prefix"]).groupBy(*within, "path").agg(F.min(F.struct("ordinal", "prefix", "alias")).alias("b"))
+    packed_path = F.coalesce(F.concat("b.alias", F.substring("path", F.length("b.prefix") + 1, F.length("path"))), F.col("path"))
+
+    none = F.array().cast("array<string>")
+    empty = (F.size("classes") == 0) & (F.size("functions") == 0) & (F.coalesce("code_lines", F.lit(0)) < (30 if aggressive else 10))
+    out = own.join(lists, [*within, "path"], "left").join(best, [*within, "path"], "left").withColumn("packed_path", packed_path).withColumn("collapsed", empty)
+    out = out.withColumn("imports", F.when(F.col("collapsed"), none).otherwise(F.coalesce("imports", none))).withColumn("refs", F.when(F.col("collapsed"), none).otherwise(F.coalesce("refs", none)))
+    before = F.length(F.to_json(F.struct("path", "classes", "functions", F.col("raw").alias("imports"), "lines", "code_lines")))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    kept = F.to_json(F.struct(F.col("packed_path").alias("path"), some("classes"), some("functions"), some("imports"), some("refs"), "lines", "code_lines"))
+    after = F.when(F.col("collapsed"), F.length(F.to_json(F.struct(F.col("packed_path").alias("path"), F.lit(True).alias("_collapsed"))))).otherwise(F.length(kept))
+    return out.select(*within, "path", "packed_path", "imports", "refs", "collapsed", before.alias("before_chars"), after.alias("after_chars"))
+
+
+def pack_savings(packed: DataFrame, within: list[str]) -> DataFrame:
+    """``within..., files, collapsed_files, before_chars, after_chars, savings_pct`` of packed contexts."""
+    per = packed.groupBy(*within).agg(F.count(F.lit(1)).alias("files"), F.count_if("collapsed").alias("collapsed_files"), F.sum("before_chars").alias("before_chars"), F.sum("after_chars").alias("after_chars"))
+    return per.withColumn("savings_pct", savings(F.col("before_chars"), F.col("after_chars")))
+
+
+#: Weights and cap of the review of a whole context, and the code lines that count in full.
+REVIEW = {"critical": 0.8, "structure": 0.6, "fallback": 0.5, "cap": 40, "full_lines": 500}
+
+
+def review_ranking(files: DataFrame, critical: DataFrame, within: list[str], weight: str = "structure") -> DataFrame:
+    """``within..., path, score, rank`` of the files a review looks at, where no file is the target.
+
+    ``critical`` (within..., path) are files of much-called symbols; a context
+    that has some is reviewed by them alone.  Others are ranked by their code
+    lines (``weight`` fallback: where another task has no target).  The cap is the feature.
+    """
+    own = files.where(F.col("path").isNotNull()).select(*within, "path", "code_lines")
+    high = critical.select(*within, "path").distinct().join(own.select(*within, "path").distinct(), [*within, "path"], "left_semi").withColumn("score", F.lit(REVIEW["critical"]))
+    rest = own.join(high.select(*within).distinct(), within, "left_anti").where(F.col("code_lines") > 0)
+    rest = rest.groupBy(*within, "path").agg(F.max(F.least(F.lit(1.0), F.col("code_lines") / REVIEW["full_lines"]) * REVIEW[weight]).alias("score"))
+    scored = high.unionByName(rest).withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc("score"), F.asc("path")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= REVIEW["cap"])
+
+
 def task_ranking(deps: DataFrame, targets: DataFrame, task: str, within: list[str]) -> DataFrame:
     """``within..., start, node, score, rank`` of the files a task needs for each target, capped as the task says.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamstone.functions import text as T
@@ -85,14 +86,22 @@ def doc_results(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(t.isNotNull()).select(id_col, fields.alias("result"))
 
 
-def validate(results: DataFrame, id_col: str, recipe: str) -> DataFrame:
-    """``id_col, constraint, decision``: the first constraint a result breaks, null where it keeps all."""
+def _broken(recipe: str) -> Column:
+    """The first constraint that ``result`` breaks: a field not allowed, a forbidden word anywhere in its text, its size."""
     allowed, forbidden, _ = CONSTRAINTS[recipe]
     text = F.lower(F.to_json("result"))
     extra = F.size(F.array_except(F.map_keys("result"), F.array(*map(F.lit, allowed)))) > 0
-    words = F.exists(F.array(*map(F.lit, forbidden)), lambda w: text.contains(w))
-    broken = F.when(extra, "allowed_fields").when(words, "forbidden_content").when(F.length(text) > MAX_CHARS, "max_tokens")
-    return results.select(id_col, broken.alias("constraint")).withColumn("decision", F.when(F.col("constraint").isNotNull(), "abort").otherwise("keep"))
+    words = functools.reduce(lambda a, b: a | b, [text.contains(w) for w in forbidden])
+    return F.when(extra, "allowed_fields").when(words, "forbidden_content").when(F.length(text) > MAX_CHARS, "max_tokens")
+
+
+def validate(results: DataFrame, id_col: str, recipe: str, determinism: str = "hard") -> DataFrame:
+    """``id_col, constraint, decision``: the first constraint a result breaks, null where it keeps all.
+
+    Hard determinism aborts, soft determinism discards.
+    """
+    verdict = "abort" if determinism == "hard" else "discard"
+    return results.select(id_col, _broken(recipe).alias("constraint")).withColumn("decision", F.when(F.col("constraint").isNotNull(), verdict).otherwise("keep"))
 
 
 def tuned_constraints(df: DataFrame, id_col: str, text_col: str, default: float = 0.8) -> DataFrame:
@@ -134,11 +143,30 @@ def segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(df, [id_col, text_col], make, f"`{id_col}` {id_type.simpleString()}, pos INT, seg_type STRING, body STRING, start INT", schema)
 
 
+def code_results(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, result``: the code recipe as a map of fields, lines joined by line ends."""
+    lines = F.transform(T.split_lines(F.col(text_col)), lambda x: F.trim(x))
+    some = lambda *words: F.array_join(F.filter(lines, lambda x: functools.reduce(lambda a, b: a | b, [x.contains(w) for w in words])), "\n")
+    fields = F.create_map(F.lit("classes"), some("class "), F.lit("functions"), some("def "), F.lit("imports"), some("import ", "from "))
+    return df.where(F.col(text_col).isNotNull()).select(*[c for c in df.columns if c != text_col], fields.alias("result"))
+
+
 def pipeline(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, segments, kinds, raw_chars, recipe_chars, status`` of every text by its segments' recipes."""
-    seg = segments(df, id_col, text_col)
-    header_chars = F.length(F.array_join(T.headers(F.col("body")), "\n")) + F.length(F.array_join(T.keywords(F.col("body")), " "))
-    code_chars = F.length(F.array_join(F.filter(T.split_lines(F.col("body")), lambda x: x.rlike("class |def |import |from ")), "\n"))
-    made = seg.withColumn("chars", F.when(F.col("seg_type") == "code", code_chars).otherwise(header_chars))
-    done = made.groupBy(id_col).agg(F.count(F.lit(1)).alias("segments"), F.array_join(F.array_sort(F.collect_set("seg_type")), ",").alias("kinds"), F.sum(F.length("body")).alias("raw_chars"), F.sum("chars").alias("recipe_chars"))
-    return done.withColumn("status", F.when(F.col("raw_chars") == 0, "failed").when(F.col("recipe_chars") == 0, "raw").when(F.col("recipe_chars") >= F.col("raw_chars"), "degraded").otherwise("ok"))
+    """``id_col, segments, ok, degraded, raw_chars, recipe_chars, status`` of every text.
+
+    Every segment is put through the recipe of its type (code or
+    documentation) and the result validated by that recipe's constraints; a
+    segment that breaks one is degraded and counts no recipe characters.  A text is stable
+    where no segment is degraded.
+    """
+    seg = segments(df, id_col, text_col).withColumn("_seg", F.struct(id_col, "pos"))
+    done = None
+    for kind, recipe, run in (("code", "code", code_results), ("documentation", "documentation", doc_results)):
+        own = seg.where(F.col("seg_type") == kind).select("_seg", "body")
+        made = run(own, "_seg", "body").select("_seg", "result")
+        checked = made.select("_seg", _broken(recipe).alias("broken"), F.length(F.to_json("result")).alias("chars"))
+        done = checked if done is None else done.unionByName(checked)
+    bad = F.col("broken").isNotNull()
+    per = done.groupBy(F.col(f"_seg.{id_col}").alias(id_col)).agg(F.count(F.lit(1)).alias("segments"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("degraded"), F.coalesce(F.sum(F.when(~bad, F.col("chars"))), F.lit(0)).alias("recipe_chars"))
+    raw = df.select(id_col, F.length(F.coalesce(text_col, F.lit(""))).alias("raw_chars"))
+    return per.join(raw, id_col).select(id_col, "segments", "ok", "degraded", "raw_chars", "recipe_chars", F.when(F.col("degraded") == 0, "stable").otherwise("degraded").alias("status"))

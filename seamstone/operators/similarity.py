@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries that go to the executors at once; more queries are more passes.
@@ -63,6 +63,27 @@ def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, hi BIGINT, lo BIGINT")
 
 
+def weighted_simhash(df: DataFrame, id_col: str, text_col: str, stable: float = 1.0, chaos: float = 0.0) -> DataFrame:
+    """``id_col, hi, lo, score, state``: the fingerprint with words weighted as in ``weighted_score``, beside that score.
+
+    Texts that are null have no row, those without words a fingerprint of 0.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = df.schema[id_col].dataType
+    schema = pa.schema([(id_col, to_arrow_type(id_type)), ("hi", pa.int64()), ("lo", pa.int64()), ("score", pa.float64()), ("state", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Fingerprinter()
+        for batch in batches:
+            raw = b"".join(maker.of(t, stable, chaos) for t in batch.column(1).to_pylist())
+            halves = np.frombuffer(raw, ">i8").reshape(-1, 2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0], pa.int64()), pa.array(halves[:, 1], pa.int64()), batch.column(2), batch.column(3)], schema=schema)
+
+    scored = df.where(F.col(text_col).isNotNull()).select(id_col, text_col, *_weighted(text_col, stable, chaos))
+    return scored.mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, hi BIGINT, lo BIGINT, score DOUBLE, state STRING")
+
+
 def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.0, chaos: float = 0.0) -> DataFrame:
     """``id_col, score, state`` of the weighted fingerprint: mean word weight (capped at 2) by half.
 
@@ -70,14 +91,17 @@ def weighted_score(df: DataFrame, id_col: str, text_col: str, stable: float = 1.
     fewer than four three tenths of ``chaos`` less.  A text without words is
     SLEEPING with score 0.
     """
+    return df.where(F.col(text_col).isNotNull()).select(id_col, *_weighted(text_col, stable, chaos))
+
+
+def _weighted(text_col: str, stable: float, chaos: float) -> tuple[Column, Column]:
     words = F.filter(F.split(F.lower(text_col), r"(?U)\s+"), lambda w: w != "")
     count = lambda keep: F.size(F.filter(words, keep)).cast("double")
     long, short, n = count(lambda w: F.length(w) > 5), count(lambda w: F.length(w) < 4), F.size(words).cast("double")
     # whole counts first: the order of a sum of weights would decide the last digits
     mean = (long * (1.0 + stable * 0.2) + short * (1.0 - chaos * 0.3) + (n - long - short)) / F.nullif(n, F.lit(0.0))
-    rated = df.where(F.col(text_col).isNotNull()).select(id_col, mean.alias("mean"))
-    state = F.when(F.col("mean").isNull(), "SLEEPING").when(F.col("mean") < 0.5, "WEAK").otherwise("STABLE")
-    return rated.select(id_col, F.coalesce(F.least(F.col("mean"), F.lit(2.0)) / 2, F.lit(0.0)).alias("score"), state.alias("state"))
+    score = F.coalesce(F.least(mean, F.lit(2.0)) / 2, F.lit(0.0))
+    return score.alias("score"), F.when(mean.isNull(), "SLEEPING").when(mean < 0.5, "WEAK").otherwise("STABLE").alias("state")
 
 
 def similarity_percent(hi1, lo1, hi2, lo2):
