@@ -16,6 +16,8 @@ QUERY_BLOCK = 2_000
 #: Characters or vector elements of the queries of a block; a longer query is a block of its own.
 QUERY_BLOCK_SIZE = 8_000_000
 _WORD_CACHE = 200_000
+#: Parts that a weight is rounded to.
+_PARTS = 1_000_000
 
 
 class Fingerprinter:
@@ -35,14 +37,12 @@ class Fingerprinter:
 
     def of(self, text: str | None, stable: float | None = None, chaos: float = 0.0) -> bytes:
         """16 bytes, most significant bit first; with ``stable`` long and short words weigh by it and by ``chaos``."""
-        total = np.zeros(128)
+        # whole numbers: the order of a sum of fractions would decide ties
+        long, short = (1, 1) if stable is None else (round((1 + stable * 0.2) * _PARTS), round((1 - chaos * 0.3) * _PARTS))
+        other = 1 if stable is None else _PARTS
+        total = np.zeros(128, np.int64)
         for word, n in Counter((text or "").lower().split()).items():
-            weight = float(n)
-            if stable is not None and len(word) > 5:
-                weight *= 1 + stable * 0.2
-            if stable is not None and len(word) < 4:
-                weight *= 1 - chaos * 0.3
-            total += weight * self._sign(word)
+            total += n * (long if len(word) > 5 else short if len(word) < 4 else other) * self._sign(word)
         return np.packbits(total > 0).tobytes()
 
 

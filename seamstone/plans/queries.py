@@ -124,11 +124,6 @@ def o24_router(spark, sf_dir):
     return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.route(F.col("text")).alias("recipe"))
 
 
-@query("o25_segments")
-def o25_segments(spark, sf_dir):
-    return recipes.segments(_docs(spark, sf_dir), "doc_id", "text")
-
-
 @query(
     "o26_code_recipe",
     rf"""WITH {_LINE_ROWS} SELECT file_id, count(*) FILTER (contains(line, 'class ')) AS class_lines, count(*) FILTER (contains(line, 'def ')) AS def_lines, count(*) FILTER (contains(line, 'import ') OR contains(line, 'from ')) AS import_lines FROM l GROUP BY 1""",
@@ -187,11 +182,6 @@ def o30_constraints(spark, sf_dir):
     return recipes.validate(recipes.doc_results(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", "documentation")
 
 
-@query("o32_pipeline")
-def o32_pipeline(spark, sf_dir):
-    return recipes.pipeline(_docs(spark, sf_dir), "doc_id", "text")
-
-
 @query("o33_savings", "SELECT source, sum(octet_length(encode(text))) AS raw_bytes, sum(octet_length(encode(text)) // 4) AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def o33_savings(spark, sf_dir):
     return _docs(spark, sf_dir).where("text IS NOT NULL").groupBy("source").agg(F.sum(F.octet_length("text")).alias("raw_bytes"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))

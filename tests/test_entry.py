@@ -1,11 +1,37 @@
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
 import __spark_entry__ as entry
+from seamstone.plans import queries as core
+from tools.compare import norm
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in Path(SF).iterdir():
+        con.execute(f"create view {path.stem} as select * from '{path}'")
+    return con
+
+
+def holds(spark, duck, name):
+    """Whether a query has the rows of its SQL."""
+    cur = duck.execute(entry.oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    want = sorted(repr(tuple(norm(v) for v in row)) for row in cur.fetchall())
+    got = entry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(cols)
+    return sorted(repr(tuple(norm(r[c]) for c in cols)) for r in got.collect()) == want
+
+
 def test_every_sql_names_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
@@ -14,12 +40,11 @@ def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["context_id", "rel", "parent_ix", "ix", "val"]
 
 
-@pytest.mark.parametrize("name", ["o23_line_metrics", "o46_entropy", "o87_simhash", "o78_dependents", "o71_snapshot_diff", "o55_telemetry_summary"])
-def test_query_equals_its_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("source_files", "documents", "file_deps", "telemetry"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    cur = con.execute(entry.oracle_sql()[name])
-    cols = [d[0] for d in cur.description]
-    want = sorted(map(repr, cur.fetchall()))
-    assert sorted(repr(tuple(r[c] for c in cols)) for r in entry.queries()[name](spark, SF).collect()) == want
+@pytest.mark.parametrize("name", sorted(core.ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    assert holds(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert entry.queries()[name](spark, SF).count() > 0
