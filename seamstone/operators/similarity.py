@@ -219,19 +219,36 @@ def focus_projection(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col
     return out if out is not None else corpus.sparkSession.createDataFrame([], "query_id BIGINT, id BIGINT, cos2 DOUBLE")
 
 
-def set_cosine(queries: DataFrame, corpus: DataFrame, id_col: str, set_col: str, floor: float = 0.1, k: int = 10) -> DataFrame:
-    """``query_id, id, similarity``: cosine of binary vectors, common / sqrt(sizes), above ``floor``; best ``k``.
+#: Parts that the rows of a hot element are spread over.
+SALTS = 8
+
 
-    An inverted-index join from the queries' elements to all rows; common
-    elements are summed before anything else, and rows are never densified.
+def set_cosine(queries: DataFrame, corpus: DataFrame, id_col: str, set_col: str, floor: float = 0.1, k: int = 10) -> DataFrame:
+    """``query_id, id, similarity``: cosine of binary vectors, common / sqrt(sizes), above ``floor``; best ``k`` other rows.
+
+    A prefix-filtered join: elements are ordered by rarity, and a query looks
+    for rows of a size class (powers of two) only by its first elements, as
+    many as a row of that class has to share one of to come above the floor.
+    So an element that very many rows hold is looked up for small sets only;
+    its rows are salted.  Candidates are verified on the whole sets.  Null
+    elements do not count, null and empty sets are similar to nothing.
     """
-    elements = lambda df, name: df.select(F.col(id_col).alias(name), F.explode(F.array_distinct(set_col)).alias("element")).where(F.col("element").isNotNull())
-    size = F.size(F.array_distinct(F.filter(set_col, lambda x: x.isNotNull())))
-    common = elements(queries, "query_id").join(elements(corpus, "id"), "element").where(F.col("query_id") != F.col("id")).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("common"))
-    scored = (
-        common.join(queries.select(F.col(id_col).alias("query_id"), size.alias("n1")), "query_id")
-        .join(corpus.select(F.col(id_col).alias("id"), size.alias("n2")), "id")
-        .withColumn("similarity", F.round(F.col("common") / F.sqrt(F.col("n1").cast("double") * F.col("n2")), 6))
-        .where(F.col("similarity") > floor)
-    )
-    return _best(scored.select("query_id", "id", "similarity"), k, [F.desc("similarity"), F.asc("id")])
+    sets = lambda df, name: df.select(F.col(id_col).alias(name), F.array_distinct(F.filter(set_col, lambda x: x.isNotNull())).alias("s")).where((F.size("s") > 0) & F.col(name).isNotNull())
+    left, right = sets(queries, "query_id"), sets(corpus, "id")
+    size_class = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+    rows = right.select("id", F.size("s").alias("n2"), F.explode("s").alias("element")).select("id", "element", size_class(F.col("n2")).alias("class"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    rarity = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    asked = left.select("query_id", F.size("s").alias("n1"), F.explode("s").alias("element")).join(rarity, "element", "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "element"))
+    ranked = asked.withColumn("place", place).where(F.col("df").isNotNull())
+    # sizes that can come above the floor lie between n1 * floor^2 and n1 / floor^2
+    low, high = F.greatest(F.lit(0), size_class(F.greatest(F.lit(1.0), F.col("n1") * floor**2))), size_class(F.col("n1") / floor**2 + 1)
+    # at the least size of the class, and a little less for what rounding lifts above the floor
+    needed = F.greatest(F.lit(1), F.ceil(floor * F.sqrt(F.col("n1") * F.pow(F.lit(2.0), F.col("class"))) - 0.001))
+    probes = ranked.select("*", F.explode(F.sequence(low, high)).alias("class")).where(F.col("place") <= F.col("n1") - needed + 1)
+    salted = probes.select("query_id", "element", "class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    pairs = salted.join(rows, ["element", "class", "salt"]).where(F.col("query_id") != F.col("id")).select("query_id", "id").distinct()
+    whole = pairs.join(left.withColumnRenamed("s", "s1"), "query_id").join(right.withColumnRenamed("s", "s2"), "id")
+    common = F.size(F.array_intersect("s1", "s2"))
+    similarity = F.round(common / F.sqrt(F.size("s1").cast("double") * F.size("s2")), 6)
+    return _best(whole.select("query_id", "id", similarity.alias("similarity")).where(F.col("similarity") > floor), k, [F.desc("similarity"), F.asc("id")])

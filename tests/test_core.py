@@ -1,5 +1,6 @@
 import inspect
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -125,6 +126,18 @@ def test_fingerprint_distance_is_symmetric(a, b):
     assert (x ^ y).bit_count() == (y ^ x).bit_count() and maker.of(a) == similarity.Fingerprinter().of(a)
 
 
+def test_set_cosine_against_brute_force(spark):
+    random.seed(3)
+    sets = [[random.choice("abcdefghijklmnopqrst") for _ in range(random.choice([1, 2, 5, 9, 14]))] + ["hot"] for _ in range(120)] + [None, [], [None], ["hot"]]
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sets)], "i BIGINT, s ARRAY<STRING>, element STRING")
+    plain = [{x for x in s or () if x} for s in sets]
+    for floor in (0.1, 0.5, 0.8):
+        want = {(a, b) for a in range(0, 124, 7) for b in range(124) if a != b and plain[a] and plain[b] and round(len(plain[a] & plain[b]) / math.sqrt(len(plain[a]) * len(plain[b])), 6) > floor}
+        got = {(r["query_id"], r["id"]) for r in similarity.set_cosine(df.where("i % 7 = 0"), df, "i", "s", floor, None).collect()}
+        assert got == want
+    assert similarity.set_cosine(df.limit(0), df, "i", "s").count() == 0 == similarity.set_cosine(df, df.limit(0), "i", "s").count()
+
+
 def test_structure_and_findings(spark):
     code = "import os\nimport spare\nfrom m import f as g\nclass A(B):\n    @deco(1)\n    def m(self, x: int, *a) -> str:\n        '''Doc.'''\n        self.n()\n        g()\n        return m\n    def n(self):\n        try:\n            self.n()\n        except:\n            pass\ndef free():\n    free()\n    print(1)\n"
     files = spark.createDataFrame([(1, "p/a.py", code), (2, "p/bad.py", "def ("), (3, "p/x.js", "export class Q {\n  run(a) {\n  }\n}\n"), (4, "p/n.py", None)], "file_id BIGINT, path STRING, content STRING")
