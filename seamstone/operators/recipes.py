@@ -40,6 +40,12 @@ def log_recipe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def log_anomalies(df: DataFrame, id_col: str, text_col: str, most: int = 15, chars: int = 120) -> DataFrame:
+    """``id_col, pos, anomaly``: the first ``most`` lines that name an anomaly, their first ``chars`` characters (the recipe's form)."""
+    found = F.slice(F.filter(T.split_lines(F.col(text_col)), T.is_anomaly), 1, most)
+    return df.select(id_col, F.posexplode(found).alias("pos", "line")).select(id_col, "pos", F.substring(F.trim("line"), 1, chars).alias("anomaly"))
+
+
 def shape_of(value: object, depth: int = 0) -> object:
     """Types of a JSON value to a depth of three and five keys a level."""
     if depth > 3:

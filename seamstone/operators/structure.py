@@ -387,19 +387,23 @@ def shared_symbol_files(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return held.join(per, [*keys, "name"]).select(*keys, "name", "file", "representative", (F.col("n") - 1).alias("others"))
 
 
-def symbol_references(symbols: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., name, n_files``: in how many other files of the same keys a defined symbol is named.
+def reference_files(symbols: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., name, path``: the files of the same keys that name a symbol defined elsewhere.
 
     File contents become distinct identifiers once, which turns the search of
-    every symbol in every file into an equi-join; counts are made before the
-    defining files are taken off, so no pair of files is ever built.
+    every symbol in every file into equi-joins; definitions are taken off by
+    file and name, so no pair of files is ever built.
     """
     names = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w{3,}"), F.lit(0))), lambda x: F.length(x) > 3)
     used = files.where(F.col("content").isNotNull()).select(*keys, "path", F.explode(names).alias("name")).distinct()
     defined = symbols.where(F.length("name") > 3).select(*keys, F.col("file").alias("path"), "name").distinct()
     wanted = defined.select(*keys, "name").distinct()
-    counts = used.join(wanted, [*keys, "name"], "left_semi").join(defined, [*keys, "path", "name"], "left_anti").groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n_files"))
-    return counts
+    return used.join(wanted, [*keys, "name"], "left_semi").join(defined, [*keys, "path", "name"], "left_anti").select(*keys, "name", "path")
+
+
+def symbol_references(symbols: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., name, n_files``: in how many other files of the same keys a defined symbol is named."""
+    return reference_files(symbols, files, keys).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def import_edges_by_part(files: DataFrame, keys: list[str]) -> DataFrame:

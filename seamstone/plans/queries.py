@@ -293,9 +293,9 @@ def _referenced_sql(i: str, t: str, f: str) -> str:
     return _REFERENCED.replace("{i}", i).replace("{t}", t).replace("{f}", f).replace("{k}", _KEYWORDS)
 
 
-@query("o34_referenced", f"WITH {_referenced_sql('file_id', 'content', 'source_files')} SELECT file_id, CAST(len(names) AS INTEGER) AS n_symbols FROM refs")
+@query("o34_referenced", f"WITH {_referenced_sql('file_id', 'content', 'source_files')} SELECT file_id, CAST(len(names) AS INTEGER) AS n_symbols, array_to_string(list_sort(names), ',') AS names FROM refs")
 def o34_referenced(spark, sf_dir):
-    return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", F.size(T.referenced_symbols(F.col("content"))).alias("n_symbols"))
+    return _files(spark, sf_dir).where("content IS NOT NULL").select("file_id", T.referenced_symbols(F.col("content")).alias("r")).select("file_id", F.size("r").alias("n_symbols"), F.array_join(F.array_sort("r"), ",").alias("names"))
 
 
 @query("o36_unused_imports")
@@ -606,7 +606,15 @@ def o61_chunk_weights(spark, sf_dir):
     return packing_context.chunk_weights(_docs(spark, sf_dir), ["repo"], ["doc_id"], "text")
 
 
-@query("o94_adaptive_sample")
+_SAMPLE = f"""WITH RECURSIVE {_DOC_H}, d AS (SELECT doc_id, coalesce(abs(h.h), 0) AS h, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS n FROM documents LEFT JOIN h USING (doc_id)), z AS (SELECT *, greatest(1, n // 10) AS size FROM d),
+c AS (SELECT (pos - 1) // size AS c, count(*) AS k, avg(h) AS h FROM z GROUP BY 1), m AS (SELECT max(h) AS most, sum(k) AS total FROM c),
+w AS (SELECT c, k, h, h / CASE WHEN most = 0 THEN 1 ELSE most END AS w, lag(h, 1, 0) OVER (ORDER BY c) AS before FROM c, m), v AS (SELECT c, k, (CASE WHEN abs(h - before) > 0.4 THEN least(1.5::DOUBLE * w, 1) ELSE w END) * CASE WHEN h > 7 THEN 0.3::DOUBLE WHEN h > 5 THEN 0.6::DOUBLE ELSE 1 END AS w FROM w),
+f(c, take, budget) AS (SELECT -1::BIGINT, 0::BIGINT, greatest(1, (total * 0.1::DOUBLE)::BIGINT) FROM m UNION ALL SELECT g.c, g.take, g.budget - g.take FROM (SELECT v.c, f.budget, CASE WHEN x <= 0 THEN 0 ELSE least(f.budget, ceil(v.k / greatest(1, v.k // greatest(x, 1))::DOUBLE)::BIGINT) END AS take FROM f JOIN v ON v.c = f.c + 1, LATERAL (SELECT least(greatest(1, round_even(v.k * v.w * 0.1::DOUBLE * 2, 0)::BIGINT), f.budget, v.k) AS x)) g),
+s AS (SELECT f.c, take, CASE WHEN take > 0 THEN greatest(1, c.k // take) ELSE c.k + 1 END AS step FROM f JOIN c ON c.c = f.c)
+SELECT doc_id FROM z JOIN s ON s.c = (pos - 1) // size WHERE ((pos - 1) % size % step = 0 AND (pos - 1) % size < take * step) OR pos = 1 OR pos = n"""
+
+
+@query("o94_adaptive_sample", _SAMPLE)
 def o94_adaptive_sample(spark, sf_dir):
     return packing_context.adaptive_sample(_docs(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "text").select("doc_id")
 

@@ -173,6 +173,15 @@ def o28_config_keys(spark, sf_dir):
     return recipes.config_recipe(table(spark, sf_dir, "repo_contexts"), "context_id", "payload").select("context_id", "violation", "n_keys", F.array_join("sections", ",").alias("sections"))
 
 
+@query(
+    "o27_log_anomalies",
+    rf"""WITH p AS (SELECT doc_id, {_SPLIT.format(t="replace(text, ' fail', ' FATAL fail')")} AS t FROM documents), l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS n FROM p), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE regexp_matches(upper(line), 'EXCEPTION|CRITICAL|FATAL|TIMEOUT'))
+SELECT doc_id, (k - 1)::INTEGER AS pos, trim(line)[1:120] AS anomaly FROM a WHERE k <= 15""",
+)
+def o27_log_anomalies(spark, sf_dir):
+    return recipes.log_anomalies(base._docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" fail"), F.lit(" FATAL fail"))), "doc_id", "text")
+
+
 # ---- findings -----------------------------------------------------------------------------
 def _rewritten(column: str, pairs: tuple[tuple[str, str], ...]) -> Column:
     """A column with phrases replaced: the test tables hold nothing these queries look for."""
@@ -265,6 +274,14 @@ def o88_weighted_simhash(spark, sf_dir):
     return similarity.weighted_simhash(base._docs(spark, sf_dir), "doc_id", "text", 0.9, 0.5)
 
 
+@query(
+    "o125_reference_files",
+    r"WITH u AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(content, '[A-Za-z_]\w{3,}')) AS name FROM source_files WHERE content IS NOT NULL), d AS (SELECT DISTINCT repo, file AS path, name FROM code_symbols WHERE len(name) > 3), w AS (SELECT DISTINCT repo, name FROM d) SELECT u.repo, u.name, u.path FROM u SEMI JOIN w USING (repo, name) ANTI JOIN d USING (repo, path, name)",
+)
+def o125_reference_files(spark, sf_dir):
+    return structure.reference_files(table(spark, sf_dir, "code_symbols"), base._files(spark, sf_dir), ["repo"])
+
+
 # ---- packs and rankings ------------------------------------------------------------------------
 def _pack_sql(aggressive: bool) -> str:
     return f"""WITH {_LATEST}, own AS (SELECT repo, path, list_filter(coalesce(classes, []), lambda x: x IS NOT NULL) AS cl, list_filter(coalesce(functions, []), lambda x: x IS NOT NULL) AS fn, list_filter(coalesce(imports, []), lambda x: x IS NOT NULL) AS im, code_lines FROM lf WHERE path IS NOT NULL),
