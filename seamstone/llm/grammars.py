@@ -677,3 +677,11 @@ CArg = CExpr1 | CType ;
 CGeneric = CExpr1 ( ',' ( CType | 'default' ) ':' CExpr1 )+ ;
 CName = ID | 'final' | 'override' | 'namespace' | 'using' | 'typename' | 'concept' | 'template' | 'requires' | 'decltype' | 'explicit' | 'virtual' | 'friend' | 'mutable' | 'class' | 'operator' | 'new' | 'delete' | 'noexcept' | 'throw' | 'try' | 'catch' | 'co_return' | 'co_await' | 'co_yield' | 'consteval' | 'constexpr' | 'typeid' | 'this' | 'true' | 'false' | 'nullptr' | 'alignas' | 'alignof' | 'static_assert' | 'asm' | ACCESS | CASTOP ;
 """
+#: Where only tokens, brackets and how a text begins are described: what else stands there is accepted.
+_LOOSE = """
+Rest = ID | HEAD | NUM | STR | CHAR | LIFE | OP | START | paren{AnyTokens} | brack{AnyTokens} | curly{AnyTokens} ;
+"""
+KOTLIN = "File = ( ( HEAD | START ) Rest* )? ;" + _LOOSE
+SWIFT = "File = ( ( ID | START | STR | NUM | curly{AnyTokens} | paren{AnyTokens} | brack{AnyTokens} ) Rest* )? ;" + _LOOSE
+SQL = "File = ( ( HEAD | START | paren{AnyTokens} ) Rest* )? ;" + _LOOSE
+CSS = "File = Rule* ; Rule = START ( ID | OP | NUM | STR | paren{AnyTokens} )* ( START | curly{AnyTokens} ) | ( ID | OP | START | NUM | STR | paren{AnyTokens} | brack{AnyTokens} )+ curly{AnyTokens} ;"

@@ -658,3 +658,14 @@ def _dedent(nest: Nest, levels: list[int]) -> None:
     inside = nest.grammar.group(nest.now)
     _, nest.now, _ = nest.stack.pop()
     nest.now.append(("block", inside))
+
+
+# ---- languages known by their tokens, brackets and beginnings only ----------------
+_ANY_OPS = operators(OP="! $ % & * + , - . / : < = > ? \\ ^ | ~ `", START="@ # ;")
+#: Words that declarations and statements at the outermost level begin with.
+_KOTLIN_HEADS = "package import fun class interface object val var typealias enum sealed data abstract open final private public internal protected inline suspend operator infix tailrec external annotation const lateinit expect actual value override companion"
+_SQL_HEADS = "select insert update delete create alter drop with set use begin commit rollback grant revoke explain merge truncate replace call declare do end exec execute analyze vacuum comment copy lock show describe values start savepoint pragma attach go if while print raiserror deallocate reset refresh"
+lex_kotlin = plain_lexer(rf"{_LINE}|{_BLOCK}|\A#![^\n]*", rf'"""[\s\S]*?"""+|{_DQ}|`[^`\n]+`', r"[uUlLfF]{0,2}", _ANY_OPS, words("", HEAD=_KOTLIN_HEADS), chars=r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'")
+lex_swift = plain_lexer(rf"{_LINE}|{_BLOCK}|\A#![^\n]*", rf'#"(?:(?!"#)[^\n])*"#|"""[\s\S]*?"""|{_DQ}|`[^`\n]+`', r"", _ANY_OPS, {})
+lex_sql = plain_lexer(rf"--[^\n]*|{_BLOCK}", r"""'(?:[^'\\]|''|\\[\s\S])*'|"(?:[^"]|"")*"|`[^`]*`|\$(?P<h>\w*)\$[\s\S]*?\$(?P=h)\$""", r"\w*", _ANY_OPS, words("", HEAD=" ".join(w for k in _SQL_HEADS.split() for w in (k, k.upper(), k.title()))))
+lex_css = plain_lexer(rf"{_BLOCK}", rf"{_DQ}|{_SQ}", r"[\w%]*", _ANY_OPS, {}, word=r"[^\W\d][\w\-]*|\d[\w\-%]*")

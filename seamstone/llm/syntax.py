@@ -73,11 +73,16 @@ _PYTHON = Language("python", lexers.lex_python, grammars.PYTHON, ("File", "File2
 _CPP = Language("cpp", lexers.lex_cpp, grammars.CPP, ("File",), ("File", "Stmts", "Body"), _GOES_ON - {"while", "&", "!", "from", "as", "of", "with", "where"})
 _C = Language("c", lexers.lex_header, grammars.HEADER, ("CFile",), ("CFile", "CStmts"), _CPP.goes_on)
 _HEADER = Language("cpp", lexers.lex_header, grammars.HEADER, ("File", "CFile"), ("File", "Stmts", "Body", "CFile", "CStmts"), _CPP.goes_on)
+# described by their tokens, brackets and beginnings: truncation, merge marks and foreign contents are seen, other errors are not
+_KOTLIN = Language("kotlin", lexers.lex_kotlin, grammars.KOTLIN, ("File",), ())
+_SWIFT = Language("swift", lexers.lex_swift, grammars.SWIFT, ("File",), ())
+_SQL = Language("sql", lexers.lex_sql, grammars.SQL, ("File",), ())
+_CSS = Language("css", lexers.lex_css, grammars.CSS, ("File",), ())
 
 #: Languages by extension.
 LANGUAGES: dict[str, Language] = {
     **dict.fromkeys(("py", "pyw", "pyi"), _PYTHON), **dict.fromkeys(("js", "jsx", "mjs", "cjs"), _JAVASCRIPT), **dict.fromkeys(("ts", "mts", "cts"), _TYPESCRIPT), "tsx": _TSX, "java": _JAVA, "cs": _CSHARP,
-    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx"), _CPP), "h": _HEADER, "c": _C, "jsonc": _JSON_WITH_COMMENTS, "code-workspace": _JSON_WITH_COMMENTS,
+    "go": _GO, "rs": _RUST, "php": _PHP, "rb": _RUBY, "json": _JSON, **dict.fromkeys(("cpp", "cc", "cxx", "hpp", "hh", "hxx"), _CPP), "h": _HEADER, "c": _C, "jsonc": _JSON_WITH_COMMENTS, "code-workspace": _JSON_WITH_COMMENTS, "kt": _KOTLIN, "kts": _KOTLIN, "swift": _SWIFT, "sql": _SQL, "css": _CSS,
 }
 #: Files named .json that their tools read with comments.
 _COMMENTED_JSON = re.compile(r"(?:^|/)(?:(?:ts|js)config(?:\.[\w.\-]+)?|devcontainer|\.eslintrc|\.swcrc|deno|tslint|api-extractor)\.json$|(?:^|/)\.vscode/[^/]*\.json$", re.I)

@@ -154,6 +154,19 @@ def test_dialects(path, text, want):
     assert syntax.parses(path, text) is want
 
 
+LOOSE = [
+    ("a.kt", "package a.b\n\nimport c.*\n\n@Deco(\"x\")\ndata class D(val x: Int = 0x1F, val c: Char = '\\n') {\n    fun go(): String = \"a ${f(x)} }\" + \"\"\"raw \" { \"\"\"\n    val `odd name` = list.map { it + 1L }\n}\n", True), ("a.kt", "fun f() {\n    g(1\n", False), ("a.kt", "fun f() {}\n<<<<<<< HEAD\nval a = 1\n=======\nval a = 2\n>>>>>>> x\n", False), ("a.kt", "<!DOCTYPE html>\n<html></html>\n", False), ("a.kts", "// only a comment\n", True),
+    ("a.swift", "import UIKit\n@main struct A: B {\n    let s = #\"a \" b\"# + \"\"\"\n  x } \"\n  \"\"\"\n    func go<T>(_ x: [T?]) -> Int { guard let y = x.first else { return 0 }; return y ?? 1 }\n}\n", True), ("a.swift", "func f() { g(1 }\n", False), ("a.swift", "<html>\n", False),
+    ("a.sql", "-- all\nSELECT a, 'it''s', \"b c\" FROM t WHERE (x > 1.5e3) AND y IN (1, 2);\nCREATE FUNCTION f() RETURNS int AS $$ begin return '('; end $$ LANGUAGE plpgsql;\n", True), ("a.sql", "select count(* from t;", False), ("a.sql", "select 'open from t;", False), ("a.sql", "<!-- page -->", False),
+    ("a.css", "@import 'x.css';\n@media (min-width: 10px) { .a > b:hover, #c::before { color: #fff; margin: -1px 2em } }\na[href^=\"x\"] { content: \"}\" }\n.x-1 { width: calc(100% - 3px) }\n50% { top: 0 }\n", True), ("a.css", ".a { color: red; ", False), ("a.css", "<<<<<<< HEAD\n.a { }\n=======\n.b { }\n>>>>>>> x\n", False),
+]
+
+
+@pytest.mark.parametrize(("path", "text", "want"), LOOSE)
+def test_languages_by_tokens_and_brackets(path, text, want):
+    assert syntax.parses(path, text) is want
+
+
 C_HEADERS = [
     "struct shape { int class; void *new; };\nint template(struct shape *this, int delete);\n",
     "#ifdef __cplusplus\nextern \"C\" {\n#endif\nextern int try;\nvoid copy(char *restrict to, int n, int a[static 3], int b[const *]);\n#ifdef __cplusplus\n}\n#endif\n",
