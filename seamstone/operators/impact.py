@@ -36,7 +36,7 @@ def impact_report(deps: DataFrame, targets: DataFrame, files: DataFrame, within:
     # -sum(p log p) = log n - sum(k log k) / n
     chaos = per.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log2(F.col("k"))).alias("s")).select(*keys, F.abs(F.round(F.log2("n") - F.col("s") / F.col("n"), 6)).alias("chaos"))
     made = start.join(counted, keys, "left").join(total, within, "left").join(chaos, keys, "left").na.fill(0, ["direct_count", "indirect_count", "total_affected"]).na.fill(0.0, ["chaos"])
-    ratio = F.round(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("total_affected"), F.col("total_files"))), F.lit(0.0)), 6)
+    ratio = F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("total_affected"), F.col("total_files")), F.lit(0.0))), 6)
     pulse = F.round(Q.pulse(1 - F.col("impact_ratio"), F.col("chaos") / 8, F.lit(kind)), 6)
     made = made.withColumn("impact_ratio", ratio).withColumn("pulse", pulse).withColumn("pulse_risk", F.round(F.greatest(F.lit(0.0), 1 - F.col("pulse")), 6))
     impact_state = F.when(F.col("impact_ratio") <= 0.1, "STABLE").when(F.col("impact_ratio") <= 0.3, "WEAK").when(F.col("impact_ratio") <= 0.5, "UNSTABLE").otherwise("DEGENERATE")
