@@ -38,6 +38,8 @@ FAMILIES: dict[tuple[str, ...], tuple[str, str, str]] = {
 }
 #: Strings and pieces of code between them that one token holds at most; what follows on the line is further tokens.
 _PIECES = 40
+#: White space of the token patterns.
+_BLANKS = " \t\n\x0b\f\r"
 #: Extensions of Python, and those in which # begins a comment.
 _PYTHON = ("py", "pyw", "pyi")
 _HASH = (*_PYTHON, "rb")
@@ -50,7 +52,8 @@ def _pattern(comment: str, string: str, marks: str) -> str:
 
 
 def _count(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    # by bytes: a string knows how many it has
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
 def _by_family(make: Callable[[str, str, str], Column]) -> Column:
@@ -61,19 +64,25 @@ def _by_family(make: Callable[[str, str, str], Column]) -> Column:
 
 
 def tokens_of(files: DataFrame) -> DataFrame:
-    """``file_id, ext, pos, lead, inner, kind, delta, text, closes`` of every token.
+    """``file_id, ext, pos, lead, inner, kind, delta, text, closes, total, shut`` of every token.
 
     ``lead`` and ``inner`` count the line ends before and in a token, ``delta``
     is its change of bracket depth, ``closes`` whether it may end an
     annotation; ``text`` is kept for comments and the strings of Python.
+    ``total`` are the line ends of the file, ``shut`` whether it ends in a bracket.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     lexed = _by_family(lambda *p: F.regexp_extract_all("content", F.lit(_pattern(*p)), F.lit(0)))
-    raw = files.withColumn("ext", ext).select("file_id", "ext", F.posexplode(lexed).alias("pos", "raw")).withColumn("tok", F.ltrim(F.regexp_replace("raw", r"^\s+", "")))
+    whole = F.rtrim("content", F.lit(_BLANKS))
+    # once a file, below the explode
+    known = files.withColumn("ext", ext).select("file_id", "ext", "content", _count(whole, "\n").alias("total"), (whole.endswith(")") | whole.endswith("]")).alias("shut"))
+    raw = known.select("file_id", "ext", "total", "shut", F.posexplode(lexed).alias("pos", "raw")).withColumn("tok", F.ltrim("raw", F.lit(_BLANKS)))
     tok = F.col("tok")
+    quote = F.when(F.substring(tok, 1, 1).isin(*"rRbBuUfF"), tok.rlike(r"^[rRbBuUfF]{1,2}[\"']")).otherwise(tok.startswith('"') | tok.startswith("'"))
+    shut = F.rtrim(tok, F.lit(_BLANKS))
     kind = (
         F.when(tok.startswith("/*") | tok.startswith("//") | (tok.startswith("#") & F.col("ext").isin(*_HASH)) | (tok.startswith("#") & ~tok.startswith("#[") & (F.col("ext") == "php")), "comment")
-        .when(tok.rlike(r"^[rRbBuUfF]{0,2}[\"']") & (F.length(tok) > 1), "string")
+        .when(quote & (F.octet_length(tok) > 1), "string")
         .when(tok.startswith("@") | (tok.startswith("#[") & F.col("ext").isin("rs", "php")) | (tok.startswith("[") & (F.col("ext") == "cs")) | (tok.startswith("[[") & F.col("ext").isin("c", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "h")), "mark")
         .otherwise("code")
     )
@@ -81,9 +90,9 @@ def tokens_of(files: DataFrame) -> DataFrame:
     bare = F.when(has_string, _by_family(lambda _, string, __: F.regexp_replace(tok, string, ""))).otherwise(tok)
     plain = F.when(kind.isin("code", "mark"), bare).otherwise("")
     depth = _count(plain, "(") + _count(plain, "[") - _count(plain, ")") - _count(plain, "]")
-    blank = F.substring("raw", F.lit(1), F.length("raw") - F.length(tok))
+    inner = _count(tok, "\n")
     text = F.when((kind == "comment") | ((kind == "string") & F.col("ext").isin(*_PYTHON)), tok)
-    return raw.select("file_id", "ext", "pos", _count(blank, "\n").alias("lead"), _count(tok, "\n").alias("inner"), kind.alias("kind"), depth.alias("delta"), text.alias("text"), tok.rlike(r"[\])]\s*$|^@[\w.$]+\s*$").alias("closes"))
+    return raw.select("file_id", "ext", "pos", (_count(F.col("raw"), "\n") - inner).alias("lead"), inner.alias("inner"), kind.alias("kind"), depth.alias("delta"), text.alias("text"), (shut.endswith(")") | shut.endswith("]") | (tok.startswith("@") & tok.rlike(r"^@[\w.$]+\s*$"))).alias("closes"), "total", "shut")
 
 
 def logical_lines(tokens: DataFrame) -> DataFrame:
@@ -91,7 +100,8 @@ def logical_lines(tokens: DataFrame) -> DataFrame:
 
     A token begins a logical line if it is the first on its line while no
     bracket is open.  An island is kept as its first token; where it ends is
-    known from the token before the next island, so nothing is grouped.
+    known from the token before the next island, or from the file's end, so
+    nothing is grouped.
     """
     by_pos = Window.partitionBy("file_id").orderBy("pos")
     before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
@@ -101,13 +111,11 @@ def logical_lines(tokens: DataFrame) -> DataFrame:
         F.sum(F.col("lead") + F.col("inner")).over(upto).alias("till"),
         F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("depth"),
         F.last(F.when(F.col("kind") != "comment", F.col("closes")), ignorenulls=True).over(before).alias("closed"),
-        F.last(F.when(F.col("kind") != "comment", F.col("closes")), ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("closed_last"),
-        F.sum(F.col("lead") + F.col("inner")).over(by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("till_last"),
     )
     # line ends before a token and in it: its first line follows those before, its last one those in it
     starts = placed.withColumn("before", F.col("till") - F.col("lead") - F.col("inner")).where(((F.col("pos") == 0) | (F.col("lead") > 0)) & (F.col("depth") <= 0))
-    ended = F.coalesce(F.lead("before").over(by_pos), F.col("till_last")) + 1
-    closes = F.when(F.lead("pos").over(by_pos).isNull(), F.col("closed_last")).otherwise(F.lead("closed").over(by_pos))
+    ended = F.coalesce(F.lead("before").over(by_pos), F.col("total")) + 1
+    closes = F.when(F.lead("pos").over(by_pos).isNull(), F.col("closes") | F.col("shut")).otherwise(F.lead("closed").over(by_pos))
     return starts.select(
         "file_id", "ext", "pos", (F.col("till") - F.col("inner") + 1).alias("line"), ended.alias("end_line"),
         # an annotation before a definition on the same line is part of it
