@@ -38,13 +38,13 @@ def context_rows(contexts: DataFrame) -> DataFrame:
 
 
 def context_tables(contexts: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables by relation name, attributes as columns."""
+    """The flat tables by relation name, attributes as typed columns."""
     rows = context_rows(contexts)
     columns = {
-        "file": ("path", "language", "hash"),
-        "symbol": ("symbol", "type", "file", "line", "class", "module"),
-        "calls": ("type", "line", "column", "raw_call"),
-        "called_by": ("type", "line"),
+        "file": {"path": "string", "language": "string", "hash": "string"},
+        "symbol": {"symbol": "string", "type": "string", "file": "string", "line": "int", "class": "string", "module": "string"},
+        "calls": {"type": "string", "line": "int", "column": "int", "raw_call": "string"},
+        "called_by": {"type": "string", "line": "int"},
     }
     return {r.name: relation_table(rows, "context_id", r, columns.get(r.name, ())) for r in RELATIONS}
 

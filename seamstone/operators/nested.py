@@ -12,7 +12,7 @@ no Catalyst schema); everything after it is a projection, without a shuffle.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -202,8 +202,13 @@ def shred(
     return relation_rows(nodes, id_col, relations)
 
 
-def relation_table(rows: DataFrame, id_col: str, relation: Relation, attributes: Sequence[str] = ()) -> DataFrame:
-    """One relation as a flat table, its attributes as columns beside the keys."""
+def relation_table(rows: DataFrame, id_col: str, relation: Relation, attributes: Mapping[str, str] | Sequence[str] = ()) -> DataFrame:
+    """One relation as a flat table, its attributes as columns beside the keys.
+
+    ``attributes`` may name types; text that is no value of its column's type
+    (numbers come as text at times) is null, as is an attribute a record lacks.
+    """
+    types = dict(attributes) if isinstance(attributes, Mapping) else dict.fromkeys(attributes, "string")
     return rows.where(F.col("rel") == relation.name).select(
-        id_col, "node", "parent", "parent_ix", "ix", "val", *(F.col("attrs").getItem(a).alias(a) for a in attributes)
+        id_col, "node", "parent", "parent_ix", "ix", "val", *(F.trim(F.col("attrs").getItem(a)).try_cast(t).alias(a) if t != "string" else F.col("attrs").getItem(a).alias(a) for a, t in types.items())
     )

@@ -59,3 +59,11 @@ def test_deep_record_does_not_recurse(spark):
 def test_decode_record():
     assert decode_record('﻿{"a": 1}') == {"a": 1}
     assert decode_record('{"a": 1') is None
+
+
+def test_tables_have_typed_columns(spark):
+    record = {"symbol_graph": {"symbols": [{"symbol": "f", "line": "12", "calls": [{"symbol": "g", "line": 3, "column": "x"}, "h"]}, {"symbol": "g", "line": None}]}}
+    tables = context_tables.context_tables(spark.createDataFrame([(1, json.dumps(record))], "context_id BIGINT, payload STRING"))
+    assert {(r["symbol"], r["line"]) for r in tables["symbol"].collect()} == {("f", 12), ("g", None)}
+    assert [(r["val"], r["line"], r["column"], r["parent"]) for r in tables["calls"].orderBy("ix").collect()] == [("g", 3, None, tables["symbol"].where("val = 'f'").first()["node"]), ("h", None, None, tables["symbol"].where("val = 'f'").first()["node"])]
+    assert set(tables) == {r.name for r in context_tables.RELATIONS} and tables["file"].count() == 0
