@@ -111,6 +111,20 @@ def o15_export_styles(spark, sf_dir):
     return out
 
 
+def _rewritten(column: str, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """A column with phrases replaced: the test tables hold nothing these queries look for."""
+    made = F.col(column)
+    for old, new in pairs:
+        made = F.replace(made, F.lit(old), F.lit(new))
+    return made
+
+
+def _rewritten_sql(column: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '" + new.replace("\n", "' || chr(10) || '") + "')"
+    return column
+
+
 # ---- recipes -----------------------------------------------------------------------------
 _SPLIT = r"string_split_regex({t}, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 _DOC_PARTS = (
@@ -142,9 +156,9 @@ def o26_code_lines(spark, sf_dir):
 _MARKED = "'--- FILE: ' || path || ' ---' || chr(10) || content || chr(10) || '--- FILE: note.md ---' || chr(10) || '# ' || path"
 
 
-def _marked(spark, sf_dir) -> DataFrame:
+def _marked(spark, sf_dir, pairs: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """Every file as a marked block before a block of documentation."""
-    text = F.concat(F.lit("--- FILE: "), "path", F.lit(" ---\n"), "content", F.lit("\n--- FILE: note.md ---\n# "), "path")
+    text = F.concat(F.lit("--- FILE: "), "path", F.lit(" ---\n"), _rewritten("content", pairs), F.lit("\n--- FILE: note.md ---\n# "), "path")
     return base._files(spark, sf_dir).where("content IS NOT NULL AND path IS NOT NULL").select("file_id", text.alias("text"))
 
 
@@ -165,6 +179,23 @@ def o32_pipeline(spark, sf_dir):
     return recipes.pipeline(_marked(spark, sf_dir), "file_id", "text")
 
 
+#: Words of the tables that stand for forbidden ones here.
+_FORBIDDEN_WORDS = (("merge", "guess"), ("Merge", "Comment"), ("Register", "Opinion"))
+_SEGMENT_LINES = f"list_transform({_SPLIT.format(t=_STRIP.format(t=_rewritten_sql('content', _FORBIDDEN_WORDS)))}, lambda x: trim(x))"
+_SHOWN = r"""lower(CASE WHEN code THEN array_to_string(list_filter(t, lambda x: contains(x, 'class ') OR contains(x, 'def ') OR contains(x, 'import ') OR contains(x, 'from ')), chr(10)) ELSE array_to_string(list_filter(t, lambda x: starts_with(x, '#') OR (starts_with(lower(x), '<h') AND contains(x, '>')))[1:20], chr(10)) || ' ' ||
+array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:15], ' ') || ' ' || array_to_string(list_filter(t, lambda x: contains(x, 'http') AND (contains(x, 'href') OR contains(x, 'src')))[1:10], chr(10)) END)"""
+
+
+@query(
+    "o32_segment_status",
+    rf"""WITH f AS (SELECT file_id, path, {_EXT.format(p='path')} IN ('py', 'js', 'ts', 'sql') AS code, {_SEGMENT_LINES} AS t FROM source_files WHERE content IS NOT NULL AND path IS NOT NULL), g AS (SELECT *, list_filter(flatten(list_transform(list_filter(t, lambda x: len(x) > 20 AND regexp_matches(x, '[A-Z]')), lambda x: string_split_regex(x, '\s+'))), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]{{5,}}$')) AS ws FROM f),
+h AS (SELECT file_id, regexp_matches({_SHOWN}, CASE WHEN code THEN 'speculative|commentary|guess' ELSE 'comment|probably|opinion' END) AS first_bad, regexp_matches(lower(path), 'comment|probably|opinion') AS second_bad FROM g)
+SELECT file_id, 2::BIGINT AS segments, (NOT first_bad)::BIGINT + (NOT second_bad)::BIGINT AS ok, first_bad::BIGINT + second_bad::BIGINT AS degraded, CASE WHEN first_bad OR second_bad THEN 'degraded' ELSE 'stable' END AS status FROM h""",
+)
+def o32_segment_status(spark, sf_dir):
+    return recipes.pipeline(_marked(spark, sf_dir, _FORBIDDEN_WORDS), "file_id", "text").select("file_id", "segments", "ok", "degraded", "status")
+
+
 @query(
     "o28_config_keys",
     "WITH a AS (SELECT context_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM repo_contexts) SELECT context_id, CASE WHEN j IS NULL THEN 'output_format' END AS violation, CASE WHEN j IS NOT NULL THEN coalesce(CASE WHEN json_type(j) = 'OBJECT' THEN len(json_keys(j)) END, 0)::INTEGER END AS n_keys, CASE WHEN j IS NOT NULL THEN coalesce(CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(json_keys(j)[1:50], ',') END, '') END AS sections FROM a",
@@ -183,20 +214,6 @@ def o27_log_anomalies(spark, sf_dir):
 
 
 # ---- findings -----------------------------------------------------------------------------
-def _rewritten(column: str, pairs: tuple[tuple[str, str], ...]) -> Column:
-    """A column with phrases replaced: the test tables hold nothing these queries look for."""
-    made = F.col(column)
-    for old, new in pairs:
-        made = F.replace(made, F.lit(old), F.lit(new))
-    return made
-
-
-def _rewritten_sql(column: str, pairs: tuple[tuple[str, str], ...]) -> str:
-    for old, new in pairs:
-        column = f"replace({column}, '{old}', '" + new.replace("\n", "' || chr(10) || '") + "')"
-    return column
-
-
 _HEDGES = ((" when ", " perhaps when "), (" never ", " might never "), (" is ", " could be "), (" nur ", " muhtemelen "))
 
 
@@ -410,11 +427,17 @@ def o99_secret_adjustment(spark, sf_dir):
 
 
 # ---- watching -------------------------------------------------------------------------------------------
-@query("o102_feedback")
+_FEEDBACK = """WITH RECURSIVE ev AS (SELECT coalesce(data.command, 'unknown') AS weight, coalesce(data.savings_pct, 0) AS delta, coalesce(data.success, true) AS good, row_number() OVER (PARTITION BY coalesce(data.command, 'unknown') ORDER BY received_at NULLS FIRST, data.savings_pct NULLS FIRST, coalesce(data.success, true)) AS k FROM telemetry WHERE data IS NOT NULL),
+f(weight, k, value, step, healed, dead, code) AS (SELECT DISTINCT weight, 0::BIGINT, 0::DOUBLE, 0, 0, false, 0 FROM ev UNION ALL SELECT weight, k, CASE WHEN heal THEN 1e-6::DOUBLE * (1 + healed) ELSE value END, CASE WHEN heal THEN 1 ELSE step END, healed + heal::INTEGER, dead, CASE WHEN heal THEN 1 WHEN dead THEN -1 ELSE 0 END
+FROM (SELECT weight, k, value, step, healed, dead OR (step >= 2 AND healed > 2) AS dead, NOT dead AND step >= 2 AND healed <= 2 AS heal FROM (SELECT ev.weight, ev.k, f.value + CASE WHEN good THEN delta * 0.001::DOUBLE ELSE 0 END AS value, CASE WHEN good OR f.dead THEN f.step ELSE least(f.step + 1, 3) END AS step, f.healed, f.dead FROM f JOIN ev ON ev.weight = f.weight AND ev.k = f.k + 1)))
+SELECT weight, round(value, 6) AS value, CASE WHEN dead THEN 'DEGENERATE' ELSE ['STABLE', 'WEAK', 'UNSTABLE', 'NEG_ZERO'][step + 1] END AS state, healed AS heal_count, code FROM f QUALIFY row_number() OVER (PARTITION BY weight ORDER BY k DESC) = 1"""
+
+
+@query("o102_feedback", _FEEDBACK)
 def o102_feedback(spark, sf_dir):
     d = F.col("data")
     events = table(spark, sf_dir, "telemetry").where(d.isNotNull()).select(F.coalesce(d.command, F.lit("unknown")).alias("weight"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("seq"), d.savings_pct.alias("delta"), F.coalesce(d.success, F.lit(True)).alias("stable"))
-    return watch.feedback(events)
+    return watch.feedback(events).withColumn("value", F.round("value", 6))
 
 
 @query("o114_watch_health", "SELECT coalesce(data.command, 'unknown') AS name, count(*) AS runs, count(*) FILTER (NOT coalesce(data.success, true)) AS errors, max(received_at) FILTER (coalesce(data.success, true)) AS last_ok, max(received_at) FILTER (NOT coalesce(data.success, true)) AS last_error FROM telemetry WHERE data IS NOT NULL GROUP BY 1")
