@@ -24,25 +24,29 @@ class Fingerprinter:
     """128-bit SimHash of word counts; hashed words are kept up to a bound."""
 
     def __init__(self) -> None:
-        self.signs: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        self.signs = np.empty((1_024, 128), np.int32)
 
-    def _sign(self, word: str) -> np.ndarray:
-        got = self.signs.get(word)
-        if got is None:
-            if len(self.signs) >= _WORD_CACHE:
-                self.signs.clear()
-            bits = np.unpackbits(np.frombuffer(hashlib.sha256(word.encode()).digest()[:16], np.uint8))
-            got = self.signs[word] = bits.astype(np.int32) * 2 - 1
-        return got
+    def _row(self, word: str) -> int:
+        row = self.rows[word] = len(self.rows)
+        if row == len(self.signs):
+            self.signs = np.concatenate((self.signs, np.empty_like(self.signs)))
+        bits = np.unpackbits(np.frombuffer(hashlib.sha256(word.encode()).digest()[:16], np.uint8))
+        self.signs[row] = bits.astype(np.int32) * 2 - 1
+        return row
 
     def of(self, text: str | None, stable: float | None = None, chaos: float = 0.0) -> bytes:
         """16 bytes, most significant bit first; with ``stable`` long and short words weigh by it and by ``chaos``."""
         # whole numbers: the order of a sum of fractions would decide ties
         long, short = (1, 1) if stable is None else (round((1 + stable * 0.2) * _PARTS), round((1 - chaos * 0.3) * _PARTS))
         other = 1 if stable is None else _PARTS
-        total = np.zeros(128, np.int64)
-        for word, n in Counter((text or "").lower().split()).items():
-            total += n * (long if len(word) > 5 else short if len(word) < 4 else other) * self._sign(word)
+        counts = Counter((text or "").lower().split())
+        if len(self.rows) + len(counts) > _WORD_CACHE:
+            self.rows.clear()
+        get = self.rows.get
+        at = [row if (row := get(word)) is not None else self._row(word) for word in counts]
+        weights = np.fromiter((n * (long if len(word) > 5 else short if len(word) < 4 else other) for word, n in counts.items()), np.int64, len(counts))
+        total = weights @ self.signs[at] if at else np.zeros(128, np.int64)
         return np.packbits(total > 0).tobytes()
 
 
@@ -144,7 +148,7 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, id_col: str, text_col:
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             maker = Fingerprinter()
             q_ids = np.array([b[0] for b in block])
-            q_bits = np.array([np.unpackbits(np.frombuffer(maker.of(b[1]), np.uint8)) for b in block], np.float32)
+            q_hi, q_lo = np.frombuffer(b"".join(maker.of(b[1]) for b in block), np.uint64).reshape(-1, 2).T.copy()
             q_words = [set((b[1] or "").lower().split()) for b in block]
             sizes = np.array([max(1, len(w)) for w in q_words], float)
             postings: dict[str, list[int]] = {}
@@ -157,8 +161,8 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, id_col: str, text_col:
                 for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if row_id is None:
                         continue
-                    bits = np.unpackbits(np.frombuffer(maker.of(text), np.uint8)).astype(np.float32)
-                    structural = 100.0 - np.abs(q_bits - bits).sum(axis=1, dtype=np.float64) / 128.0 * 100.0
+                    hi, lo = np.frombuffer(maker.of(text), np.uint64)
+                    structural = 100.0 - (np.bitwise_count(q_hi ^ hi) + np.bitwise_count(q_lo ^ lo)) / 128.0 * 100.0
                     overlap = np.zeros(len(block))
                     for w in set((text or "").lower().split()):
                         at = lists.get(w)
